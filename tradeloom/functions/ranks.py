@@ -31,6 +31,7 @@ def positions(df: DataFrame, order: list, name: str = "row_index") -> DataFrame:
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    starts = F.broadcast(starts)  # one row per range partition, whatever the data
     return placed.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
 
 
