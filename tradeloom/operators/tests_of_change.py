@@ -1,0 +1,61 @@
+"""Tests on one column of changes."""
+
+from __future__ import annotations
+
+from statistics import NormalDist
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tradeloom.functions.columns import is_number
+from tradeloom.functions.ranks import cumulative_counts, pick_quantiles
+from tradeloom.operators.students_t import two_sided_p
+
+
+def t_test(df: DataFrame, column: str, mean: float = 0.0) -> DataFrame:
+    """One-sample t test of the mean; NULL statistic for fewer than two values."""
+    x = F.col(column)
+    row = df.filter(is_number(column)).agg(F.count(x), F.avg(x), F.stddev_samp(x)).first()
+    n, avg, sd = row
+    t = (avg - mean) / (sd / n**0.5) if n > 1 and sd else None
+    p = two_sided_p(t, n - 1) if t is not None else None
+    return df.sparkSession.createDataFrame([(n, avg, t, p)], "n long, mean double, t double, p double")
+
+
+def signed_rank(df: DataFrame, column: str) -> DataFrame:
+    """Two-sided Wilcoxon signed-rank test with zeros treated the Pratt way.
+
+    Zeros take part in the ranking and are then left out. Ties share their mean
+    rank. Ranks come from cumulative counts of distinct absolute values, so no
+    task sees all rows. The p-value is the normal approximation with
+    corrections for ties and zeros.
+    """
+    sizes = df.filter(is_number(column)).select(F.abs(F.col(column)).alias("size"), F.signum(column).alias("sign"))
+    ranked = cumulative_counts(sizes.select("size"), [], "size").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    signs = sizes.groupBy("size").agg(F.count_if(F.col("sign") > 0).alias("up"), F.count_if(F.col("sign") < 0).alias("down"))
+    r, n = F.col("rank"), F.col("n").cast("double")
+    live = F.col("size") > 0
+    row = ranked.join(signs, "size").agg(
+        F.sum("n"), F.coalesce(F.sum(F.when(~live, F.col("n"))), F.lit(0)), F.sum(F.when(live, r * F.col("up"))), F.sum(F.when(live, r * F.col("down"))),
+        F.sum(F.when(live, n * n * n - n)),
+    ).first()
+    total, zeros, up, down, ties = [float(x or 0) for x in row]
+    m = total - zeros
+    z = p = None
+    if m > 0:
+        centre = total * (total + 1) / 4 - zeros * (zeros + 1) / 4
+        spread = total * (total + 1) * (2 * total + 1) - zeros * (zeros + 1) * (2 * zeros + 1) - ties / 2
+        if spread > 0:
+            z = (min(up, down) - centre) / (spread / 24) ** 0.5
+            p = 2 * NormalDist().cdf(-abs(z))
+    return df.sparkSession.createDataFrame(
+        [(int(m), up, down, min(up, down), z, p)], "n long, rank_sum_up double, rank_sum_down double, statistic double, z double, p double"
+    )
+
+
+def normal_quantiles(df: DataFrame, column: str, points: int = 99) -> DataFrame:
+    """Exact sample quantiles beside normal quantiles on an even grid of probabilities."""
+    grid = {f"q{i}": i / (points + 1) for i in range(1, points + 1)}
+    picked = pick_quantiles(cumulative_counts(df.select(column), [], column), [], column, grid)
+    pairs = [F.struct(F.lit(p).alias("probability"), F.lit(NormalDist().inv_cdf(p)).alias("theoretical"), F.col(q).alias("sample")) for q, p in grid.items()]
+    return picked.select(F.explode(F.array(*pairs)).alias("r")).select("r.*")
