@@ -30,7 +30,8 @@ def build_panel(
         if role not in ("exporter", "importer"):
             raise ValueError("a reporter is 'exporter' or 'importer'")
     if pref_reporter_is == "importer":
-        pref = pref.withColumnsRenamed({S.EXPORTER: S.IMPORTER, S.IMPORTER: S.EXPORTER})
+        swapped = {S.EXPORTER: S.IMPORTER, S.IMPORTER: S.EXPORTER}
+        pref = pref.select(*[F.col(swapped.get(c, c)).alias(c) for c in pref.columns])
     country = S.IMPORTER if mfn_reporter_is == "importer" else S.EXPORTER
     mfn = mfn.withColumnRenamed(S.EXPORTER, country)
 
