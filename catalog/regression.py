@@ -1 +1,261 @@
-"""Placeholder."""
+"""Regression samples, absorbed fixed effects and coefficient tables.
+
+Products are cut to chapters, so a pair trades a chapter in several rows a year.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import KEYS, chapters, q, query, rounded, sq
+from tradeloom.operators import absorb, coefficients, design
+from tradeloom.plans import star
+
+E, I = star.TARGET_EXPORTER, star.TARGET_IMPORTER  # noqa: E741
+PAIR = (E, I)
+YEARS = [1998, 1999, 2000]
+T = "average_tariff_official"
+
+
+def _data(spark, d):
+    """Chapter rows with log outcomes and the tariff as a percentage."""
+    return design.add_logs(chapters(spark, d)).withColumn(T, F.col(T) / 1e4)
+
+
+_BASE = f"""base AS (SELECT * REPLACE ({T} / 1e4 AS {T}), ln(value) AS log_value, ln(quantity) AS log_quantity FROM chapters),
+    rates AS (SELECT year, product_code, avg({T}) AS tau FROM base WHERE reporter_country = '{E}' AND partner_country = '{I}' GROUP BY ALL),
+    treated AS (SELECT b.*, tau FROM base b JOIN rates r ON b.year = r.year AND b.product_code = r.product_code WHERE tau IS NOT NULL)"""
+_ID = ", ".join(KEYS)
+
+
+def _active(name, condition, years=YEARS):
+    return ", ".join(sq(f"CASE WHEN {condition} AND year = {y} THEN tau ELSE 0.0 END", f"{name}_{y}") for y in years)
+
+
+def _shown(fitted: design.Design, *more):
+    return rounded(fitted.data.select(*KEYS, *more, *fitted.terms), *more, *fitted.terms)
+
+
+@query("interaction_panel", f"WITH {_BASE} SELECT {_ID}, {sq('log_value', 'log_value')}, {_active('target', f'''partner_country IN ('{I}', '008') AND reporter_country = '{E}' ''')} FROM treated")
+def _(spark, d):
+    return _shown(design.interaction_panel(_data(spark, d), "target", [I, "008"], [E], YEARS, "log_value", treated_pair=PAIR), "log_value")
+
+
+@query("interaction_panel_filtered", f"WITH {_BASE} SELECT {_ID}, {sq('log_value', 'log_value')}, {_active('target', f'''partner_country IN ('{I}') AND reporter_country = '{E}' ''')} FROM treated WHERE year IN (1998, 1999, 2000) AND product_code <> '84'")
+def _(spark, d):
+    made = design.interaction_panel(_data(spark, d), "target", [I], [E], YEARS, "log_value", F.col("product_code") != "84", True, PAIR)
+    return _shown(made, "log_value")
+
+
+_VARIANTS = {"tariff_interaction_US": f"partner_country = '{I}'", "tariff_interaction_ROW": f"partner_country <> '{I}'", "tariff_interaction_UK": "partner_country = '008'"}
+
+
+@query("interaction_variants", f"WITH {_BASE} " + " UNION ALL ".join(
+    f"SELECT '{n}' AS variant, year, count(*) AS n, {sq(f'''sum(CASE WHEN reporter_country = '{E}' AND {c} THEN tau ELSE 0 END)''', 'total', 2)} FROM treated WHERE year IN (1998, 1999, 2000) GROUP BY year"
+    for n, c in _VARIANTS.items()))
+def _(spark, d):
+    made = design.interaction_variants(_data(spark, d), YEARS, "log_value", PAIR, third="008")
+    parts = []
+    for name, m in made.items():
+        total = sum((F.col(t) for t in m.terms), F.lit(0.0))
+        parts.append(m.data.groupBy("year").agg(F.count("*").alias("n"), F.sum(total).alias("total")).select(F.lit(name).alias("variant"), "year", "n", q("total", 2).alias("total")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("importer_split", f"""WITH {_BASE} SELECT {_ID}, {sq(f"CASE WHEN reporter_country = '{E}' THEN tau ELSE 0.0 END", 'tariff_x_target')}, {sq(f"CASE WHEN reporter_country <> '{E}' THEN tau ELSE 0.0 END", 'tariff_x_row')}
+    FROM treated WHERE partner_country = '008'""")
+def _(spark, d):
+    return _shown(design.importer_split(_data(spark, d), "008", "log_value", E, PAIR))
+
+
+@query("saturated_panel", f"""WITH {_BASE} SELECT partner_country AS country, {', '.join(sq(f"sum(CASE WHEN reporter_country = '{E}' AND year = {y} THEN tau ELSE 0 END)", f'gamma_{y}', 2) for y in YEARS)}
+    FROM treated WHERE partner_country NOT IN ('{E}', '{I}') GROUP BY 1""")
+def _(spark, d):
+    made = design.saturated_panel(_data(spark, d), YEARS, "log_value", treated_pair=PAIR)
+    sums = made.data.agg(*[F.sum(t).alias(t) for t in made.terms])
+    long = sums.unpivot([], made.terms, "term", "total")
+    parts = F.split("term", "_")
+    named = long.select(parts[1].alias("country"), parts[2].alias("y"), "total")
+    return named.groupBy("country").agg(*[q(F.sum(F.when(F.col("y") == str(y), F.col("total"))), 2).alias(f"gamma_{y}") for y in YEARS])
+
+
+_IMPORTERS = ["019", "008", "010", "011", "012", "013", "014", "015"]
+_IN = ", ".join(f"'{c}'" for c in _IMPORTERS)
+_GROWTH = f"""wide AS (SELECT reporter_country, partner_country, product_code, {', '.join(f'min(CASE WHEN year = {y} THEN value END) AS v{y}' for y in (1996, 1998, 2000))}
+      FROM chapters WHERE partner_country IN ({_IN}) AND value > 0 AND year IN (1996, 1998, 2000) GROUP BY ALL),
+    growth AS (SELECT reporter_country, partner_country, product_code, 100 * (ln(v1998) - ln(v1996)) / 2 AS y, 0 AS "PostEvent" FROM wide WHERE v1996 IS NOT NULL AND v1998 IS NOT NULL
+      UNION ALL SELECT reporter_country, partner_country, product_code, 100 * (ln(v2000) - ln(v1998)) / 2, 1 FROM wide WHERE v1998 IS NOT NULL AND v2000 IS NOT NULL)"""
+_PERIODS = (1996, 1998), (1998, 2000)
+_TWO = {"CHN": E, "USA": "009"}
+
+
+def _ints(df):
+    return df.withColumns({c: F.col(c).cast("int") for c, t in df.dtypes if t == "tinyint"})
+
+
+@query("growth_panel", f"""WITH {_GROWTH} SELECT reporter_country, partner_country, product_code, {sq('y', 'y')}, "PostEvent", (reporter_country = '{E}')::int AS "is_CHN_exporter", (reporter_country = '009')::int AS "is_USA_exporter" FROM growth""")
+def _(spark, d):
+    return _ints(rounded(design.growth_panel(chapters(spark, d), *_PERIODS, _IMPORTERS, _TWO), "y"))
+
+
+@query("third_country_panel", f"""WITH {_GROWTH} SELECT reporter_country, partner_country, product_code, {sq('y', 'y')}, "PostEvent", """ + ", ".join(
+    f"""(reporter_country = '{code}' AND partner_country {op} '008')::int AS "is_{name}_exporter_{label}_importer" """ for label, op in (("008", "="), ("non008", "<>")) for name, code in _TWO.items()) + " FROM growth")
+def _(spark, d):
+    return _ints(rounded(design.third_country_panel(chapters(spark, d), "008", *_PERIODS, _IMPORTERS, _TWO), "y"))
+
+
+@query("sample_report", f"SELECT count(*) AS n_rows, count(*) FILTER ({T} IS NULL) AS dropped_by_{T}, 0::bigint AS dropped_by_log_value FROM chapters")
+def _(spark, d):
+    return design.sample_report(_data(spark, d), [T, "log_value"])
+
+
+# One fixed effect (exporter and chapter) and one term: the fit in closed form.
+_ONE = f"""{_BASE}, used AS (SELECT *, dense_rank() OVER (ORDER BY reporter_country, product_code) AS g FROM base WHERE {T} IS NOT NULL),
+    within AS (SELECT *, {T} - avg({T}) OVER (PARTITION BY g) AS x, log_value - avg(log_value) OVER (PARTITION BY g) AS y FROM used),
+    slope AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n, count(DISTINCT g) AS k FROM within),
+    errors AS (SELECT w.*, y - b * x AS e, b, sxx, n, n - 1 - k AS dof FROM within w, slope)"""
+_EFFECT = ["reporter_country", "product_code"]
+_SE = {
+    "iid": "sqrt(sum(e * e) / any_value(dof) / any_value(sxx))",
+    "hetero": "sqrt(sum(x * x * e * e) * any_value(n) / any_value(dof)) / any_value(sxx)",
+}
+
+
+def _one(spark, d, variance, cluster=None):
+    data = design.usable(_data(spark, d), ["log_value", T])
+    return absorb.absorbing_ols(data, "log_value", [T], [_EFFECT], variance, cluster)
+
+
+for _v, _se in _SE.items():
+
+    @query(f"absorb_one_effect_{_v}", f"WITH {_ONE} SELECT '{T}' AS term, {sq('any_value(b)', 'estimate', 8)}, {sq(_se, 'std_error', 8)}, {sq(f'any_value(b) / {_se}', 't', 5)} FROM errors")
+    def _(spark, d, variance=_v):
+        table = _one(spark, d, variance).coefficients.select("term", "estimate", "std_error", "t")
+        return rounded(rounded(table, "estimate", "std_error", digits=8), "t", digits=5)
+
+
+@query("absorb_one_effect_cluster", f"""WITH {_ONE}, scores AS (SELECT partner_country, sum(x * e) AS s, any_value(b) AS b, any_value(sxx) AS sxx, any_value(n) AS n, any_value(dof) AS dof FROM errors GROUP BY 1)
+    SELECT '{T}' AS term, {sq('any_value(b)', 'estimate', 8)}, {sq('sqrt(sum(s * s) * count(*) / (count(*) - 1) * (any_value(n) - 1) / any_value(dof)) / any_value(sxx)', 'std_error', 8)} FROM scores""")
+def _(spark, d):
+    table = _one(spark, d, "cluster", ["partner_country"]).coefficients.select("term", "estimate", "std_error")
+    return rounded(table, "estimate", "std_error", digits=8)
+
+
+@query("model_statistics", f"""WITH {_ONE} SELECT any_value(n) AS n, any_value(dof) AS dof, {sq('sqrt(sum(e * e) / any_value(n))', 'rmse', 6)}, {sq('1 - sum(e * e) / (var_pop(log_value) * any_value(n))', 'r2', 8)}, {sq('1 - sum(e * e) / sum(y * y)', 'r2_within', 8)} FROM errors""")
+def _(spark, d):
+    table = _one(spark, d, "iid").statistics.select("n", "dof", "rmse", "r2", "r2_within")
+    return rounded(rounded(table, "rmse", digits=6), "r2", "r2_within", digits=8)
+
+
+# Regions trade in every year, so demeaning both ways once is exact.
+_REGIONS = f"""regions AS (SELECT a.n_regionkey AS seller, b.n_regionkey AS buyer, year, ln(sum(value)) AS y, sum({T} * value) / sum(CASE WHEN {T} IS NOT NULL THEN value END) AS x
+      FROM enriched JOIN nation a ON reporter_country = lpad(a.n_nationkey::varchar, 3, '0') JOIN nation b ON partner_country = lpad(b.n_nationkey::varchar, 3, '0') GROUP BY ALL),
+    within AS (SELECT x - avg(x) OVER (PARTITION BY seller, buyer) - avg(x) OVER (PARTITION BY year) + avg(x) OVER () AS x,
+      y - avg(y) OVER (PARTITION BY seller, buyer) - avg(y) OVER (PARTITION BY year) + avg(y) OVER () AS y FROM regions),
+    errors AS (SELECT x, y - b * x AS e, b, sxx, n, dof FROM within, (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n, count(*) - 1 - 25 - 7 + 1 AS dof FROM within))"""
+
+
+def _regions(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("c"), "n_regionkey")
+    seller = n.select(F.col("c").alias("reporter_country"), F.col("n_regionkey").alias("seller"))
+    buyer = n.select(F.col("c").alias("partner_country"), F.col("n_regionkey").alias("buyer"))
+    known = F.when(F.col(T).isNotNull(), F.col("value"))
+    return star.enriched(spark, d).join(seller, "reporter_country").join(buyer, "partner_country").groupBy("seller", "buyer", "year").agg(
+        F.ln(F.sum("value")).alias("y"), (F.sum(F.col(T) * F.col("value")) / F.sum(known)).alias("x"))
+
+
+@query("absorb_two_effects_balanced", f"WITH {_REGIONS} SELECT 'x' AS term, {sq('any_value(b)', 'estimate', 7)}, {sq(_SE['hetero'], 'std_error', 7)} FROM errors")
+def _(spark, d):
+    fit = absorb.absorbing_ols(_regions(spark, d), "y", ["x"], [["seller", "buyer"], ["year"]], "hetero")
+    return rounded(fit.coefficients.select("term", "estimate", "std_error"), "estimate", "std_error", digits=7)
+
+
+_TWO_WAY = [["importer", "year", "product_code"], ["importer", "exporter"]]
+_THREE_WAY = [*_TWO_WAY, ["exporter", "year", "product_code"]]
+
+
+def _direct(spark, d, outcome="log_value", importers=(I,)):
+    return design.interaction_panel(_data(spark, d), "direct", list(importers), [E], YEARS, outcome, treated_pair=PAIR)
+
+
+@query("direct_effect_two_way")
+def _(spark, d):
+    m = _direct(spark, d)
+    return absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero", labels=m.labels).coefficients
+
+
+@query("direct_effect_three_way_clustered")
+def _(spark, d):
+    m = _direct(spark, d)
+    return absorb.absorbing_ols(m.data, "log_value", m.terms, _THREE_WAY, "cluster", ["product_code", "importer"], labels=m.labels).coefficients
+
+
+@query("direct_effect_statistics")
+def _(spark, d):
+    m = _direct(spark, d)
+    return absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero").statistics.drop("rounds")
+
+
+@query("cumulative_fixed_effects")
+def _(spark, d):
+    m = _direct(spark, d)
+    return absorb.cumulative_effects(m.data, "log_value", m.terms, _TWO_WAY, "hetero")
+
+
+def _saturated(spark, d, outcome):
+    m = design.saturated_panel(_data(spark, d), YEARS, outcome, treated_pair=PAIR)
+    return absorb.absorbing_ols(m.data, outcome, m.terms, _TWO_WAY, "hetero", labels=m.labels, model=outcome).coefficients
+
+
+_WEIGHTS = {1998: 0.25, 1999: 0.75, 2000: 0.0}
+
+
+@query("average_coefficients_by_country")
+def _(spark, d):
+    merged = coefficients.weighted_averages({o: _saturated(spark, d, f"log_{o}") for o in ("value", "quantity")}, _WEIGHTS)
+    direct = {}
+    for o in ("value", "quantity"):
+        m = _direct(spark, d, f"log_{o}")
+        direct[o] = absorb.absorbing_ols(m.data, f"log_{o}", m.terms, _TWO_WAY, "hetero", labels={t: (I, y) for t, (_, y) in m.labels.items()}).coefficients
+    return coefficients.append_missing(merged, coefficients.weighted_averages(direct, _WEIGHTS))
+
+
+@query("elasticity_by_year")
+def _(spark, d):
+    m = _direct(spark, d)
+    return coefficients.elasticity(absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero", labels=m.labels).coefficients)
+
+
+def _by_country(spark, d):
+    def fit(country):
+        m = _direct(spark, d, importers=[country])
+        return absorb.absorbing_ols(m.data, "log_value", m.terms, [["exporter", "year", "product_code"]], "hetero", model=country, labels=m.labels).coefficients
+
+    return coefficients.per_country(["008", "010"], fit)
+
+
+@query("elasticity_of_two_countries")
+def _(spark, d):
+    return coefficients.elasticity_of_models([_by_country(spark, d).drop("country")])
+
+
+@query("models_per_country_side_by_side")
+def _(spark, d):
+    return coefficients.side_by_side([_by_country(spark, d)])
+
+
+@query("event_dummies_third_country")
+def _(spark, d):
+    panel = design.third_country_panel(chapters(spark, d), "008", *_PERIODS, _IMPORTERS, _TWO)
+    m = design.multiply(panel, [c for c in panel.columns if c.startswith("is_")])
+    return absorb.absorbing_ols(m.data, "y", m.terms, [["reporter_country"], ["PostEvent"], ["partner_country"]], "hetero").coefficients
+
+
+_LINE = "lines AS (SELECT regr_slope(v, q) AS by_, regr_intercept(v, q) AS ay, regr_slope(q, v) AS bx, regr_intercept(q, v) AS ax FROM totals)"
+
+
+@query("residuals_both_ways", f"""WITH totals AS (SELECT partner_country, ln(sum(value)) AS v, ln(sum(quantity)) AS q FROM flows GROUP BY 1), {_LINE}
+    SELECT partner_country, {sq('v - (ay + by_ * q)', 'y_residuals', 7)}, {sq('q - (ax + bx * v)', 'x_residuals', 7)} FROM totals, lines""")
+def _(spark, d):
+    totals = star.flows(spark, d).groupBy("partner_country").agg(F.ln(F.sum("value")).alias("v"), F.ln(F.sum("quantity")).alias("q"))
+    return rounded(coefficients.residuals_both_ways(totals, "q", "v").drop("v", "q"), "y_residuals", "x_residuals", digits=7)
