@@ -128,7 +128,7 @@ def _one(spark, d, variance, cluster=None):
 
 for _v, _se in _SE.items():
 
-    @query(f"absorb_one_effect_{_v}", f"WITH {_ONE} SELECT '{T}' AS term, {sq('any_value(b)', 'estimate', 8)}, {sq(_se, 'std_error', 8)}, {sq(f'any_value(b) / {_se}', 't', 5)} FROM errors")
+    @query(f"absorb_one_effect_{_v}", f"WITH {_ONE} SELECT '{T}' AS term, {sq('any_value(b)', 'estimate', 8)}, {sq(_se, 'std_error', 8)}, {sq(f'any_value(b) / ({_se})', 't', 5)} FROM errors")
     def _(spark, d, variance=_v):
         table = _one(spark, d, variance).coefficients.select("term", "estimate", "std_error", "t")
         return rounded(rounded(table, "estimate", "std_error", digits=8), "t", digits=5)

@@ -21,7 +21,9 @@ from tradeloom.functions.joins import attach
 from tradeloom.operators.students_t import two_sided_p, t_quantile
 from tradeloom.session import materialise
 
-TOLERANCE, MAX_ROUNDS = 1e-10, 500
+TOLERANCE, MAX_ROUNDS = 1e-9, 500
+# Levels that may be solved at once, and partial blocks of that size squared.
+DENSE_LEVELS, BLOCKS = 1024, 32
 
 
 @dataclass
@@ -60,54 +62,113 @@ def _level_sums(rows: DataFrame, f: int, v: list[str]) -> DataFrame:
     return rows.groupBy(F.col(f"_g{f}").alias("g")).agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(v)])
 
 
-def _level_effects(rows: DataFrame, n_fe: int, v: list[str]) -> tuple[DataFrame, int, bool]:
+def _level_effects(rows: DataFrame, levels: list[int], v: list[str]) -> tuple[DataFrame, int, bool]:
     """Effects of every level on every column: the least-squares fit of the columns on all levels.
 
-    Solves ``D'D a = D'v`` by conjugate gradients scaled with the level counts.
-    ``D'D`` is kept as level counts and a table of pairs of levels that share
-    rows. One fixed effect needs no iteration.
+    The normal equations ``D'D a = D'v`` are kept as level sums and a table of
+    pairs of levels that share rows. One fixed effect needs no solving. When all
+    but the largest fixed effect have few levels, the largest is eliminated and
+    the rest solved at once; otherwise conjugate gradients are used.
     """
-    k = len(v)
-    sums = materialise(reduce(DataFrame.unionByName, [_level_sums(rows, f, v) for f in range(n_fe)]), "levels")
+    n_fe = len(levels)
+    sums = materialise(reduce(DataFrame.unionByName, [_level_sums(rows, f, v).withColumn("f", F.lit(f)) for f in range(n_fe)]), "levels")
     if n_fe == 1:
-        return sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in range(k)]), 0, True
+        return sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in range(len(v))]), 0, True
+    both = [(F.lit(i), F.col(f"_g{i}"), F.col(f"_g{j}")) for i in range(n_fe) for j in range(n_fe) if i != j]
+    links = F.explode(F.array(*[F.struct(f.alias("f"), a.alias("g"), b.alias("h")) for f, a, b in both])).alias("l")
+    pairs = materialise(rows.select(links).groupBy("l.f", "l.g", "l.h").agg(F.count("*").cast("double").alias("m")), "pairs")
+    largest = levels.index(max(levels))
+    if sum(levels) - levels[largest] <= DENSE_LEVELS:
+        return _solve_small(sums, pairs, largest, len(v)), 0, True
+    return _solve_by_gradients(sums, pairs, len(v))
 
-    both = [(F.col(f"_g{i}"), F.col(f"_g{j}")) for i in range(n_fe) for j in range(n_fe) if i != j]
-    links = F.explode(F.array(*[F.struct(a.alias("g"), b.alias("h")) for a, b in both])).alias("l")
-    pairs = materialise(rows.select(links).groupBy("l.g", "l.h").agg(F.count("*").cast("double").alias("m")), "pairs")
 
-    def total(df, expressions):
-        row = df.agg(*[F.sum(e) for e in expressions]).first()
-        return np.array([0.0 if x is None else x for x in row], dtype=float)
+def _solve_small(sums: DataFrame, pairs: DataFrame, largest: int, k: int) -> DataFrame:
+    """Eliminate the largest fixed effect; the other levels, at most ``DENSE_LEVELS``, are solved on the driver.
 
+    Each level of the largest effect adds the outer product of its counts and
+    sums. Its list of partners is bounded by ``DENSE_LEVELS``.
+    """
+    spark = sums.sparkSession
+    s = [f"s{i}" for i in range(k)]
+    small = sums.filter(F.col("f") != largest).select("g", "n", *s).orderBy("g").toPandas()
+    size = len(small)
+    index = spark.createDataFrame(pd.DataFrame({"h": small["g"], "at": np.arange(size, dtype=np.int32)}))
+    of_largest = pairs.filter(F.col("f") == largest).join(index, "h")
+    lists = of_largest.groupBy("g").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m"))
+    vectors = sums.filter(F.col("f") == largest).select("g", "n", *s).join(lists, "g").drop("g")
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size + k))
+        for whole in batches:
+            for start in range(0, len(whole), 512):
+                batch = whole.iloc[start : start + 512]
+                a = np.zeros((len(batch), size))
+                lengths = batch["at"].map(len).to_numpy()
+                a[np.repeat(np.arange(len(batch)), lengths), np.concatenate(batch["at"].to_list())] = np.concatenate(batch["m"].to_list())
+                scaled = a / batch["n"].to_numpy()[:, None]
+                total += scaled.T @ np.hstack([a, batch[s].to_numpy(dtype=float)])
+        cells = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": cells, "v": total.ravel()[cells]})
+
+    # A block can hold DENSE_LEVELS squared numbers, so their number is kept small.
+    summed = vectors.coalesce(BLOCKS).mapInPandas(blocks, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+    eliminated = np.zeros(size * (size + k))
+    eliminated[summed["cell"].to_numpy(dtype=int)] = summed["v"].to_numpy()
+    eliminated = eliminated.reshape(size, size + k)
+
+    own = np.diag(small["n"].to_numpy(dtype=float))
+    cross = pairs.filter(F.col("f") != largest).join(index.withColumnsRenamed({"h": "g", "at": "row"}), "g").join(index, "h").select("row", "at", "m").toPandas()
+    own[cross["row"].to_numpy(dtype=int), cross["at"].to_numpy(dtype=int)] += cross["m"].to_numpy(dtype=float)
+    right = small[s].to_numpy(dtype=float) - eliminated[:, size:]
+    solved = np.linalg.lstsq(own - eliminated[:, :size], right, rcond=1e-12)[0]
+
+    effects = pd.DataFrame(solved, columns=[f"a{i}" for i in range(k)])
+    effects.insert(0, "g", small["g"])
+    of_small = spark.createDataFrame(effects)
+    taken = of_largest.drop("h").join(index, "at").join(of_small.withColumnRenamed("g", "h"), "h")
+    taken = taken.groupBy("g").agg(*[F.sum(F.col("m") * F.col(f"a{i}")).alias(f"t{i}") for i in range(k)])
+    rest = sums.filter(F.col("f") == largest).join(taken, "g").select("g", *[((F.col(f"s{i}") - F.col(f"t{i}")) / F.col("n")).alias(f"a{i}") for i in range(k)])
+    return materialise(rest.unionByName(of_small), "effects")
+
+
+def _solve_by_gradients(sums: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, int, bool]:
+    """Conjugate gradients scaled with the level counts, all columns at once.
+
+    A round is one join and sum over the pairs, written to the shared folder,
+    and one aggregate that yields every inner product the round needs.
+    """
+    each = range(k)
     state = sums.select(
         "g", "n",
-        *[F.lit(0.0).alias(f"a{i}") for i in range(k)],
-        *[F.col(f"s{i}").alias(f"r{i}") for i in range(k)],
-        *[(F.col(f"s{i}") / F.col("n")).alias(f"p{i}") for i in range(k)],
+        *[F.lit(0.0).alias(f"a{i}") for i in each],
+        *[F.col(f"s{i}").alias(f"r{i}") for i in each],
+        *[(F.col(f"s{i}") / F.col("n")).alias(f"p{i}") for i in each],
     )
-    rz = total(sums, [F.col(f"s{i}") * F.col(f"s{i}") / F.col("n") for i in range(k)])
-    first = np.where(rz > 0, rz, 1.0)
-    rounds = 0
-    while rounds < MAX_ROUNDS and np.any(rz > TOLERANCE**2 * first):
+    first, rounds, done = None, 0, False
+    while not done and rounds < MAX_ROUNDS:
         rounds += 1
-        moved = attach(pairs, state.select(F.col("g").alias("h"), *[f"p{i}" for i in range(k)]), ["h"], "inner")
-        moved = moved.groupBy("g").agg(*[F.sum(F.col("m") * F.col(f"p{i}")).alias(f"q{i}") for i in range(k)])
-        q = {f"q{i}": F.col("n") * F.col(f"p{i}") + F.coalesce(f"q{i}", F.lit(0.0)) for i in range(k)}
-        state = materialise(state.join(moved, "g", "left").withColumns(q), "cg")
-        pq = total(state, [F.col(f"p{i}") * F.col(f"q{i}") for i in range(k)])
-        live = rz > TOLERANCE**2 * first
-        step = np.where(live & (pq > 0), rz / np.where(pq > 0, pq, 1.0), 0.0)
-        left = {f"r{i}": F.col(f"r{i}") - float(step[i]) * F.col(f"q{i}") for i in range(k)}
-        ahead = {f"a{i}": F.col(f"a{i}") + float(step[i]) * F.col(f"p{i}") for i in range(k)}
-        state = state.withColumns(left | ahead)
-        new = total(state, [F.col(f"r{i}") * F.col(f"r{i}") / F.col("n") for i in range(k)])
-        turn = np.where(live & (rz > 0), new / np.where(rz > 0, rz, 1.0), 0.0)
-        state = state.withColumns({f"p{i}": F.col(f"r{i}") / F.col("n") + float(turn[i]) * F.col(f"p{i}") for i in range(k)})
-        state = state.drop(*[f"q{i}" for i in range(k)])
-        rz = np.where(live, new, rz)
-    done = bool(np.all(rz <= TOLERANCE**2 * first))
-    return materialise(state.select("g", *[f"a{i}" for i in range(k)]), "effects"), rounds, done
+        moved = attach(pairs, state.select(F.col("g").alias("h"), *[f"p{i}" for i in each]), ["h"], "inner")
+        moved = moved.groupBy("g").agg(*[F.sum(F.col("m") * F.col(f"p{i}")).alias(f"q{i}") for i in each])
+        q = {f"q{i}": F.col("n") * F.col(f"p{i}") + F.coalesce(f"q{i}", F.lit(0.0)) for i in each}
+        state = materialise(state.join(moved, "g", "left").withColumns(q), "gradients")
+        products = [("r", "r"), ("r", "q"), ("q", "q")]
+        sums_of = [F.sum(F.col(f"{a}{i}") * F.col(f"{b}{i}") / F.col("n")) for a, b in products for i in each]
+        row = state.agg(*sums_of, *[F.sum(F.col(f"p{i}") * F.col(f"q{i}")) for i in each]).first()
+        rr, rq, qq, pq = np.array(row, dtype=float).reshape(4, k)
+        first = np.where(rr > 0, rr, 1.0) if first is None else first
+        live = (rr > TOLERANCE**2 * first) & (pq > 0)
+        step = np.where(live, rr / np.where(pq > 0, pq, 1.0), 0.0)
+        ahead = np.maximum(rr - 2 * step * rq + step * step * qq, 0.0)
+        turn = np.where(live, ahead / np.where(rr > 0, rr, 1.0), 0.0)
+        state = state.withColumns(
+            {f"r{i}": F.col(f"r{i}") - float(step[i]) * F.col(f"q{i}") for i in each}
+            | {f"a{i}": F.col(f"a{i}") + float(step[i]) * F.col(f"p{i}") for i in each}
+        )
+        state = state.withColumns({f"p{i}": F.col(f"r{i}") / F.col("n") + float(turn[i]) * F.col(f"p{i}") for i in each})
+        state = state.drop(*[f"q{i}" for i in each])
+        done = bool(np.all(~live | (ahead <= TOLERANCE**2 * first)))
+    return materialise(state.select("g", *[f"a{i}" for i in each]), "effects"), rounds, done
 
 
 def _with_level_ids(data: DataFrame, effects: list[list[str]]) -> DataFrame:
@@ -128,19 +189,20 @@ def _check_ids(data: DataFrame, effects: list[list[str]]) -> list[int]:
     return counts
 
 
-def demean(data: DataFrame, columns: list[str], effects: list[list[str]]) -> tuple[DataFrame, int, bool]:
+def demean(data: DataFrame, columns: list[str], levels: list[int]) -> tuple[DataFrame, int, bool]:
     """Rows with each column's fixed effects subtracted, as ``_v0, _v1, ...``.
 
-    Level effects join on one fixed effect after the other; each table has one
-    row per level, so hot levels split without repeating much.
+    ``data`` has level ids; ``levels`` counts them per fixed effect. Level
+    effects join on one fixed effect after the other; each table has one row per
+    level, so hot levels split without repeating much.
     """
     k = len(columns)
-    if not effects:
+    if not levels:
         means = data.agg(*[F.avg(c) for c in columns]).first()
         return data.withColumns({f"_v{i}": F.col(c) - F.lit(float(means[i])) for i, c in enumerate(columns)}), 0, True
-    solved, rounds, done = _level_effects(data, len(effects), columns)
+    solved, rounds, done = _level_effects(data, levels, columns)
     out = data.withColumns({f"_v{i}": F.col(c).cast("double") for i, c in enumerate(columns)})
-    for f in range(len(effects)):
+    for f in range(len(levels)):
         table = solved.select(F.col("g").alias(f"_g{f}"), *[f"a{i}" for i in range(k)])
         out = attach(out, table, [f"_g{f}"], "inner")
         out = out.withColumns({f"_v{i}": F.col(f"_v{i}") - F.col(f"a{i}") for i in range(k)}).drop(*[f"a{i}" for i in range(k)])
@@ -189,7 +251,7 @@ def absorbing_ols(
     data = materialise(data, "design")
     levels = _check_ids(data, effects)
 
-    within, rounds, done = demean(data, columns, effects)
+    within, rounds, done = demean(data, columns, levels)
     v = [f"_v{i}" for i in range(len(columns))]
     within = materialise(within.select(*(cluster or []), outcome, *[F.col(t) for t in terms], *v), "within")
     raw = within.agg(
