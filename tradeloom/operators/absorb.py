@@ -23,7 +23,7 @@ from tradeloom.session import materialise
 
 TOLERANCE, MAX_ROUNDS = 1e-9, 500
 # Levels that may be solved at once, and partial blocks of that size squared.
-DENSE_LEVELS, BLOCKS = 1024, 32
+DENSE_LEVELS, BLOCKS, STRIPE = 1024, 32, 32
 
 
 @dataclass
@@ -108,18 +108,24 @@ def _solve_small(sums: DataFrame, pairs: DataFrame, largest: int, k: int) -> Dat
                 a[np.repeat(np.arange(len(batch)), lengths), np.concatenate(batch["at"].to_list())] = np.concatenate(batch["m"].to_list())
                 scaled = a / batch["n"].to_numpy()[:, None]
                 total += scaled.T @ np.hstack([a, batch[s].to_numpy(dtype=float)])
-        cells = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": cells, "v": total.ravel()[cells]})
+        for stripe in range(0, size, STRIPE):
+            yield pd.DataFrame({"stripe": [stripe], "part": [total[stripe : stripe + STRIPE].tobytes()]})
 
-    # A block can hold DENSE_LEVELS squared numbers, so their number is kept small.
-    summed = vectors.coalesce(BLOCKS).mapInPandas(blocks, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
-    eliminated = np.zeros(size * (size + k))
-    eliminated[summed["cell"].to_numpy(dtype=int)] = summed["v"].to_numpy()
-    eliminated = eliminated.reshape(size, size + k)
+    def added(stripe: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(p) for p in stripe["part"]]
+        return pd.DataFrame({"stripe": stripe["stripe"][:1], "part": [np.sum(parts, axis=0).tobytes()]})
+
+    # A block can hold DENSE_LEVELS squared numbers, so their number is kept
+    # small, and they are added in stripes of a few rows.
+    kind = "stripe int, part binary"
+    summed = vectors.coalesce(BLOCKS).mapInPandas(blocks, kind).groupBy("stripe").applyInPandas(added, kind).collect()
+    ordered = [np.frombuffer(bytes(r["part"])) for r in sorted(summed, key=lambda r: r["stripe"])]
+    eliminated = np.concatenate(ordered).reshape(size, size + k) if ordered else np.zeros((size, size + k))
 
     own = np.diag(small["n"].to_numpy(dtype=float))
-    cross = pairs.filter(F.col("f") != largest).join(index.withColumnsRenamed({"h": "g", "at": "row"}), "g").join(index, "h").select("row", "at", "m").toPandas()
-    own[cross["row"].to_numpy(dtype=int), cross["at"].to_numpy(dtype=int)] += cross["m"].to_numpy(dtype=float)
+    cross = pairs.filter(F.col("f") != largest).join(index.withColumnsRenamed({"h": "g", "at": "row"}), "g").join(index, "h")
+    for r in cross.select("row", "at", "m").collect():
+        own[r["row"], r["at"]] += r["m"]
     right = small[s].to_numpy(dtype=float) - eliminated[:, size:]
     solved = np.linalg.lstsq(own - eliminated[:, :size], right, rcond=1e-12)[0]
 
@@ -268,7 +274,9 @@ def absorbing_ols(
     x = [f"_v{j + 1}" for j in kept]
     fitted = reduce(lambda a, b: a + b, [F.col(c) * float(b) for c, b in zip(x, beta)], F.lit(0.0))
     scored = within.withColumn("_e", F.col("_v0") - fitted)
-    rss = float(scored.agg(F.sum(F.col("_e") * F.col("_e"))).first()[0] or 0.0)
+    rss = float(gram[0, 0] - beta @ xy[kept])
+    if rss < 1e-6 * gram[0, 0]:  # nearly exact fit: the difference has lost its digits
+        rss = float(scored.agg(F.sum(F.col("_e") * F.col("_e"))).first()[0] or 0.0)
 
     counted = [c for e, c in zip(effects, levels) if not (cluster and set(cluster) <= set(e))]
     absorbed = sum(counted) - max(len(counted) - 1, 0) if effects else 1
