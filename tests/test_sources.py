@@ -79,7 +79,7 @@ def _flows(spark):
 
 def test_year_overwrite_keeps_other_years(spark, tmp_path, rows):
     path = f"{tmp_path}/t"
-    sinks.write_by_year(_flows(spark), path, files_per_year=3)
+    sinks.write_by_year(_flows(spark), path)
     sinks.write_by_year(spark.createDataFrame([(1996, "z", 9.0)], "year int, k string, value double"), path, only_years_present=True)
     assert rows(panel.scan_panel(spark, path), "year", "k") == [(1995, "a"), (1995, "b"), (1996, "z")]
     sinks.write_by_year(_flows(spark).filter("year = 1996"), path)

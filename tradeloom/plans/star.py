@@ -63,7 +63,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """Written once per application and input folder, partitioned by year, and read back."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        _written[key] = write_by_year(make(), fresh_path(spark, name), files_per_year=2)
+        _written[key] = write_by_year(make(), fresh_path(spark, name))
     return spark.read.parquet(_written[key])
 
 

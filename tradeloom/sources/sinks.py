@@ -5,8 +5,6 @@ from __future__ import annotations
 import os.path
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from tradeloom import schema as S
 
 
@@ -15,19 +13,15 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: s
     return path
 
 
-def write_by_year(df: DataFrame, path: str, mode: str = "overwrite", files_per_year: int = 1, only_years_present: bool = False) -> str:
-    """Partition by ``year``; ``files_per_year`` tasks share a year.
+def write_by_year(df: DataFrame, path: str, mode: str = "overwrite", only_years_present: bool = False) -> str:
+    """Partition by ``year``.
 
-    Rows of a year are dealt over the tasks by a hash of the whole row, so one
-    heavy year or country does not end up in one task. With
-    ``only_years_present`` an overwrite replaces just the years in ``df``.
+    Rows are brought together by year with a rebalance hint: at run time a
+    heavy year is split into files of the advisory size and light years share a
+    task, so no year has to fit one task. With ``only_years_present`` an
+    overwrite replaces just the years in ``df``.
     """
-    if files_per_year > 1:
-        deal = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_year))
-        df = df.withColumn("_deal", deal).repartition(S.YEAR, "_deal").drop("_deal")
-    else:
-        df = df.repartition(S.YEAR)
-    writer = df.write.mode(mode).option("compression", "zstd").partitionBy(S.YEAR)
+    writer = df.hint("rebalance", S.YEAR).write.mode(mode).option("compression", "zstd").partitionBy(S.YEAR)
     if only_years_present:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
