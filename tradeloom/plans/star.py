@@ -104,7 +104,7 @@ def pref(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("cut_min").cast("double").alias("min_rate"),
         F.max("cut_max").cast("double").alias("max_rate"),
     ).filter(F.col("tariff_rate").isNotNull())
-    products = c.select(*keys, S.PRODUCT).distinct()
+    products = c.select(*keys, S.PRODUCT)  # one cell per product already
     out = products.join(rates, keys).withColumn("tariff_type", F.lit("AVEPref"))
     return out.select(S.EXPORTER, S.IMPORTER, S.YEAR, S.PRODUCT, *S.RATES, "tariff_type")
 

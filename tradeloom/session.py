@@ -14,13 +14,15 @@ def build_session(app: str = "tradeloom", master: str | None = None, shuffle_par
     Shuffle width and memory belong to the cluster; they are only set here for
     local runs. AQE coalesces small partitions, turns shuffled joins into
     broadcasts once the real size is known, and splits skewed join partitions
-    even when that costs another shuffle.
+    even when that costs another shuffle. Files are taken to grow fourfold in
+    memory, so that a compressed table is not broadcast by its size on disk.
     """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.sql.sources.fileCompressionFactor", "4.0")
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:
