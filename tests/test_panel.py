@@ -86,6 +86,16 @@ def test_headings_keep_the_last_row(spark, rows):
     assert rows(added.six_digit_rates(mapped), "product_code", "rate") == [("841221", 0.0)]
 
 
+def test_preset_actions(spark, rows):
+    from tradeloom import presets
+    from tradeloom.sources.added import action_log
+
+    codes = spark.createDataFrame([("0101.21.00", "9903.88.03"), ("0101.29.00", "9903.88.15")], "hs_code string, heading string")
+    mapped = added.rates_by_heading(codes, action_log(spark, presets.tariff_actions()))
+    assert rows(mapped, "heading", "rate") == [("9903.88.03", 0.25), ("9903.88.15", 0.075)]
+    assert len(set(presets.STEEL_AND_ALUMINIUM_PRODUCTS)) == 186
+
+
 def test_row_checks(spark, rows):
     df = spark.createDataFrame([(1, "a", 100.0, "x"), (2, "b", None, None), (3, "c", 5.0, "y"), (3, "c", 5.0, "y")], "id int, k string, v double, t string")
     wanted = spark.createDataFrame([(1, "a", "100.9", "x"), (2, "b", None, None), (3, "c", "5", "y"), (4, "d", "1", "x")], "id int, k string, expected_v string, expected_t string")

@@ -1,6 +1,9 @@
 """Run registered queries against their SQL in an in-process DuckDB and report differences.
 
-usage: python tools/compare.py SF_DIR [NAME_PART ...]
+usage: python tools/compare.py [--large] SF_DIR [NAME_PART ...]
+
+``--large`` makes the planner act as on large tables: it never broadcasts and
+splits join partitions at once.
 """
 
 from __future__ import annotations
@@ -19,6 +22,13 @@ from tradeloom.session import build_session  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+LARGE = {
+    "autoBroadcastJoinThreshold": "-1",
+    "adaptive.skewJoin.skewedPartitionFactor": "1.0",
+    "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "adaptive.advisoryPartitionSizeInBytes": "64k",
+}
+
 
 def tidy(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
@@ -31,9 +41,13 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
 
 
 def main() -> int:
-    sf, parts = sys.argv[1], sys.argv[2:]
+    large = "--large" in sys.argv
+    sf, *parts = [a for a in sys.argv[1:] if a != "--large"]
     spark = build_session("compare", f"local[{os.environ.get('BENCH_CPUS', '8')}]", 8)
     spark.sparkContext.setLogLevel("ERROR")
+    if large:
+        for key, value in LARGE.items():
+            spark.conf.set(f"spark.sql.{key}", value)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")

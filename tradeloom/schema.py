@@ -47,7 +47,8 @@ ADDED = T.StructType(
 )
 
 ACTION_LOG = T.StructType(
-    _fields(T.DateType, "effective_date")
+    _fields(T.IntegerType, "seq")
+    + _fields(T.DateType, "effective_date")
     + _fields(T.StringType, "action_entity", "tariff_target", "legal_basis")
     + _fields(T.DoubleType, "trade_value_usd", "applied_rate")
     + _fields(T.StringType, "status", "hts_heading")
