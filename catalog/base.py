@@ -124,8 +124,9 @@ def with_tables(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({TABLES[n]})" for n in TABLES if n in needed)
     text = sql.strip()
-    if text.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{text[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(start):
+            return f"{start}{ctes},\n{text[len(start):]}"
     return f"WITH {ctes}\n{text}"
 
 

@@ -58,11 +58,26 @@ def _gram(df: DataFrame, columns: list[str], weight: str | None = None) -> np.nd
     return out.reshape(k, k)
 
 
-def _level_sums(rows: DataFrame, f: int, v: list[str]) -> DataFrame:
-    return rows.groupBy(F.col(f"_g{f}").alias("g")).agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(v)])
+def _level_sums(rows: DataFrame, effects: list[list[str]], v: list[str]) -> tuple[DataFrame, list[int]]:
+    """Rows and column sums of every level, and the number of levels per fixed effect.
 
-
-def _level_effects(rows: DataFrame, levels: list[int], v: list[str]) -> tuple[DataFrame, int, bool]:
+    A second hash of the keys shows whether two levels share an id.
+    """
+    parts = []
+    for f, keys in enumerate(effects):
+        check = F.xxhash64(F.lit("check"), F.lit(f), *[F.col(c) for c in keys])
+        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(v)]
+        level = rows.groupBy(F.col(f"_g{f}").alias("g")).agg(F.count("*").cast("double").alias("n"), (F.min(check) != F.max(check)).alias("clash"), *sums)
+        parts.append(level.withColumn("f", F.lit(f)))
+    table = materialise(reduce(DataFrame.unionByName, parts), "levels")
+    counts = {r["f"]: r for r in table.groupBy("f").agg(F.count("*").alias("n"), F.count_if("clash").alias("clashes")).collect()}
+    shared = [effects[f] for f, r in counts.items() if r["clashes"]]
+    if shared:
+        raise ValueError(f"two levels of {shared} have the same 64-bit id")
+    return table.drop("clash"), [counts[f]["n"] if f in counts else 0 for f in range(len(effects))]
+
+
+def _level_effects(rows: DataFrame, sums: DataFrame, levels: list[int], v: list[str]) -> tuple[DataFrame, int, bool]:
     """Effects of every level on every column: the least-squares fit of the columns on all levels.
 
     The normal equations ``D'D a = D'v`` are kept as level sums and a table of
@@ -71,7 +86,6 @@ def _level_effects(rows: DataFrame, levels: list[int], v: list[str]) -> tuple[Da
     the rest solved at once; otherwise conjugate gradients are used.
     """
     n_fe = len(levels)
-    sums = materialise(reduce(DataFrame.unionByName, [_level_sums(rows, f, v).withColumn("f", F.lit(f)) for f in range(n_fe)]), "levels")
     if n_fe == 1:
         return sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in range(len(v))]), 0, True
     both = [(F.lit(i), F.col(f"_g{i}"), F.col(f"_g{j}")) for i in range(n_fe) for j in range(n_fe) if i != j]
@@ -178,41 +192,29 @@ def _solve_by_gradients(sums: DataFrame, pairs: DataFrame, k: int) -> tuple[Data
 
 
 def _with_level_ids(data: DataFrame, effects: list[list[str]]) -> DataFrame:
-    """A 64-bit id per fixed-effect level; :func:`_check_ids` proves the ids distinct."""
+    """A 64-bit id per fixed-effect level, as ``_g0, _g1, ...``."""
     return data.withColumns({f"_g{f}": F.xxhash64(F.lit(f), *[F.col(c) for c in keys]) for f, keys in enumerate(effects)})
 
 
-def _check_ids(data: DataFrame, effects: list[list[str]]) -> list[int]:
-    """Number of levels per fixed effect; raises if two levels share an id."""
-    counts = []
-    for f, keys in enumerate(effects):
-        text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in keys])
-        per_id = data.groupBy(f"_g{f}").agg((F.min(text) != F.max(text)).alias("clash"))
-        row = per_id.agg(F.count("*").alias("n"), F.count_if("clash").alias("clashes")).first()
-        if row["clashes"]:
-            raise ValueError(f"two levels of {keys} have the same 64-bit id")
-        counts.append(row["n"])
-    return counts
-
-
-def demean(data: DataFrame, columns: list[str], levels: list[int]) -> tuple[DataFrame, int, bool]:
+def demean(data: DataFrame, columns: list[str], effects: list[list[str]]) -> tuple[DataFrame, list[int], int, bool]:
     """Rows with each column's fixed effects subtracted, as ``_v0, _v1, ...``.
 
-    ``data`` has level ids; ``levels`` counts them per fixed effect. Level
-    effects join on one fixed effect after the other; each table has one row per
-    level, so hot levels split without repeating much.
+    ``data`` has level ids; the levels per fixed effect are counted on the way.
+    Level effects join on one fixed effect after the other; each table has one
+    row per level, so hot levels split without repeating much.
     """
     k = len(columns)
-    if not levels:
+    if not effects:
         means = data.agg(*[F.avg(c) for c in columns]).first()
-        return data.withColumns({f"_v{i}": F.col(c) - F.lit(float(means[i])) for i, c in enumerate(columns)}), 0, True
-    solved, rounds, done = _level_effects(data, levels, columns)
+        return data.withColumns({f"_v{i}": F.col(c) - F.lit(float(means[i])) for i, c in enumerate(columns)}), [], 0, True
+    sums, levels = _level_sums(data, effects, columns)
+    solved, rounds, done = _level_effects(data, sums, levels, columns)
     out = data.withColumns({f"_v{i}": F.col(c).cast("double") for i, c in enumerate(columns)})
     for f in range(len(levels)):
         table = solved.select(F.col("g").alias(f"_g{f}"), *[f"a{i}" for i in range(k)])
         out = attach(out, table, [f"_g{f}"], "inner")
         out = out.withColumns({f"_v{i}": F.col(f"_v{i}") - F.col(f"a{i}") for i in range(k)}).drop(*[f"a{i}" for i in range(k)])
-    return out, rounds, done
+    return out, levels, rounds, done
 
 
 def independent_columns(gram: np.ndarray, scale: np.ndarray, tolerance: float = 1e-9) -> list[int]:
@@ -255,9 +257,7 @@ def absorbing_ols(
     keys = list(dict.fromkeys([c for e in effects for c in e] + (cluster or [])))
     data = _with_level_ids(data.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), effects)
     data = materialise(data, "design")
-    levels = _check_ids(data, effects)
-
-    within, rounds, done = demean(data, columns, levels)
+    within, levels, rounds, done = demean(data, columns, effects)
     v = [f"_v{i}" for i in range(len(columns))]
     within = materialise(within.select(*(cluster or []), outcome, *[F.col(t) for t in terms], *v), "within")
     raw = within.agg(
