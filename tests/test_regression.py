@@ -53,8 +53,8 @@ EFFECTS = {"none": [], "one": [["i"]], "two": [["i"], ["t"]], "pairs": [["i", "t
 
 
 CASES = [
-    ("none", "iid", None, 1024), ("one", "hetero", None, 1024), ("two", "iid", None, 1024), ("two", "cluster", ["c"], 1024), ("two", "cluster", ["i"], 1024),
-    ("pairs", "hetero", None, 1024), ("three", "hetero", None, 1024), ("two", "hetero", None, 0), ("three", "cluster", ["c"], 0),
+    ("none", "iid", None, 2048), ("one", "hetero", None, 2048), ("two", "iid", None, 2048), ("two", "cluster", ["c"], 2048), ("two", "cluster", ["i"], 2048),
+    ("pairs", "hetero", None, 2048), ("three", "hetero", None, 2048), ("two", "hetero", None, 0), ("three", "cluster", ["c"], 0),
 ]
 
 

@@ -23,7 +23,7 @@ from tradeloom.session import materialise
 
 TOLERANCE, MAX_ROUNDS = 1e-9, 500
 # Levels that may be solved at once, and partial blocks of that size squared.
-DENSE_LEVELS, BLOCKS, STRIPE = 1024, 32, 32
+DENSE_LEVELS, BLOCKS, STRIPE = 2048, 32, 32
 
 
 @dataclass
@@ -138,10 +138,13 @@ def _solve_small(sums: DataFrame, pairs: DataFrame, largest: int, k: int) -> Dat
 
     own = np.diag(small["n"].to_numpy(dtype=float))
     cross = pairs.filter(F.col("f") != largest).join(index.withColumnsRenamed({"h": "g", "at": "row"}), "g").join(index, "h")
-    for r in cross.select("row", "at", "m").collect():
-        own[r["row"], r["at"]] += r["m"]
+    for r in cross.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m")).collect():
+        own[r["row"], r["at"]] = r["m"]
+    # Levels that move together leave directions without an effect; they get none.
+    size_of, axes = np.linalg.eigh(own - eliminated[:, :size])
+    seen = size_of > 1e-10 * size_of[-1]
     right = small[s].to_numpy(dtype=float) - eliminated[:, size:]
-    solved = np.linalg.lstsq(own - eliminated[:, :size], right, rcond=1e-12)[0]
+    solved = axes[:, seen] @ ((axes[:, seen].T @ right) / size_of[seen, None])
 
     effects = pd.DataFrame(solved, columns=[f"a{i}" for i in range(k)])
     effects.insert(0, "g", small["g"])
