@@ -95,6 +95,28 @@ def test_first_per_key(spark, rows):
     assert rows(ranks.first_per_key(df, ["k"], ["o"])) == [("a", 1, "y")]
 
 
+def test_hot_keys_are_split(spark):
+    """On large tables a heavy key of a lookup is shared by several tasks."""
+    from tools.compare import LARGE
+    from tradeloom.operators import trend
+
+    n = 200_000
+    code = F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 500).cast("string"))
+    df = spark.range(0, n, 1, 8).select(
+        code.alias("product_code"), F.lit(2000).alias("year"), (F.col("id") % 7).cast("double").alias("value"), F.lit(2.0).alias("quantity"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    saved = {k: spark.conf.get(f"spark.sql.{k}") for k in LARGE}
+    for k, v in LARGE.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        out = trend.detrend(df, df, {"value": "trend"})
+        assert out.filter("product_code = 'hot'").agg(F.countDistinct("trend"), F.count("*")).first() == (1, (n + 2) // 3)
+        done = out.select("text", "value_detrended")
+        assert done.collect() and "SortMergeJoin(skew=true)" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 def test_written_summary_is_broadcast_only_when_small(spark):
     df = spark.createDataFrame(_skewed(500))
     plan = lambda: joins.attach_summary(df, df.groupBy("g").agg(F.avg("x").alias("m")), ["g"])._jdf.queryExecution().executedPlan().toString()

@@ -31,5 +31,7 @@ def attach_summary(rows: DataFrame, summary: DataFrame, on: list[str], how: str
 
     The planner cannot know how far an aggregate shrinks its input, so it would
     shuffle ``rows`` too. Writing the aggregate first gives it the real size.
+    It also lets AQE split a hot key: that needs both sides of the join to come
+    straight from a shuffle, with no aggregate in between.
     """
     return attach(rows, materialise(summary, tag), on, how)

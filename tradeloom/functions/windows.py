@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import ratio
-from tradeloom.functions.joins import attach
+from tradeloom.functions.joins import attach, attach_summary
 
 
 def _before(group, sort):
@@ -76,13 +76,13 @@ def broadcast_where(df: DataFrame, keys: list[str], condition: Column, x: Column
     aggregated, and no task ever holds a whole group.
     """
     picked = df.filter(condition).groupBy(*keys).agg(how(x).alias(name))
-    return attach(df, picked, keys)
+    return attach_summary(df, picked, keys, tag="picked")
 
 
 def index_to_base(df: DataFrame, group: list[str], at_base: Column, cols: list[str], suffix: str = "_indexed") -> DataFrame:
     """Each column as a percentage of its value in the base row of its group."""
     base = df.filter(at_base).groupBy(*group).agg(*[F.min(c).alias(f"_base_{c}") for c in cols])
-    out = attach(df, base, group)
+    out = attach_summary(df, base, group, tag="base")
     indexed = {f"{c}{suffix}": ratio(F.col(c), F.col(f"_base_{c}")) * 100 for c in cols}
     return out.withColumns(indexed).drop(*[f"_base_{c}" for c in cols])
 

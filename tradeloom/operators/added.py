@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradeloom import presets
 from tradeloom import schema as S
-from tradeloom.functions.joins import attach, attach_summary
+from tradeloom.functions.joins import attach_summary
 from tradeloom.functions.ranks import first_per_key
 from tradeloom.functions.windows import fill_forward
 
@@ -32,7 +32,7 @@ def rates_by_heading(codes: DataFrame, log: DataFrame) -> DataFrame:
         F.max_by(F.struct("effective_date", F.coalesce("applied_rate", F.lit(0.0)).alias("rate")), "seq").alias("_r")
     )
     pairs = codes.select("hs_code", "heading").distinct()
-    return attach(pairs, last, ["heading"]).select("hs_code", F.col("_r.rate").alias("rate"), F.col("_r.effective_date").alias("effective_date"), "heading")
+    return attach_summary(pairs, last, ["heading"], tag="headings").select("hs_code", F.col("_r.rate").alias("rate"), F.col("_r.effective_date").alias("effective_date"), "heading")
 
 
 def six_digit_rates(mapped: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tradeloom import presets
 from tradeloom import schema as S
 from tradeloom.functions.columns import fill_missing, ratio, weighted_mean
-from tradeloom.functions.joins import attach
+from tradeloom.functions.joins import attach, attach_summary
 from tradeloom.functions.ranks import cumulative_counts, pick_quantiles
 from tradeloom.functions.windows import index_to_base
 from tradeloom.operators.sample import top
@@ -94,7 +94,7 @@ def control_trends(df: DataFrame, treated_products: DataFrame, side: Column, sid
     holds the tariffed product codes.
     """
     flagged = treated_products.select(S.PRODUCT).distinct().withColumn("_hit", F.lit(True))
-    rows = attach(df.filter(F.col(S.YEAR).isin(list(years))), flagged, [S.PRODUCT])
+    rows = attach_summary(df.filter(F.col(S.YEAR).isin(list(years))), flagged, [S.PRODUCT], tag="treated")
     rows = rows.withColumns({"tariff_status": F.when(F.col("_hit"), labels[0]).otherwise(labels[1]), side_name: side})
     totals = rows.groupBy(side_name, "tariff_status", S.YEAR).agg(F.sum(S.VALUE).alias(S.VALUE), F.sum(S.QUANTITY).alias(S.QUANTITY))
     totals = totals.withColumn("unit_value", fill_missing(ratio(S.VALUE, S.QUANTITY), 0.0))
@@ -153,7 +153,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p"))
     counts = pairs.select("p.column", "p.value").filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
     kinds = counts.groupBy("column").agg(F.count("*").alias("_kinds")).filter(F.col("_kinds") > 1)
-    return counts.join(kinds.select("column"), "column", "left_semi")
+    return attach_summary(counts, kinds.select("column"), ["column"], "left_semi", tag="kinds")
 
 
 def histogram(df: DataFrame, column: str, bins: int, density: bool = False) -> DataFrame:

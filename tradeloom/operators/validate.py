@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tradeloom import presets
 from tradeloom import schema as S
 from tradeloom.functions.columns import prefix_in, weighted_mean
-from tradeloom.functions.joins import attach, attach_summary
+from tradeloom.functions.joins import attach_summary
 from tradeloom.functions.windows import fill_forward
 
 
@@ -20,7 +20,7 @@ def match_official(panel: DataFrame, official: DataFrame, rules=presets.SECTOR_R
     table = official.select(
         S.PRODUCT, F.year("effective_date").alias(S.YEAR), F.col("rate").alias("official_tariff_rate")
     )
-    out = attach(panel, table, [S.PRODUCT, S.YEAR], "inner")
+    out = attach_summary(panel, table, [S.PRODUCT, S.YEAR], "inner", tag="official")
     rate, year = F.col("official_tariff_rate"), F.col(S.YEAR)
     for prefix, fixed in reversed(list(rules)):
         applies = F.col(S.PRODUCT).startswith(prefix)
@@ -112,7 +112,7 @@ def check_rows(
     if missing:
         raise ValueError(f"columns not in the table: {missing}")
     wanted = expectations.select(*keys).distinct()
-    found = df.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("matches"), F.min(F.struct(*values)).alias("_row"))
+    found = attach_summary(df, wanted, keys, "left_semi", tag="wanted").groupBy(*keys).agg(F.count("*").alias("matches"), F.min(F.struct(*values)).alias("_row"))
     out = expectations.join(found, keys, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     enough = F.col("matches") == 1 if unique else F.col("matches") >= 1
     passed = enough
