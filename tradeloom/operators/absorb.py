@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions.joins import attach
 from tradeloom.operators.students_t import two_sided_p, t_quantile
-from tradeloom.session import materialise
+from tradeloom.session import materialise, small_table
 
 TOLERANCE, MAX_ROUNDS = 1e-9, 500
 # Levels that may be solved at once, and partial blocks of that size squared.
@@ -105,12 +105,12 @@ def _solve_small(sums: DataFrame, pairs: DataFrame, largest: int, k: int) -> Dat
     """
     spark = sums.sparkSession
     s = [f"s{i}" for i in range(k)]
-    small = sums.filter(F.col("f") != largest).select("g", "n", *s).orderBy("g").toPandas()
+    small = pd.DataFrame(sums.filter(F.col("f") != largest).select("g", "n", *s).collect(), columns=["g", "n", *s])
     size = len(small)
-    index = spark.createDataFrame(pd.DataFrame({"h": small["g"], "at": np.arange(size, dtype=np.int32)}))
+    index = small_table(spark, [(g, at) for at, g in enumerate(small["g"].tolist())], "h long, at int")
     of_largest = pairs.filter(F.col("f") == largest).join(index, "h")
     lists = of_largest.groupBy("g").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m"))
-    vectors = sums.filter(F.col("f") == largest).select("g", "n", *s).join(lists, "g").drop("g")
+    vectors = sums.filter(F.col("f") == largest).select("g", "n", F.array(*s).alias("s")).join(lists, "g").drop("g")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size, size + k))
@@ -121,7 +121,7 @@ def _solve_small(sums: DataFrame, pairs: DataFrame, largest: int, k: int) -> Dat
                 lengths = batch["at"].map(len).to_numpy()
                 a[np.repeat(np.arange(len(batch)), lengths), np.concatenate(batch["at"].to_list())] = np.concatenate(batch["m"].to_list())
                 scaled = a / batch["n"].to_numpy()[:, None]
-                total += scaled.T @ np.hstack([a, batch[s].to_numpy(dtype=float)])
+                total += scaled.T @ np.hstack([a, np.vstack(batch["s"].to_list())])
         for stripe in range(0, size, STRIPE):
             yield pd.DataFrame({"stripe": [stripe], "part": [total[stripe : stripe + STRIPE].tobytes()]})
 
@@ -146,9 +146,8 @@ def _solve_small(sums: DataFrame, pairs: DataFrame, largest: int, k: int) -> Dat
     right = small[s].to_numpy(dtype=float) - eliminated[:, size:]
     solved = axes[:, seen] @ ((axes[:, seen].T @ right) / size_of[seen, None])
 
-    effects = pd.DataFrame(solved, columns=[f"a{i}" for i in range(k)])
-    effects.insert(0, "g", small["g"])
-    of_small = spark.createDataFrame(effects)
+    named = ", ".join(f"a{i} double" for i in range(k))
+    of_small = small_table(spark, [(g, *a) for g, a in zip(small["g"].tolist(), solved.tolist())], f"g long, {named}")
     taken = of_largest.drop("h").join(index, "at").join(of_small.withColumnRenamed("g", "h"), "h")
     taken = taken.groupBy("g").agg(*[F.sum(F.col("m") * F.col(f"a{i}")).alias(f"t{i}") for i in range(k)])
     rest = sums.filter(F.col("f") == largest).join(taken, "g").select("g", *[((F.col(f"s{i}") - F.col(f"t{i}")) / F.col("n")).alias(f"a{i}") for i in range(k)])
@@ -312,7 +311,8 @@ def absorbing_ols(
             rows.append((model, term, country, year, b, s, t, p, b - width * s, b + width * s, False))
         else:
             rows.append((model, term, country, year, None, None, None, None, None, None, True))
-    table = spark.createDataFrame(
+    table = small_table(
+        spark,
         rows,
         "model string, term string, country string, year int, estimate double, std_error double, t double, p double,"
         " ci_low double, ci_high double, dropped boolean",
@@ -320,7 +320,8 @@ def absorbing_ols(
     tss, tss_within = sum_yy - sum_y * sum_y / n, float(gram[0, 0])
     r2 = 1 - rss / tss if tss else None
     r2_within = 1 - rss / tss_within if tss_within else None
-    statistics = spark.createDataFrame(
+    statistics = small_table(
+        spark,
         [(model, n, k, absorbed, dof, float(np.sqrt(rss / n)), r2, r2_within, groups, variance, rounds, done)],
         "model string, n long, k int, absorbed long, dof long, rmse double, r2 double, r2_within double, clusters long,"
         " variance string, rounds int, converged boolean",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom import presets
+from tradeloom.session import small_table
 
 
 def side_by_side(tables: list[DataFrame], value: str = "estimate") -> DataFrame:
@@ -51,8 +52,7 @@ def weighted_average(table: DataFrame, outcome: str, weights: dict[int, float] |
     The error column is the same weighted sum of the standard errors. That adds
     them linearly, as if the yearly estimates were perfectly correlated.
     """
-    spark = table.sparkSession
-    scale = spark.createDataFrame(list((weights or presets.COEFFICIENT_WEIGHTS).items()), "year int, weight double")
+    scale = small_table(table.sparkSession, list((weights or presets.COEFFICIENT_WEIGHTS).items()), "year int, weight double")
     return table.filter(~F.col("dropped")).join(scale, "year").groupBy("country").agg(
         (F.sum(F.col("estimate") * F.col("weight")) * 100).alias(f"average_coefficient_{outcome}"),
         (F.sum(F.col("std_error") * F.col("weight")) * 100).alias(f"linear_std_error_{outcome}"),

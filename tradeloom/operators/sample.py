@@ -11,7 +11,7 @@ from tradeloom import presets
 from tradeloom import schema as S
 from tradeloom.functions.columns import prefix_in, ratio
 from tradeloom.functions.ranks import cumulative_counts, pick_quantiles, positions
-from tradeloom.session import materialise
+from tradeloom.session import materialise, small_table
 
 
 def percentile_bounds(df: DataFrame, columns: list[str], lower: float = 0.01, upper: float = 0.99, nearest: bool = False) -> DataFrame:
@@ -115,7 +115,7 @@ def select_sample(
         heavy = materialise(resource_exporters(df, resource_threshold, resource_chapter).select(S.EXPORTER), "resource")
         df = df.join(heavy, S.EXPORTER, "left_anti")
     if include:
-        countries = df.sparkSession.createDataFrame([(c,) for c in include], "country string")
+        countries = small_table(df.sparkSession, [(c,) for c in include], "country string")
     else:
         that_year = df.filter(F.col(S.YEAR) == selection_year)
         if method == "importers":

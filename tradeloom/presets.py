@@ -6,6 +6,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradeloom.session import small_table
+
 # Codes of areas that stand for one or several ISO numeric codes.
 EU_AND_MONACO = (
     "040 056 100 191 196 203 208 233 246 250 276 300 348 372 380 428 440 442 470 528 616 620 642 703 705 724 752 492"
@@ -87,7 +89,7 @@ def country_group(name: str) -> list[str]:
 def area_code_table(spark: SparkSession, areas: dict[str, list[str]] | None = None) -> DataFrame:
     """Area codes as rows ``original_code, iso_num``."""
     rows = [(code, iso) for code, members in (areas or AREA_CODES).items() for iso in members]
-    return spark.createDataFrame(rows, "original_code string, iso_num string")
+    return small_table(spark, rows, "original_code string, iso_num string")
 
 
 # Six-digit steel and aluminium products under separate duties.

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app: str = "tradeloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -51,6 +55,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few in-code rows as a local relation.
+
+    The planner knows its size and can broadcast it. A table made from a Python
+    list is an RDD of unknown size, and joining it would shuffle the other side.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)
+
+
 def materialise(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradeloom import schema as S
+from tradeloom.session import small_table
 
 
 def scan_added(spark: SparkSession, paths) -> DataFrame:
@@ -28,7 +29,7 @@ def scan_dated(spark: SparkSession, path, columns: dict[str, str], date_format:
 def action_log(spark: SparkSession, records: list[dict]) -> DataFrame:
     """Hand-kept tariff actions as a table; absent fields are NULL."""
     names = S.ACTION_LOG.fieldNames()
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in records], S.ACTION_LOG)
+    return small_table(spark, [tuple(r.get(n) for n in names) for r in records], S.ACTION_LOG)
 
 
 def set_where(df: DataFrame, column: str, rules: list[tuple[Column, str]]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradeloom.functions.columns import zfill
+from tradeloom.session import small_table
 
 
 def scan_text(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
@@ -56,4 +57,4 @@ def member_lists(membership: DataFrame) -> DataFrame:
 
 def code_table(spark: SparkSession, codes, name: str) -> DataFrame:
     """A preset list as a one-column table for semi and anti joins."""
-    return spark.createDataFrame([(c,) for c in codes], T.StructType([T.StructField(name, T.StringType())]))
+    return small_table(spark, [(c,) for c in codes], T.StructType([T.StructField(name, T.StringType())]))
