@@ -170,17 +170,17 @@ def _(spark, d):
     return rounded(fit.coefficients.select("term", "estimate", "std_error"), "estimate", "std_error", digits=7)
 
 
-# Two and three crossing effects: the SQL subtracts level means in turn until nothing moves.
-def _swept(effects, sweeps, keep="partner_country"):
+# Two and three crossing effects: the SQL subtracts level means in turn until nothing moves any more.
+def _swept(effects, keep="partner_country"):
     ids = ", ".join(f"dense_rank() OVER (ORDER BY {', '.join(e)}) AS g{i}" for i, e in enumerate(effects))
     gs = ", ".join(f"g{i}" for i in range(len(effects)))
-    inner = "(SELECT * FROM sweep WHERE i < %d)" % sweeps
+    inner = f"(SELECT i, {keep}, {gs}, x, y, x AS x0, y AS y0 FROM sweep WHERE moved > 1e-10)"
     for f in range(len(effects)):
-        step = "i + 1 AS i" if f == len(effects) - 1 else "i"
-        inner = f"(SELECT {step}, {keep}, {gs}, x - avg(x) OVER (PARTITION BY g{f}) AS x, y - avg(y) OVER (PARTITION BY g{f}) AS y FROM {inner})"
+        inner = f"(SELECT i, {keep}, {gs}, x - avg(x) OVER (PARTITION BY g{f}) AS x, y - avg(y) OVER (PARTITION BY g{f}) AS y, x0, y0 FROM {inner})"
     levels = " + ".join(f"count(DISTINCT g{i})" for i in range(len(effects)))
-    return f"""{_BASE}, sweep AS (SELECT 0 AS i, {keep}, {ids}, {T} AS x, log_value AS y FROM base WHERE {T} IS NOT NULL UNION ALL SELECT * FROM {inner}),
-    within AS (SELECT * FROM sweep WHERE i = {sweeps}),
+    return f"""{_BASE}, sweep AS (SELECT 0 AS i, {keep}, {ids}, {T} AS x, log_value AS y, 1.0::double AS moved FROM base WHERE {T} IS NOT NULL
+      UNION ALL SELECT i + 1, {keep}, {gs}, x, y, max(greatest(abs(x - x0), abs(y - y0))) OVER () FROM {inner}),
+    within AS (SELECT * FROM sweep WHERE i = (SELECT max(i) FROM sweep)),
     slope AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n, count(*) - 1 - ({levels}) + {len(effects) - 1} AS dof FROM within),
     errors AS (SELECT w.*, y - b * x AS e, b, sxx, n, dof FROM within w, slope)"""
 
@@ -188,14 +188,14 @@ def _swept(effects, sweeps, keep="partner_country"):
 _SQL_EFFECTS = [["partner_country", "year", "product_code"], ["partner_country", "reporter_country"], ["reporter_country", "year", "product_code"]]
 
 
-@query("absorb_two_effects_hetero", f"WITH RECURSIVE {_swept(_SQL_EFFECTS[:2], 40)} SELECT '{T}' AS term, {sq('any_value(b)', 'estimate', 7)}, {sq(_SE['hetero'], 'std_error', 7)} FROM errors")
+@query("absorb_two_effects_hetero", f"WITH RECURSIVE {_swept(_SQL_EFFECTS[:2])} SELECT '{T}' AS term, {sq('any_value(b)', 'estimate', 7)}, {sq(_SE['hetero'], 'std_error', 7)} FROM errors")
 def _(spark, d):
     data = design.usable(_data(spark, d), ["log_value", T])
     fit = absorb.absorbing_ols(data, "log_value", [T], _SQL_EFFECTS[:2], "hetero")
     return rounded(fit.coefficients.select("term", "estimate", "std_error"), "estimate", "std_error", digits=7)
 
 
-@query("absorb_three_effects_cluster", f"""WITH RECURSIVE {_swept(_SQL_EFFECTS, 60, 'product_code')}, scores AS (SELECT product_code, sum(x * e) AS s, any_value(b) AS b, any_value(sxx) AS sxx, any_value(n) AS n,
+@query("absorb_three_effects_cluster", f"""WITH RECURSIVE {_swept(_SQL_EFFECTS, 'product_code')}, scores AS (SELECT product_code, sum(x * e) AS s, any_value(b) AS b, any_value(sxx) AS sxx, any_value(n) AS n,
       any_value((SELECT count(*) - 1 - count(DISTINCT g1) FROM within)) AS dof FROM errors GROUP BY 1)
     SELECT '{T}' AS term, {sq('any_value(b)', 'estimate', 7)}, {sq('sqrt(sum(s * s) * count(*) / (count(*) - 1) * (any_value(n) - 1) / any_value(dof)) / any_value(sxx)', 'std_error', 7)} FROM scores""")
 def _(spark, d):
