@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradeloom.llm import ngram_join
+from tradeloom.llm import ngram_join, suffix_dedup
 from tradeloom.llm.base import query
 from tradeloom.llm.common import table
 
@@ -13,3 +14,10 @@ from tradeloom.llm.common import table
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.links_and_classes(docs).select("doc_id", "class_id", "n_links")
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = suffix_dedup.deduplicate(docs)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

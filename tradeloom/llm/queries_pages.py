@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import warc
+from tradeloom.llm import main_text, warc
 from tradeloom.llm.base import query
 from tradeloom.llm.common import table
 from tradeloom.session import fresh_path
@@ -27,3 +27,9 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(revisit, F.col("stated_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", page_number("refers_to").alias("refers_to"),
     )
+
+
+@query("op3_main_text")
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

@@ -1,11 +1,11 @@
-"""Queries of the quality classifier and the benchmark search."""
+"""Queries that judge documents: quality, benchmark passages, license notices."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import decontaminate, quality
+from tradeloom.llm import decontaminate, licenses, quality
 from tradeloom.llm.base import query
 from tradeloom.llm.common import table
 
@@ -24,3 +24,8 @@ def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_benchmark_decontamination")
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
