@@ -71,7 +71,7 @@ def offset(seed: int) -> float:
 
 
 def count_copies(df: DataFrame, order: list[str], size: str = "size", weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1) -> DataFrame:
-    """``df`` (with ``source`` and ``size``) plus ``source_size``, ``target`` and ``copies``.
+    """``df`` (with ``source`` and ``size``) plus ``source_size``, ``target`` and ``copies``, which replace columns of these names.
 
     ``order`` makes the order within a source total together with the size;
     rows that agree in it are told apart by their scan position. Expected copies
@@ -80,6 +80,7 @@ def count_copies(df: DataFrame, order: list[str], size: str = "size", weights: S
     which splits a source of any size over many tasks. It samples its range bounds
     first, so ``df`` is computed twice: pass a written table if it is costly.
     """
+    df = df.drop("source_size", "target", "copies")
     scratch = Scratch(df.sparkSession, "mix")
     numbered = df.withColumn("__seq", F.monotonically_increasing_id())
     sizes = df.groupBy("source").agg(F.sum(size).alias("source_size"))

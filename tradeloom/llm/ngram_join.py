@@ -240,9 +240,9 @@ def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
 
     sizes = groups.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES))
-    sizes = scratch.write(sizes.select("root", "shingles", blocks.alias("blocks")))
-    total = sizes.filter("blocks = 1").agg(F.sum("shingles")).first()[0] or 0
-    bundles = max(1, -(-total * 8 // BLOCK_BYTES))
+    sizes = scratch.write(sizes.select("root", "texts", "shingles", blocks.alias("blocks")))
+    small = sizes.filter("blocks = 1").agg(F.sum("shingles"), F.sum("texts")).first()
+    bundles = max(1, -(-(small[0] or 0) * 8 // BLOCK_BYTES), -(-(small[1] or 0) // BLOCK_TEXTS))
 
     members = groups.join(sizes.select("root", "blocks"), "root").join(nodes.select("node", "at", "copies"), "node")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("at.key", "at.text_key", "node", "root", "blocks", "block", "copies")
@@ -273,7 +273,7 @@ def keep_one_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: floa
     """One row of each class, that with the least (id, text hash). Of documents without words, one of each id stays."""
     scratch = Scratch(docs.sparkSession, "ngram")
     classes = links_and_classes(docs.select("doc_id", "text"), threshold, tolerance)
-    at = F.struct("key", "text_key")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "key", "text_key")  # rows with an id first
     alone = F.when(F.col("root").isNull(), at)
     kept = scratch.write(classes.groupBy("root", alone.alias("alone")).agg(F.min(at).alias("at")).select("at.key", "at.text_key"))
     keyed = docs.withColumns({"__key": row_key(), "__text": text_key()})

@@ -8,8 +8,9 @@ combined into one probability.
 The network is fitted on a bounded sample of labelled texts (``Settings``), with
 excerpts of long ones; scoring reads every byte of every text. Null texts count
 as empty; an empty text has one chunk of padding, so it has a score too. A
-column named like the score column is replaced. An empty table gives no rows; a
-sample without both labels raises ``ValueError``.
+column named like the score column is replaced. An empty table gives no rows.
+Where the sample lacks one label, every text gets (n1 + 1) / (n + 2), n1 of the n
+labels being 1: a half if there are none.
 """
 
 from __future__ import annotations
@@ -74,16 +75,24 @@ def inputs(net: Network, data: np.ndarray, first: int, last: int) -> np.ndarray:
     return np.concatenate([x[:-1], x[1:]], axis=1)
 
 
-def pooled_blocks(net: Network, data: np.ndarray) -> np.ndarray:
-    n = (len(data) - PAD) // BLOCK
+def pooled_blocks(net: Network, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Largest response of each filter in each block."""
+    n = int(starts[-1])
     out = np.empty((n, len(net.shift)), np.float32)
     for a in range(0, n, PIECE):
         b = min(n, a + PIECE)
-        z = inputs(net, data, a, b) @ net.kernel
-        out[a:b] = z.reshape(b - a, POSITIONS, -1).max(1)
+        z = (inputs(net, data, a, b) @ net.kernel).reshape(b - a, POSITIONS, -1)
+        leave_out_crossing(z, starts, a)
+        out[a:b] = z.max(1)
     return out + net.shift
 
 
+def leave_out_crossing(z: np.ndarray, starts: np.ndarray, first: int) -> None:
+    """A text's last position sees only padding and the next text's bytes."""
+    ends = starts[1:] - 1 - first
+    z[ends[(ends >= 0) & (ends < len(z))], -1] = -np.inf
+
+
 def chunk_pairs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Second block of the chunk that each block begins (its last block ends its text), and chunks per text."""
     n = int(starts[-1])
@@ -111,7 +120,7 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     data, starts = lay_out(texts)
-    features, _, _ = text_features(pooled_blocks(net, data), starts)
+    features, _, _ = text_features(pooled_blocks(net, data, starts), starts)
     z = (features @ net.weight + net.bias[0]).astype(np.float64)
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
@@ -122,6 +131,7 @@ def gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> tuple[flo
     n = int(starts[-1])
     x = inputs(net, data, 0, n)
     z = (x @ net.kernel).reshape(n, POSITIONS, -1)
+    leave_out_crossing(z, starts, 0)
     at = z.argmax(1)
     blocks = np.take_along_axis(z, at[:, None, :], 1)[:, 0, :] + net.shift
     features, wins, share = text_features(blocks, starts)
@@ -145,16 +155,24 @@ def gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> tuple[flo
     return loss, [d_embed, d_kernel, to_block.sum(0), features.T @ d, np.array([d.sum()])]
 
 
+def constant(probability: float, settings: Settings) -> Network:
+    """A network that gives every text the same probability."""
+    e, f = settings.embedding, settings.filters
+    zeros = [np.zeros(shape, np.float32) for shape in ((256, e), (WIDTH * e, f), f, f)]
+    return Network(*zeros, np.array([np.log(probability / (1 - probability))], np.float32))
+
+
 def fit(texts: list[bytes], labels: Iterable[int], settings: Settings = Settings()) -> Network:
     """Network fitted to labelled texts by Adam; the same input gives the same network."""
     y = np.asarray(list(labels), np.float32)
+    prior = (float(y.sum()) + 1) / (len(y) + 2)
     if not 0 < y.sum() < len(y):
-        raise ValueError("the sample must hold both labels")
+        return constant(prior, settings)
     rng = np.random.default_rng(settings.seed)
     e, f = settings.embedding, settings.filters
     net = Network(
         (rng.normal(size=(256, e)) * 0.5).astype(np.float32), (rng.normal(size=(WIDTH * e, f)) * 0.2).astype(np.float32), np.zeros(f, np.float32),
-        (rng.normal(size=f) * 0.2).astype(np.float32), np.array([np.log(y.mean() / (1 - y.mean()))], np.float32),
+        (rng.normal(size=f) * 0.2).astype(np.float32), np.array([np.log(prior / (1 - prior))], np.float32),
     )
     arrays = [net.embed, net.kernel, net.shift, net.weight, net.bias]
     first, square = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays]

@@ -32,13 +32,14 @@ def assign_shards(df: DataFrame, n_shards: int, order: list[str], size: str = "s
     (0, 1, ... inside the shard).
 
     A shard's bytes differ from the equal share by at most one row at each end.
-    Columns named like the helpers (``__part``, ``__seq``, ...) are not allowed.
+    Columns called ``shard`` or ``slot`` are replaced.
     Only what ``df`` carries is shuffled: pass ids and sizes, not texts, and
     join texts afterwards if they are needed. Range bounds are sampled first, so
     ``df`` is computed twice: pass a written table if it is costly.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
+    df = df.drop("shard", "slot")
     scratch = Scratch(df.sparkSession, "shards")
     numbered = df.withColumn("__seq", F.monotonically_increasing_id())
     total_order = [*order, size, "__seq"]

@@ -161,9 +161,10 @@ FOUND = "doc long, tag long, start int, n int, bucket long, hot boolean"
 
 def chunk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats (bucket null) and chunks to compare (with a bucket) of one partition of anchors."""
-    got = pa.Table.from_batches(list(batches))
-    if not got.num_rows:
+    all_batches = list(batches)
+    if not sum(b.num_rows for b in all_batches):
         return
+    got = pa.Table.from_batches(all_batches)
     anchor, content, doc, tag, start, n = (got.column(c).to_numpy() for c in ("anchor", "content", "doc", "tag", "start", "n"))
     known = n < 0
     yield found(doc[known], tag[known], start[known], -n[known])
@@ -202,9 +203,10 @@ def column_wise_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat, ends = code[flat], np.cumsum(sizes)
     n, symbols = len(texts), len(present) + 1
     block = 256
-    bases = np.repeat(np.arange(int(ends[-1] + n) // block + 1, dtype=np.int64) * symbols, block) if n else np.zeros(0, np.int64)
+    bases = np.repeat(np.arange((len(flat) + n) // block + 1, dtype=np.int64) * symbols, block)
 
-    bwt = np.where(sizes > 0, flat[ends - 1], 0).astype(np.uint8)
+    bwt = np.zeros(n, np.uint8)
+    bwt[sizes > 0] = flat[ends[sizes > 0] - 1]
     active, place = np.flatnonzero(sizes > 0), np.flatnonzero(sizes > 0)  # in order of place
     length = 1
     while len(active):
