@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEYS, chapters, q, query, rounded, sq
+from catalog.base import KEYS, chapters, q, query, rounded, sq, sqs
 from tradeloom.operators import absorb, coefficients, design
 from tradeloom.plans import star
 
@@ -206,34 +206,114 @@ def _(spark, d):
 
 _TWO_WAY = [["importer", "year", "product_code"], ["importer", "exporter"]]
 _THREE_WAY = [*_TWO_WAY, ["exporter", "year", "product_code"]]
+_KEYS_OF = {"importer": "partner_country", "exporter": "reporter_country"}
+
+
+# Models with several terms in SQL. A term's coefficient is that of its part which the other terms do not explain, and
+# so is its robust variance; the parts come from sweeping terms out of each other in turn.
+def _partialled(source, k, over):
+    """``source`` with r0, r1, ...: each term less what the others explain."""
+    for m in range(k):
+        made = []
+        for j in range(k):
+            order = [*[i for i in range(k) if i != j], j]
+            x = f"x{order[m]}"
+            less = [f"CASE WHEN sum(o{j}_{n} * o{j}_{n}) OVER {over} > 1e-12 THEN sum({x} * o{j}_{n}) OVER {over} / sum(o{j}_{n} * o{j}_{n}) OVER {over} * o{j}_{n} ELSE 0 END" for n in range(m)]
+            made.append(" - ".join([x, *less]) + f" AS o{j}_{m}")
+        source = f"(SELECT *, {', '.join(made)} FROM {source})"
+    return f"(SELECT *, {', '.join(f'o{j}_{k - 1} AS r{j}' for j in range(k))} FROM {source})"
+
+
+# Student's t for the degrees of freedom at hand: the upper 2.5% point by its expansion around the normal one, and the
+# two-sided probability by Simpson's rule.
+_Z = 1.959963984540054
+_T975 = f"({_Z} + ({_Z}^3 + {_Z}) / (4 * df) + (5 * {_Z}^5 + 16 * {_Z}^3 + 3 * {_Z}) / (96 * df^2) + (3 * {_Z}^7 + 19 * {_Z}^5 + 17 * {_Z}^3 - 15 * {_Z}) / (384 * df^3))"
+_P = """1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * least(abs(t), 40) / 1200 *
+    list_sum(list_transform(range(0, 401), lambda k: CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(least(abs(t), 40) * k / 400, 2) / df, -(df + 1) / 2)))"""
+
+
+def _model(source, outcome, terms, effects, cluster=None, extra=()):
+    """CTEs that end in ``coefs`` (term, estimate, std_error, t, p, ci_low, ci_high, n, dof and fit statistics) and need
+    WITH RECURSIVE; ``terms`` maps names to expressions over ``source``."""
+    k, f = len(terms), len(effects)
+    named = [[_KEYS_OF.get(c, c) for c in e] for e in effects]
+    by = [_KEYS_OF.get(c, c) for c in cluster or []]
+    ids = ", ".join(f"dense_rank() OVER (ORDER BY {', '.join(e)}) AS g{i}" for i, e in enumerate(named))
+    gs, kept = ", ".join(f"g{i}" for i in range(f)), "".join(f"{c}, " for c in by)
+    vs = [*[f"x{j}" for j in range(k)], "y"]
+    inner = f"(SELECT i, {kept}{gs}, raw, {', '.join(vs)}, {', '.join(f'{v} AS {v}_0' for v in vs)} FROM sweep WHERE moved > 1e-11)"
+    for g in range(f):
+        inner = f"(SELECT i, {kept}{gs}, raw, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY g{g}) AS {v}' for v in vs)}, {', '.join(f'{v}_0' for v in vs)} FROM {inner})"
+    moved = ", ".join(f"abs({v} - {v}_0)" for v in vs)
+    counted = [i for i, e in enumerate(named) if not (by and set(by) <= set(e))]
+    levels = " + ".join(f"count(DISTINCT g{i})" for i in counted) or "0"
+    # A term without a part of its own is left out.
+    beta = ", ".join(f"CASE WHEN sum(r{j} * r{j}) OVER () > 1e-9 THEN sum(r{j} * y) OVER () / sum(r{j} * r{j}) OVER () END AS b{j}" for j in range(k))
+    fitted = " + ".join(f"coalesce(b{j}, 0) * x{j}" for j in range(k))
+    terms_kept = " - ".join(f"(b{j} IS NOT NULL)::int" for j in range(k))
+    if by:
+        spread = lambda j: f"(SELECT sum(s * s) * count(*) / (count(*) - 1) FROM (SELECT sum(r{j} * e) AS s FROM errors GROUP BY {', '.join(by)})) * (any_value(n) - 1) / any_value(dof)"
+        df = f"(SELECT count(*) - 1 FROM (SELECT DISTINCT {', '.join(by)} FROM errors))"
+    else:
+        spread, df = (lambda j: f"sum(r{j} * r{j} * e * e) * any_value(n) / any_value(dof)"), "any_value(dof)"
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS term, any_value(b{j}) AS estimate, CASE WHEN any_value(b{j}) IS NOT NULL THEN sqrt({spread(j)}) / sum(r{j} * r{j}) END AS std_error, {df}::double AS df, any_value(n) AS n, any_value(dof) AS dof,"
+        f" sum(e * e) AS rss, sum(y * y) AS tss_within, var_pop(raw) * any_value(n) AS tss FROM errors" for j, name in enumerate(terms))
+    return f"""used AS (SELECT {kept}{ids}, {', '.join(f'({x})::double AS x{j}' for j, x in enumerate(terms.values()))}, {outcome} AS y, {outcome} AS raw FROM {source}),
+    sweep AS (SELECT 0 AS i, {kept}{gs}, raw, {', '.join(vs)}, 1.0::double AS moved FROM used
+      UNION ALL SELECT i + 1, {kept}{gs}, raw, {', '.join(vs)}, max(greatest({moved})) OVER () FROM {inner}),
+    within AS (SELECT * FROM sweep WHERE i = (SELECT max(i) FROM sweep)),
+    sized AS (SELECT count(*) AS n, count(*) - ({levels}) + {max(len(counted) - 1, 0)} AS dof_all FROM within),
+    errors AS (SELECT *, dof_all - {terms_kept} AS dof, y - ({fitted}) AS e FROM (SELECT *, {beta} FROM {_partialled('within', k, '()')}), sized),
+    raw_coefs AS ({rows}),
+    coefs AS (SELECT *, CASE WHEN t IS NOT NULL THEN {_P} END AS p, estimate - {_T975} * std_error AS ci_low, estimate + {_T975} * std_error AS ci_high FROM (SELECT *, estimate / std_error AS t FROM raw_coefs))"""
+
+
+def _years_of(condition, name="direct"):
+    return {f"{name}_{y}": f"CASE WHEN {condition} AND year = {y} THEN tau ELSE 0.0 END" for y in YEARS}
+
+
+_COEFS = f"{sqs('estimate', 'std_error', digits=6)}, {sqs('t', digits=4)}, {sqs('p', 'ci_low', 'ci_high', digits=5)}"
+_DIRECT = _years_of(f"partner_country = '{I}' AND reporter_country = '{E}'")
+_DIRECT_SQL = f"WITH RECURSIVE {_BASE}, {_model('treated', 'log_value', _DIRECT, _TWO_WAY)} "
+
+
+def _tidy(table, *more):
+    out = table.select("term", *more, "estimate", "std_error", "t", "p", "ci_low", "ci_high")
+    return rounded(rounded(rounded(out, "estimate", "std_error", digits=6), "t", digits=4), "p", "ci_low", "ci_high", digits=5)
 
 
 def _direct(spark, d, outcome="log_value", importers=(I,)):
     return design.interaction_panel(_data(spark, d), "direct", list(importers), [E], YEARS, outcome, treated_pair=PAIR)
 
 
-@query("direct_effect_two_way")
+@query("direct_effect_two_way", _DIRECT_SQL + f"SELECT term, {_COEFS} FROM coefs")
 def _(spark, d):
     m = _direct(spark, d)
-    return absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero", labels=m.labels).coefficients
+    return _tidy(absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero", labels=m.labels).coefficients)
 
 
-@query("direct_effect_three_way_clustered")
+@query("direct_effect_three_way_clustered", f"WITH RECURSIVE {_BASE}, {_model('treated', 'log_value', _DIRECT, _THREE_WAY, ['product_code', 'importer'])} SELECT term, {_COEFS} FROM coefs")
 def _(spark, d):
     m = _direct(spark, d)
-    return absorb.absorbing_ols(m.data, "log_value", m.terms, _THREE_WAY, "cluster", ["product_code", "importer"], labels=m.labels).coefficients
+    return _tidy(absorb.absorbing_ols(m.data, "log_value", m.terms, _THREE_WAY, "cluster", ["product_code", "importer"], labels=m.labels).coefficients)
 
 
-@query("direct_effect_statistics")
+@query("direct_effect_statistics", _DIRECT_SQL + f"SELECT DISTINCT n, dof, {sq('sqrt(rss / n)', 'rmse', 6)}, {sq('1 - rss / tss', 'r2', 7)}, {sq('1 - rss / tss_within', 'r2_within', 7)} FROM coefs WHERE term = 'direct_1998'")
 def _(spark, d):
     m = _direct(spark, d)
-    return absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero").statistics.drop("rounds")
+    table = absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero").statistics.select("n", "dof", "rmse", "r2", "r2_within")
+    return rounded(rounded(table, "rmse", digits=6), "r2", "r2_within", digits=7)
+
+
+def _cumulative(n):
+    return f"SELECT '{'+'.join('^'.join(e) for e in _TWO_WAY[:n])}' AS model, term, {_COEFS} FROM (WITH RECURSIVE {_model('treated', 'log_value', _DIRECT, _TWO_WAY[:n])} SELECT * FROM coefs)"
 
 
-@query("cumulative_fixed_effects")
+@query("cumulative_fixed_effects", f"WITH {_BASE} {_cumulative(1)} UNION ALL {_cumulative(2)}")
 def _(spark, d):
     m = _direct(spark, d)
-    return absorb.cumulative_effects(m.data, "log_value", m.terms, _TWO_WAY, "hetero")
+    return _tidy(absorb.cumulative_effects(m.data, "log_value", m.terms, _TWO_WAY, "hetero"), "model")
 
 
 def _saturated(spark, d, outcome):
@@ -254,35 +334,105 @@ def _(spark, d):
     return coefficients.append_missing(merged, coefficients.weighted_averages(direct, _WEIGHTS))
 
 
-@query("elasticity_by_year")
+@query("elasticity_by_year", _DIRECT_SQL + f"SELECT 'model' AS model, term, right(term, 4)::int AS year, {sq('estimate * 100', 'elasticity', 4)}, {sq('ci_high * 100', 'bound_low', 3)}, {sq('ci_low * 100', 'bound_high', 3)} FROM coefs")
 def _(spark, d):
     m = _direct(spark, d)
-    return coefficients.elasticity(absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero", labels=m.labels).coefficients)
+    table = coefficients.elasticity(absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero", labels=m.labels).coefficients)
+    return rounded(rounded(table, "elasticity"), "bound_low", "bound_high", digits=3)
 
 
-def _by_country(spark, d):
-    def fit(country):
-        m = _direct(spark, d, importers=[country])
-        return absorb.absorbing_ols(m.data, "log_value", m.terms, [["exporter", "year", "product_code"]], "hetero", model=country, labels=m.labels).coefficients
-
-    return coefficients.per_country(["008", "010"], fit)
+@query("coefficients_with_name_parts", _DIRECT_SQL + f"SELECT term, 'direct' AS country, right(term, 4)::int AS year, {sq('estimate', 'estimate', 6)} FROM coefs")
+def _(spark, d):
+    m = _direct(spark, d)
+    table = absorb.absorbing_ols(m.data, "log_value", m.terms, _TWO_WAY, "hetero").coefficients.drop("country", "year")
+    return rounded(coefficients.with_name_parts(table, r"([a-z]+)_(\d{4})").select("term", "country", "year", "estimate"), "estimate", digits=6)
+
+
+def _by_country(spark, d, importers=None):
+    """One model per importer, all of them on one sample: three terms each, demeaned together."""
+    data = design.with_roles(design.treatment_rate(_data(spark, d), *PAIR))
+    if importers is None:
+        importers = [r[0] for r in data.select("importer").distinct().orderBy("importer").collect()]  # the country list
+    columns, models = {}, []
+    for c in importers:
+        active = (F.col("importer") == c) & (F.col("exporter") == E)
+        terms = design.by_year(f"direct_{c}", active, YEARS)
+        columns |= terms
+        models.append(absorb.Model(c, "log_value", list(terms), {t: (c, int(t[-4:])) for t in terms}))
+    sample = design.usable(data, ["log_value", design.TREATMENT]).withColumns(columns)
+    fits = absorb.fit_models(sample, models, [["exporter", "year", "product_code"]], "hetero")
+    out = fits[0].coefficients
+    for fit in fits[1:]:
+        out = out.unionByName(fit.coefficients)
+    return out
+
+
+# One fixed effect: means of groups are enough. Each country's three terms are in rows of their own country column.
+_COUNTRY_COEFS = f"""{_BASE}, countries AS (SELECT DISTINCT partner_country AS model FROM treated),
+    flagged AS (SELECT c.model, dense_rank() OVER (ORDER BY reporter_country, year, product_code) AS g, log_value AS y,
+      {', '.join(f"CASE WHEN partner_country = c.model AND reporter_country = '{E}' AND year = {y} THEN tau ELSE 0.0 END AS x{j}" for j, y in enumerate(YEARS))} FROM treated, countries c),
+    within AS (SELECT model, g, y - avg(y) OVER w AS y, {', '.join(f'x{j} - avg(x{j}) OVER w AS x{j}, x{j} AS raw{j}' for j in range(3))} FROM flagged WINDOW w AS (PARTITION BY model, g)),
+    sized AS (SELECT model, count(*) AS n, count(DISTINCT g) AS levels FROM within GROUP BY 1),
+    errors AS (SELECT f.*, n, levels, n - levels - {' - '.join(f'(any_x{j})::int' for j in range(3))} AS dof,
+      y - ({' + '.join(f'coalesce(b{j}, 0) * x{j}' for j in range(3))}) AS e
+      FROM (SELECT *, {', '.join(f'CASE WHEN sum(r{j} * r{j}) OVER w > 1e-9 * sum(raw{j} * raw{j}) OVER w THEN sum(r{j} * y) OVER w / sum(r{j} * r{j}) OVER w END AS b{j}, sum(r{j} * r{j}) OVER w > 1e-9 * sum(raw{j} * raw{j}) OVER w AS any_x{j}' for j in range(3))}
+            FROM {_partialled('within', 3, '(PARTITION BY model)')} WINDOW w AS (PARTITION BY model)) f JOIN sized USING (model)),
+    raw_coefs AS ({' UNION ALL '.join(f"SELECT model, 'direct_' || model || '_{y}' AS term, {y} AS year, any_value(b{j}) AS estimate, sqrt(sum(r{j} * r{j} * e * e) * any_value(n) / any_value(dof)) / nullif(sum(r{j} * r{j}), 0) AS std_error, any_value(dof)::double AS df FROM errors GROUP BY model HAVING any_value(b{j}) IS NOT NULL" for j, y in enumerate(YEARS))}),
+    coefs AS (SELECT *, estimate - {_T975} * std_error AS ci_low, estimate + {_T975} * std_error AS ci_high FROM raw_coefs)"""
+
+
+@query("models_per_country", f"WITH {_COUNTRY_COEFS} SELECT model, term, year, {sqs('estimate', 'std_error', digits=6)}, {sqs('ci_low', 'ci_high', digits=5)} FROM coefs")
+def _(spark, d):
+    table = _by_country(spark, d).filter("NOT dropped").select("model", "term", "year", "estimate", "std_error", "ci_low", "ci_high")
+    return rounded(rounded(table, "estimate", "std_error", digits=6), "ci_low", "ci_high", digits=5)
 
 
-@query("elasticity_of_two_countries")
+@query("elasticity_of_two_countries", f"WITH {_COUNTRY_COEFS} SELECT model, term, year, {sq('abs(estimate)', 'elasticity', 6)}, {sq('-ci_high', 'bound_low', 5)}, {sq('-ci_low', 'bound_high', 5)} FROM coefs")
 def _(spark, d):
-    return coefficients.elasticity_of_models([_by_country(spark, d).drop("country")])
+    table = coefficients.elasticity_of_models([_by_country(spark, d)])
+    return rounded(rounded(table, "elasticity", digits=6), "bound_low", "bound_high", digits=5)
 
 
-@query("models_per_country_side_by_side")
+@query("models_per_country_side_by_side", f"""WITH {_COUNTRY_COEFS} SELECT year, {', '.join(f"max(CASE WHEN model = '{c}' THEN {sq('estimate', 'x', 6).removesuffix(' AS x')} END) AS m_{c}" for c in ('008', '010', '019'))} FROM coefs GROUP BY year""")
 def _(spark, d):
-    return coefficients.side_by_side([_by_country(spark, d)])
+    table = rounded(_by_country(spark, d).filter("NOT dropped").withColumn("term", F.col("year")), "estimate", digits=6)
+    wide = coefficients.side_by_side([table])
+    return wide.select(F.col("term").alias("year"), *[(F.col(c) if c in wide.columns else F.lit(None).cast("double")).alias(f"m_{c}") for c in ("008", "010", "019")])
+
+
+_EVENT_TERMS = {f"is_{name}_exporter_{label}_importer_x_PostEvent": f"""(reporter_country = '{code}' AND partner_country {op} '008')::int * "PostEvent" """ for label, op in (("008", "="), ("non008", "<>")) for name, code in _TWO.items()}
+_EVENT_EFFECTS = [["reporter_country"], ["PostEvent"], ["partner_country"]]
 
 
-@query("event_dummies_third_country")
+@query("event_dummies_third_country", f"""WITH RECURSIVE {_GROWTH}, events AS (SELECT * RENAME (y AS growth) FROM growth), {_model('events', 'growth', _EVENT_TERMS, [['reporter_country'], ['"PostEvent"'], ['partner_country']])} SELECT term, {_COEFS} FROM coefs""")
 def _(spark, d):
     panel = design.third_country_panel(chapters(spark, d), "008", *_PERIODS, _IMPORTERS, _TWO)
     m = design.multiply(panel, [c for c in panel.columns if c.startswith("is_")])
-    return absorb.absorbing_ols(m.data, "y", m.terms, [["reporter_country"], ["PostEvent"], ["partner_country"]], "hetero").coefficients
+    return _tidy(absorb.absorbing_ols(m.data, "y", m.terms, _EVENT_EFFECTS, "hetero").coefficients)
+
+
+# The panel itself, on six-digit products.
+_SIX = f"""whole AS (SELECT *, ln(value) AS log_value FROM enriched WHERE {T} IS NOT NULL)"""
+
+
+@query("six_digit_two_way", f"WITH RECURSIVE {_SIX}, {_model('whole', 'log_value', {T: T}, _TWO_WAY)} SELECT term, {_COEFS} FROM coefs")
+def _(spark, d):
+    data = design.with_roles(design.add_logs(star.enriched(spark, d)))
+    return _tidy(absorb.absorbing_ols(data, "log_value", [T], _TWO_WAY, "hetero").coefficients)
+
+
+@query("rows_with_missing_keys_and_values", f"""WITH RECURSIVE gaps AS (SELECT * REPLACE (
+      CASE WHEN year = 1996 AND product_code LIKE '01%' THEN NULL ELSE log_value END AS log_value, CASE WHEN reporter_country = '004' THEN NULL ELSE reporter_country END AS reporter_country,
+      CASE WHEN partner_country = '005' THEN NULL ELSE {T} END AS {T}) FROM (SELECT * REPLACE ({T} / 1e4 AS {T}), ln(value) AS log_value FROM chapters)),
+    sample AS (SELECT * FROM gaps WHERE log_value IS NOT NULL AND reporter_country IS NOT NULL AND {T} IS NOT NULL), {_model('sample', 'log_value', {T: T}, _TWO_WAY)}
+    SELECT term, {_COEFS}, (SELECT count(*) FROM gaps) - n AS left_out FROM coefs""")
+def _(spark, d):
+    data = design.with_roles(_data(spark, d)).withColumns({
+        "log_value": F.when(~((F.col("year") == 1996) & (F.substring("product_code", 1, 2) == "01")), F.col("log_value")),
+        "exporter": F.when(F.col("exporter") != "004", F.col("exporter")), T: F.when(F.col("importer") != "005", F.col(T)),
+    })
+    fit = absorb.absorbing_ols(data, "log_value", [T], _TWO_WAY, "hetero")
+    return _tidy(fit.coefficients).crossJoin(fit.statistics.select("left_out"))
 
 
 _LINE = "lines AS (SELECT regr_slope(v, q) AS by_, regr_intercept(v, q) AS ay, regr_slope(q, v) AS bx, regr_intercept(q, v) AS ax FROM totals)"

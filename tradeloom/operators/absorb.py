@@ -1,9 +1,11 @@
 """Least squares with absorbed fixed effects.
 
-Row-sized work runs on Spark: one pass for sums per fixed-effect level, a
-conjugate-gradient solve for the level effects as joins and sums over level
-tables, one pass to subtract them, and one pass for residuals and variances.
-Only arrays of the size of the coefficient matrix reach the driver.
+Row-sized work runs on Spark: one pass for sums per fixed-effect level, one pass
+to subtract level effects, one for cross products and one for variances. Level
+effects are solved in the same way at every size: the fixed effect with the most
+levels is eliminated, and the system that is left, on the levels of the others, is
+solved by conjugate gradients as joins and sums over pairs of levels. Only arrays
+of the size of the coefficient matrix reach the driver.
 """
 
 from __future__ import annotations
@@ -14,16 +16,33 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tradeloom.functions.columns import is_number
 from tradeloom.functions.joins import attach
 from tradeloom.operators.students_t import two_sided_p, t_quantile
-from tradeloom.session import materialise, small_table
+from tradeloom.session import Workspace, small_table
 
-TOLERANCE, MAX_ROUNDS = 1e-9, 500
-# Levels that may be solved at once, and partial blocks of that size squared.
-DENSE_LEVELS, BLOCKS, STRIPE = 2048, 32, 32
+#: Conjugate gradients end when every column's residual has shrunk by this factor, or raise after so many rounds.
+TOLERANCE, MAX_ROUNDS = 1e-10, 1000
+#: Rows of a cross-product matrix that travel together, and partial sums that meet in a first step.
+STRIPE, PARTS = 64, 32
+SMALL_SAMPLE = ("none", "non-nested", "all")
+
+
+class NotConverged(RuntimeError):
+    """The level effects did not reach the tolerance in the allowed rounds."""
+
+
+@dataclass
+class Model:
+    """One regression: its name, outcome, terms, and each term's country and year."""
+
+    name: str
+    outcome: str
+    terms: list[str]
+    labels: dict[str, tuple[str | None, int | None]] = field(default_factory=dict)
 
 
 @dataclass
@@ -37,28 +56,43 @@ class Fit:
     covariance: np.ndarray
     dropped: list[str] = field(default_factory=list)
     rounds: int = 0
-    converged: bool = True
 
 
-def _gram(df: DataFrame, columns: list[str], weight: str | None = None) -> np.ndarray:
-    """Sum of outer products of the columns: one small block per partition, added up by Spark."""
+def _added(parts: DataFrame, shapes: dict[int, tuple[int, ...]]) -> dict[int, np.ndarray]:
+    """Sums of arrays (key, part) by key: parts meet in a bounded number of groups first, then per key."""
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(rows["part"].iloc[0]).copy()
+        for p in rows["part"].iloc[1:]:
+            total += np.frombuffer(p)
+        return pd.DataFrame({"key": rows["key"].iloc[:1], "part": [total.tobytes()]})
+
+    kind = "key int, part binary"
+    some = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(PARTS))).groupBy("key", "group").applyInPandas(add, kind)
+    sums = {r["key"]: np.frombuffer(bytes(r["part"])) for r in some.groupBy("key").applyInPandas(add, kind).collect()}
+    return {k: sums[k].reshape(s) if k in sums else np.zeros(s) for k, s in shapes.items()}
+
+
+def _gram(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Sum of outer products of the columns: a partition adds up its own and hands on the upper triangle in stripes."""
     k = len(columns)
+    starts = list(range(0, k, STRIPE))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((k, k))
         for batch in batches:
             a = batch[columns].to_numpy(dtype=float)
-            total += a.T @ (a * batch[weight].to_numpy(dtype=float)[:, None] if weight else a)
-        yield pd.DataFrame({"cell": np.arange(k * k), "v": total.ravel()})
+            total += a.T @ a
+        for s in starts:
+            yield pd.DataFrame({"key": [s], "part": [total[s : s + STRIPE, s:].tobytes()]})
 
-    cells = df.mapInPandas(blocks, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
-    out = np.zeros(k * k)
-    for row in cells.collect():
-        out[row["cell"]] = row["v"]
-    return out.reshape(k, k)
+    stripes = _added(df.select(*columns).mapInPandas(blocks, "key int, part binary"), {s: (min(STRIPE, k - s), k - s) for s in starts})
+    out = np.zeros((k, k))
+    for s, part in stripes.items():
+        out[s : s + STRIPE, s:] = part
+    return np.triu(out) + np.triu(out, 1).T
 
 
-def _level_sums(rows: DataFrame, effects: list[list[str]], v: list[str]) -> tuple[DataFrame, list[int]]:
+def _level_sums(rows: DataFrame, effects: list[list[str]], v: list[str], work: Workspace) -> tuple[DataFrame, list[int]]:
     """Rows and column sums of every level, and the number of levels per fixed effect.
 
     A second hash of the keys shows whether two levels share an id.
@@ -69,7 +103,7 @@ def _level_sums(rows: DataFrame, effects: list[list[str]], v: list[str]) -> tupl
         sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(v)]
         level = rows.groupBy(F.col(f"_g{f}").alias("g")).agg(F.count("*").cast("double").alias("n"), (F.min(check) != F.max(check)).alias("clash"), *sums)
         parts.append(level.withColumn("f", F.lit(f)))
-    table = materialise(reduce(DataFrame.unionByName, parts), "levels")
+    table = work.write(reduce(DataFrame.unionByName, parts))
     counts = {r["f"]: r for r in table.groupBy("f").agg(F.count("*").alias("n"), F.count_if("clash").alias("clashes")).collect()}
     shared = [effects[f] for f, r in counts.items() if r["clashes"]]
     if shared:
@@ -77,128 +111,100 @@ def _level_sums(rows: DataFrame, effects: list[list[str]], v: list[str]) -> tupl
     return table.drop("clash"), [counts[f]["n"] if f in counts else 0 for f in range(len(effects))]
 
 
-def _level_effects(rows: DataFrame, sums: DataFrame, levels: list[int], v: list[str]) -> tuple[DataFrame, int, bool]:
-    """Effects of every level on every column: the least-squares fit of the columns on all levels.
-
-    The normal equations ``D'D a = D'v`` are kept as level sums and a table of
-    pairs of levels that share rows. One fixed effect needs no solving. When all
-    but the largest fixed effect have few levels, the largest is eliminated and
-    the rest solved at once; otherwise conjugate gradients are used.
-    """
-    n_fe = len(levels)
-    if n_fe == 1:
-        return sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in range(len(v))]), 0, True
-    both = [(F.lit(i), F.col(f"_g{i}"), F.col(f"_g{j}")) for i in range(n_fe) for j in range(n_fe) if i != j]
-    links = F.explode(F.array(*[F.struct(f.alias("f"), a.alias("g"), b.alias("h")) for f, a, b in both])).alias("l")
-    pairs = materialise(rows.select(links).groupBy("l.f", "l.g", "l.h").agg(F.count("*").cast("double").alias("m")), "pairs")
-    largest = levels.index(max(levels))
-    if sum(levels) - levels[largest] <= DENSE_LEVELS:
-        return _solve_small(sums, pairs, largest, len(v)), 0, True
-    return _solve_by_gradients(sums, pairs, len(v))
+def _pair_counts(rows: DataFrame, pairs: list[tuple[int, int]], a: str, b: str) -> DataFrame:
+    """Rows shared by two levels, each pair of fixed effects in one direction."""
+    both = F.explode(F.array(*[F.struct(F.col(f"_g{i}").alias(a), F.col(f"_g{j}").alias(b)) for i, j in pairs])).alias("l")
+    return rows.select(both).groupBy(f"l.{a}", f"l.{b}").agg(F.count("*").cast("double").alias("m"))
 
 
-def _solve_small(sums: DataFrame, pairs: DataFrame, largest: int, k: int) -> DataFrame:
-    """Eliminate the largest fixed effect; the other levels, at most ``DENSE_LEVELS``, are solved on the driver.
+def _level_effects(rows: DataFrame, sums: DataFrame, levels: list[int], k: int, work: Workspace, tolerance: float, max_rounds: int) -> tuple[DataFrame, int]:
+    """Effects of every level on ``k`` columns: the least-squares fit of the columns on all levels.
 
-    Each level of the largest effect adds the outer product of its counts and
-    sums. Its list of partners is bounded by ``DENSE_LEVELS``.
-    """
-    spark = sums.sparkSession
-    s = [f"s{i}" for i in range(k)]
-    small = pd.DataFrame(sums.filter(F.col("f") != largest).select("g", "n", *s).collect(), columns=["g", "n", *s])
-    size = len(small)
-    index = small_table(spark, [(g, at) for at, g in enumerate(small["g"].tolist())], "h long, at int")
-    of_largest = pairs.filter(F.col("f") == largest).join(index, "h")
-    lists = of_largest.groupBy("g").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m"))
-    vectors = sums.filter(F.col("f") == largest).select("g", "n", F.array(*s).alias("s")).join(lists, "g").drop("g")
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size + k))
-        for whole in batches:
-            for start in range(0, len(whole), 512):
-                batch = whole.iloc[start : start + 512]
-                a = np.zeros((len(batch), size))
-                lengths = batch["at"].map(len).to_numpy()
-                a[np.repeat(np.arange(len(batch)), lengths), np.concatenate(batch["at"].to_list())] = np.concatenate(batch["m"].to_list())
-                scaled = a / batch["n"].to_numpy()[:, None]
-                total += scaled.T @ np.hstack([a, np.vstack(batch["s"].to_list())])
-        for stripe in range(0, size, STRIPE):
-            yield pd.DataFrame({"stripe": [stripe], "part": [total[stripe : stripe + STRIPE].tobytes()]})
-
-    def added(stripe: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(p) for p in stripe["part"]]
-        return pd.DataFrame({"stripe": stripe["stripe"][:1], "part": [np.sum(parts, axis=0).tobytes()]})
-
-    # A block can hold DENSE_LEVELS squared numbers, so their number is kept
-    # small, and they are added in stripes of a few rows.
-    kind = "stripe int, part binary"
-    summed = vectors.coalesce(BLOCKS).mapInPandas(blocks, kind).groupBy("stripe").applyInPandas(added, kind).collect()
-    ordered = [np.frombuffer(bytes(r["part"])) for r in sorted(summed, key=lambda r: r["stripe"])]
-    eliminated = np.concatenate(ordered).reshape(size, size + k) if ordered else np.zeros((size, size + k))
-
-    own = np.diag(small["n"].to_numpy(dtype=float))
-    cross = pairs.filter(F.col("f") != largest).join(index.withColumnsRenamed({"h": "g", "at": "row"}), "g").join(index, "h")
-    for r in cross.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m")).collect():
-        own[r["row"], r["at"]] = r["m"]
-    # Levels that move together leave directions without an effect; they get none.
-    size_of, axes = np.linalg.eigh(own - eliminated[:, :size])
-    seen = size_of > 1e-10 * size_of[-1]
-    right = small[s].to_numpy(dtype=float) - eliminated[:, size:]
-    solved = axes[:, seen] @ ((axes[:, seen].T @ right) / size_of[seen, None])
-
-    named = ", ".join(f"a{i} double" for i in range(k))
-    of_small = small_table(spark, [(g, *a) for g, a in zip(small["g"].tolist(), solved.tolist())], f"g long, {named}")
-    taken = of_largest.drop("h").join(index, "at").join(of_small.withColumnRenamed("g", "h"), "h")
-    taken = taken.groupBy("g").agg(*[F.sum(F.col("m") * F.col(f"a{i}")).alias(f"t{i}") for i in range(k)])
-    rest = sums.filter(F.col("f") == largest).join(taken, "g").select("g", *[((F.col(f"s{i}") - F.col(f"t{i}")) / F.col("n")).alias(f"a{i}") for i in range(k)])
-    return materialise(rest.unionByName(of_small), "effects")
-
-
-def _solve_by_gradients(sums: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, int, bool]:
-    """Conjugate gradients scaled with the level counts, all columns at once.
-
-    A round is one join and sum over the pairs, written to the shared folder,
-    and one aggregate that yields every inner product the round needs.
+    The normal equations are kept as level sums and counts of rows that two
+    levels share. With the largest fixed effect eliminated, its levels drop out
+    of the unknowns: ``S = N - M' N_L^-1 M`` on the others' levels. The pairs with
+    the largest effect are stored in buckets of its levels, so that a round
+    shuffles only what belongs to levels: directions to the pairs and sums back.
     """
     each = range(k)
-    state = sums.select(
-        "g", "n",
-        *[F.lit(0.0).alias(f"a{i}") for i in each],
-        *[F.col(f"s{i}").alias(f"r{i}") for i in each],
-        *[(F.col(f"s{i}") / F.col("n")).alias(f"p{i}") for i in each],
-    )
-    first, rounds, done = None, 0, False
-    while not done and rounds < MAX_ROUNDS:
-        rounds += 1
-        moved = attach(pairs, state.select(F.col("g").alias("h"), *[f"p{i}" for i in each]), ["h"], "inner")
-        moved = moved.groupBy("g").agg(*[F.sum(F.col("m") * F.col(f"p{i}")).alias(f"q{i}") for i in each])
-        q = {f"q{i}": F.col("n") * F.col(f"p{i}") + F.coalesce(f"q{i}", F.lit(0.0)) for i in each}
-        state = materialise(state.join(moved, "g", "left").withColumns(q), "gradients")
-        products = [("r", "r"), ("r", "q"), ("q", "q")]
-        sums_of = [F.sum(F.col(f"{a}{i}") * F.col(f"{b}{i}") / F.col("n")) for a, b in products for i in each]
-        row = state.agg(*sums_of, *[F.sum(F.col(f"p{i}") * F.col(f"q{i}")) for i in each]).first()
-        rr, rq, qq, pq = np.array(row, dtype=float).reshape(4, k)
+    if len(levels) == 1:
+        return sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in each]), 0
+    largest = levels.index(max(levels))
+    others = [f for f in range(len(levels)) if f != largest]
+    of_largest = sums.filter(F.col("f") == largest).select("g", F.col("n").alias("n_g"), *[F.col(f"s{i}").alias(f"t{i}") for i in each])
+    counts = _pair_counts(rows, [(largest, f) for f in others], "g", "h")
+    pairs = work.write_bucketed(attach(counts, of_largest.select("g", "n_g"), ["g"], "inner"), "g")
+    among = None
+    if len(others) > 1:
+        among = work.write(_pair_counts(rows, [(i, j) for i in others for j in others if i < j], "a", "b"))
+
+    def through(values: DataFrame, names: list[str]) -> DataFrame:
+        """Sum over h of the pairs' share of columns of the largest effect's levels (g), as ``e0, ...`` by h."""
+        met = attach(pairs, values, ["g"], "inner")
+        return met.groupBy("h").agg(*[F.sum(F.col("m") * F.col(c)).alias(f"e{i}") for i, c in enumerate(names)])
+
+    means = of_largest.select("g", *[(F.col(f"t{i}") / F.col("n_g")).alias(f"u{i}") for i in each])
+    right = through(means, [f"u{i}" for i in each])
+    own = pairs.groupBy("h").agg(F.sum(F.col("m") * F.col("m") / F.col("n_g")).alias("less"))
+    small = sums.filter(F.col("f") != largest).select(F.col("g").alias("h"), "n", *[f"s{i}" for i in each])
+    start = small.join(right, "h", "left").join(own, "h", "left")
+    left = F.col("n") - F.coalesce("less", F.lit(0.0))
+    scale = F.when(left > 1e-9 * F.col("n"), left).otherwise(F.col("n"))  # a level that lies inside levels of the largest
+    residual = {f"r{i}": F.col(f"s{i}") - F.coalesce(f"e{i}", F.lit(0.0)) for i in each}
+    start = start.select("h", "n", scale.alias("d"), *[F.lit(0.0).alias(f"a{i}") for i in each], *[c.alias(name) for name, c in residual.items()])
+    state = work.write(start)
+    moving = state.withColumns({f"p{i}": F.col(f"r{i}") / F.col("d") for i in each})
+    first, rounds = None, 0
+    while True:
+        directions = moving.select("h", *[f"p{i}" for i in each])
+        at_largest = attach(pairs, directions, ["h"], "inner").groupBy("g").agg(*[(F.sum(F.col("m") * F.col(f"p{i}")) / F.first("n_g")).alias(f"u{i}") for i in each])
+        following = moving.join(through(at_largest, [f"u{i}" for i in each]), "h", "left")
+        q = {f"q{i}": F.col("n") * F.col(f"p{i}") - F.coalesce(f"e{i}", F.lit(0.0)) for i in each}
+        if among is not None:
+            sides = [attach(among, directions.withColumnRenamed("h", x), [x], "inner").select(F.col(y).alias("h"), *[(F.col("m") * F.col(f"p{i}")).alias(f"c{i}") for i in each]) for x, y in (("a", "b"), ("b", "a"))]
+            crossed = sides[0].unionAll(sides[1]).groupBy("h").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in each])
+            following = following.join(crossed, "h", "left")
+            q = {name: c + F.coalesce(f"c{i}", F.lit(0.0)) for i, (name, c) in enumerate(q.items())}
+        kept = [f"{x}{i}" for x in "arp" for i in each]
+        # Every inner product that the round needs is summed up while its state is written.
+        products = [F.col(f"{a}{i}") * F.col(f"{b}{i}") / F.col("d") for a, b in (("r", "r"), ("r", "q"), ("q", "q")) for i in each]
+        products += [F.col(f"p{i}") * F.col(f"q{i}") for i in each]
+        seen = Observation()
+        following = following.select("h", "n", "d", *kept, *[c.alias(name) for name, c in q.items()])
+        written = work.write(following.observe(seen, *[F.sum(c).alias(f"x{j}") for j, c in enumerate(products)]))
+        work.drop(state)
+        state = written
+        rr, rq, qq, pq = np.array([seen.get[f"x{j}"] for j in range(4 * k)], dtype=float).reshape(4, k)
         first = np.where(rr > 0, rr, 1.0) if first is None else first
-        live = (rr > TOLERANCE**2 * first) & (pq > 0)
+        live = (rr > tolerance**2 * first) & (pq > 0)
         step = np.where(live, rr / np.where(pq > 0, pq, 1.0), 0.0)
         ahead = np.maximum(rr - 2 * step * rq + step * step * qq, 0.0)
         turn = np.where(live, ahead / np.where(rr > 0, rr, 1.0), 0.0)
-        state = state.withColumns(
-            {f"r{i}": F.col(f"r{i}") - float(step[i]) * F.col(f"q{i}") for i in each}
-            | {f"a{i}": F.col(f"a{i}") + float(step[i]) * F.col(f"p{i}") for i in each}
-        )
-        state = state.withColumns({f"p{i}": F.col(f"r{i}") / F.col("n") + float(turn[i]) * F.col(f"p{i}") for i in each})
-        state = state.drop(*[f"q{i}" for i in each])
-        done = bool(np.all(~live | (ahead <= TOLERANCE**2 * first)))
-    return materialise(state.select("g", *[f"a{i}" for i in each]), "effects"), rounds, done
+        stepped = state.select(
+            "h", "n", "d",
+            *[(F.col(f"a{i}") + float(step[i]) * F.col(f"p{i}")).alias(f"a{i}") for i in each],
+            *[(F.col(f"r{i}") - float(step[i]) * F.col(f"q{i}")).alias(f"r{i}") for i in each],
+            *[f"p{i}" for i in each],
+        )
+        moving = stepped.withColumns({f"p{i}": F.col(f"r{i}") / F.col("d") + float(turn[i]) * F.col(f"p{i}") for i in each})
+        rounds += 1
+        if np.all(~live | (ahead <= tolerance**2 * first)):
+            break
+        if rounds >= max_rounds:
+            raise NotConverged(f"level effects of {len(levels)} fixed effects: residual {float(np.sqrt((ahead / first).max())):.2g} of the first after {rounds} rounds, asked for {tolerance:.2g}")
+    solved = work.write(moving.select("h", *[f"a{i}" for i in each]))
+    work.drop(state)
+    taken = attach(pairs, solved, ["h"], "inner").groupBy("g").agg(*[F.sum(F.col("m") * F.col(f"a{i}")).alias(f"e{i}") for i in each])
+    rest = of_largest.join(taken, "g").select("g", *[((F.col(f"t{i}") - F.col(f"e{i}")) / F.col("n_g")).alias(f"a{i}") for i in each])
+    return work.write(rest.unionAll(solved)), rounds
 
 
 def _with_level_ids(data: DataFrame, effects: list[list[str]]) -> DataFrame:
-    """A 64-bit id per fixed-effect level, as ``_g0, _g1, ...``."""
+    """A 64-bit id per fixed-effect level, as ``_g0, _g1, ...``; keys must not be NULL, as hashes skip NULLs."""
     return data.withColumns({f"_g{f}": F.xxhash64(F.lit(f), *[F.col(c) for c in keys]) for f, keys in enumerate(effects)})
 
 
-def demean(data: DataFrame, columns: list[str], effects: list[list[str]]) -> tuple[DataFrame, list[int], int, bool]:
+def demean(data: DataFrame, columns: list[str], effects: list[list[str]], work: Workspace, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, list[int], int]:
     """Rows with each column's fixed effects subtracted, as ``_v0, _v1, ...``.
 
     ``data`` has level ids; the levels per fixed effect are counted on the way.
@@ -208,15 +214,15 @@ def demean(data: DataFrame, columns: list[str], effects: list[list[str]]) -> tup
     k = len(columns)
     if not effects:
         means = data.agg(*[F.avg(c) for c in columns]).first()
-        return data.withColumns({f"_v{i}": F.col(c) - F.lit(float(means[i])) for i, c in enumerate(columns)}), [], 0, True
-    sums, levels = _level_sums(data, effects, columns)
-    solved, rounds, done = _level_effects(data, sums, levels, columns)
+        return data.withColumns({f"_v{i}": F.col(c) - F.lit(float(means[i])) for i, c in enumerate(columns)}), [], 0
+    sums, levels = _level_sums(data, effects, columns, work)
+    solved, rounds = _level_effects(data, sums, levels, k, work, tolerance, max_rounds)
     out = data.withColumns({f"_v{i}": F.col(c).cast("double") for i, c in enumerate(columns)})
     for f in range(len(levels)):
         table = solved.select(F.col("g").alias(f"_g{f}"), *[f"a{i}" for i in range(k)])
         out = attach(out, table, [f"_g{f}"], "inner")
         out = out.withColumns({f"_v{i}": F.col(f"_v{i}") - F.col(f"a{i}") for i in range(k)}).drop(*[f"a{i}" for i in range(k)])
-    return out, levels, rounds, done
+    return out, levels, rounds
 
 
 def independent_columns(gram: np.ndarray, scale: np.ndarray, tolerance: float = 1e-9) -> list[int]:
@@ -230,104 +236,186 @@ def independent_columns(gram: np.ndarray, scale: np.ndarray, tolerance: float =
     return keep
 
 
-def absorbing_ols(
+def _complete(columns: list[str], keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [*[is_number(c) for c in columns], *[F.col(c).isNotNull() for c in keys]], F.lit(True))
+
+
+def _scores(within: DataFrame, models: list[dict], cluster: list[str] | None, work: Workspace) -> tuple[list[np.ndarray], list[float], int | None]:
+    """For each model the sum of squared scores, over rows or over clusters, and the sum of squared residuals."""
+    def residuals(batch: pd.DataFrame, m: dict) -> tuple[np.ndarray, np.ndarray]:
+        x = batch[m["x"]].to_numpy(dtype=float)
+        return x, batch[m["y"]].to_numpy(dtype=float) - x @ m["beta"]
+
+    shapes = {}
+    for i, m in enumerate(models):
+        shapes |= {2 * i: (len(m["x"]), len(m["x"])), 2 * i + 1: (1,)}
+
+    def by_row(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {key: np.zeros(s) for key, s in shapes.items()}
+        for batch in batches:
+            for i, m in enumerate(models):
+                x, e = residuals(batch, m)
+                total[2 * i] += x.T @ (x * (e * e)[:, None])
+                total[2 * i + 1] += e @ e
+        for key, t in total.items():
+            if t.size:
+                yield pd.DataFrame({"key": [key], "part": [t.tobytes()]})
+
+    needed = list(dict.fromkeys(c for m in models for c in (m["y"], *m["x"])))
+    sums = _added(within.select(*needed).mapInPandas(by_row, "key int, part binary"), shapes)
+    rss = [float(sums[2 * i + 1][0]) for i in range(len(models))]
+    if not cluster:
+        return [sums[2 * i] for i in range(len(models))], rss, None
+    scores = {}
+    for i, m in enumerate(models):
+        e = reduce(lambda a, b: a - b, [F.col(c) * float(b) for c, b in zip(m["x"], m["beta"])], F.col(m["y"]))
+        scores |= {f"s{i}_{j}": F.sum(F.col(c) * e) for j, c in enumerate(m["x"])}
+    if not scores:
+        return [np.zeros((0, 0)) for _ in models], rss, within.select(*cluster).distinct().count()
+    table = work.write(within.groupBy(*cluster).agg(*[c.alias(name) for name, c in scores.items()]))
+    gram, names = _gram(table, list(scores)), list(scores)
+    at = [[names.index(f"s{i}_{j}") for j in range(len(m["x"]))] for i, m in enumerate(models)]
+    return [gram[np.ix_(a, a)] for a in at], rss, table.count()
+
+
+def fit_models(
     data: DataFrame,
-    outcome: str,
-    terms: list[str],
+    models: list[Model],
     effects: list[list[str]],
     variance: str,
     cluster: list[str] | None = None,
-    model: str = "model",
-    labels: dict[str, tuple[str | None, int | None]] | None = None,
-) -> Fit:
-    """``outcome`` on ``terms`` with the ``effects`` absorbed; each effect is a list of key columns.
+    small_sample: str = "non-nested",
+    tolerance: float = TOLERANCE,
+    max_rounds: int = MAX_ROUNDS,
+) -> list[Fit]:
+    """Several models on one sample with the same absorbed effects: all their columns are demeaned together.
+
+    The sample is the rows in which every outcome and term of every model is a
+    finite number and no key of an effect or cluster is NULL; ``statistics`` has
+    the number of rows left out. Each effect is a list of key columns.
 
     ``variance`` must be named: ``"iid"``, ``"hetero"`` (HC1) or ``"cluster"``
     (CRV1 over ``cluster``). Terms that are collinear with earlier terms or
     with the effects are dropped and reported with a NULL estimate.
 
-    Degrees of freedom: coefficients plus all levels, less one per fixed effect
-    beyond the first. With clusters, effects whose keys include the cluster
-    keys are nested and not counted.
+    ``small_sample`` says which absorbed levels count as estimated: ``"all"``,
+    ``"none"``, or those of effects whose keys do not include all cluster keys
+    (``"non-nested"``; the same as all without clusters). One level per fixed
+    effect beyond the first is taken as redundant.
+
+    Raises ``ValueError`` for a sample without rows, with fewer than two clusters,
+    or without degrees of freedom, and ``NotConverged`` when the level effects
+    are not found in ``max_rounds``. Tables written on the way are removed.
     """
     if variance not in ("iid", "hetero", "cluster"):
         raise ValueError("variance is 'iid', 'hetero' or 'cluster'; there is no default")
     if (variance == "cluster") != bool(cluster):
         raise ValueError("cluster columns go with variance='cluster'")
-    labels = labels or {}
-    columns = [outcome, *terms]
-    keys = list(dict.fromkeys([c for e in effects for c in e] + (cluster or [])))
-    data = _with_level_ids(data.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), effects)
-    data = materialise(data, "design")
-    within, levels, rounds, done = demean(data, columns, effects)
-    v = [f"_v{i}" for i in range(len(columns))]
-    within = materialise(within.select(*(cluster or []), outcome, *[F.col(t) for t in terms], *v), "within")
-    raw = within.agg(
-        F.count("*"), F.sum(outcome), F.sum(F.col(outcome) * F.col(outcome)), *[F.sum(F.col(t) * F.col(t)) for t in terms]
-    ).first()
-    n, sum_y, sum_yy = raw[0], raw[1], raw[2]
-    gram = _gram(within, v)
-    xx, xy = gram[1:, 1:], gram[1:, 0]
-    kept = independent_columns(xx, np.array(raw[3:], dtype=float))
-    k = len(kept)
-    bread = np.linalg.inv(xx[np.ix_(kept, kept)]) if k else np.zeros((0, 0))
-    beta = bread @ xy[kept]
-
-    x = [f"_v{j + 1}" for j in kept]
-    fitted = reduce(lambda a, b: a + b, [F.col(c) * float(b) for c, b in zip(x, beta)], F.lit(0.0))
-    scored = within.withColumn("_e", F.col("_v0") - fitted)
-    rss = float(gram[0, 0] - beta @ xy[kept])
-    if rss < 1e-6 * gram[0, 0]:  # nearly exact fit: the difference has lost its digits
-        rss = float(scored.agg(F.sum(F.col("_e") * F.col("_e"))).first()[0] or 0.0)
-
-    counted = [c for e, c in zip(effects, levels) if not (cluster and set(cluster) <= set(e))]
-    absorbed = sum(counted) - max(len(counted) - 1, 0) if effects else 1
-    dof = n - k - absorbed
-    groups = None
-    if variance == "iid":
-        covariance = bread * rss / dof
-        df_t = dof
-    elif variance == "hetero":
-        meat = _gram(scored.withColumn("_w", F.col("_e") * F.col("_e")), x, "_w") if k else bread
-        covariance = bread @ meat @ bread * n / dof
-        df_t = dof
-    else:
-        scores = materialise(scored.groupBy(*cluster).agg(*[F.sum(F.col(c) * F.col("_e")).alias(c) for c in x]), "scores")
-        groups = scores.count()
-        covariance = bread @ _gram(scores, x) @ bread * groups / (groups - 1) * (n - 1) / dof
-        df_t = groups - 1
+    if small_sample not in SMALL_SAMPLE:
+        raise ValueError(f"small_sample is one of {SMALL_SAMPLE}")
+    with Workspace(data.sparkSession, "fit") as work:
+        return _fit(data, models, effects, variance, cluster, small_sample, tolerance, max_rounds, work)
+
 
+def _fit(data, models, effects, variance, cluster, small_sample, tolerance, max_rounds, work) -> list[Fit]:
     spark = data.sparkSession
-    se = np.sqrt(np.diag(covariance))
-    width = t_quantile(0.975, df_t)
-    rows = []
-    for j, term in enumerate(terms):
-        country, year = labels.get(term, (None, None))
-        if j in kept:
-            i = kept.index(j)
-            b, s = float(beta[i]), float(se[i])
-            t = b / s if s > 0 else None
-            p = two_sided_p(t, df_t) if t is not None else None
-            rows.append((model, term, country, year, b, s, t, p, b - width * s, b + width * s, False))
+    columns = list(dict.fromkeys(c for m in models for c in (m.outcome, *m.terms)))
+    keys = list(dict.fromkeys([c for e in effects for c in e] + (cluster or [])))
+    seen = Observation()
+    rows = data.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns if c not in keys]).observe(seen, F.count("*").alias("n"))
+    sample = work.write(_with_level_ids(rows.filter(_complete(columns, keys)), effects))
+    outcomes = list(dict.fromkeys(m.outcome for m in models))
+    raw = sample.agg(F.count("*"), *[f(c) for c in outcomes for f in (F.sum, lambda c: F.sum(F.col(c) * F.col(c)))], *[F.sum(F.col(c) * F.col(c)) for c in columns]).first()
+    n = raw[0]
+    if not n:
+        raise ValueError("no row has all outcomes, terms and keys")
+    left_out = seen.get["n"] - n
+    moments = {c: (raw[1 + 2 * i], raw[2 + 2 * i]) for i, c in enumerate(outcomes)}
+    squares = dict(zip(columns, raw[1 + 2 * len(outcomes) :]))
+
+    within, levels, rounds = demean(sample, columns, effects, work, tolerance, max_rounds)
+    v = {c: f"_v{i}" for i, c in enumerate(columns)}
+    within = work.write(within.select(*(cluster or []), *v.values()))
+    gram, at = _gram(within, list(v.values())), {c: i for i, c in enumerate(columns)}
+
+    solved = []
+    for m in models:
+        x, y = [at[t] for t in m.terms], at[m.outcome]
+        kept = independent_columns(gram[np.ix_(x, x)], np.array([squares[t] for t in m.terms]))
+        used = [x[j] for j in kept]
+        bread = np.linalg.inv(gram[np.ix_(used, used)]) if used else np.zeros((0, 0))
+        beta = bread @ gram[used, y]
+        solved.append({"kept": kept, "bread": bread, "beta": beta, "x": [v[m.terms[j]] for j in kept], "y": v[m.outcome], "tss": gram[y, y], "rss": float(gram[y, y] - beta @ gram[used, y])})
+    # A nearly exact fit has lost its digits in the difference.
+    meats, groups = None, None
+    if variance != "iid" or any(s["rss"] < 1e-6 * s["tss"] for s in solved):
+        meats, rss, groups = _scores(within, solved, cluster, work)
+        for s, r in zip(solved, rss):
+            s["rss"] = r
+
+    counted = [c for e, c in zip(effects, levels) if small_sample != "none" and not (small_sample == "non-nested" and cluster and set(cluster) <= set(e))]
+    absorbed = (sum(counted) - max(len(counted) - 1, 0)) if effects else 1
+    if variance == "cluster" and groups < 2:
+        raise ValueError("clustered errors need two clusters or more")
+    fits = []
+    for i, (m, s) in enumerate(zip(models, solved)):
+        k = len(s["kept"])
+        dof = n - k - absorbed
+        if dof <= 0:
+            raise ValueError(f"{m.name}: {n} rows for {k} terms and {absorbed} absorbed levels leave no degrees of freedom")
+        if variance == "iid":
+            covariance, df_t = s["bread"] * s["rss"] / dof, dof
+        elif variance == "hetero":
+            covariance, df_t = s["bread"] @ meats[i] @ s["bread"] * n / dof, dof
         else:
-            rows.append((model, term, country, year, None, None, None, None, None, None, True))
-    table = small_table(
+            covariance, df_t = s["bread"] @ meats[i] @ s["bread"] * groups / (groups - 1) * (n - 1) / dof, groups - 1
+        sum_y, sum_yy = moments[m.outcome]
+        tss = sum_yy - sum_y * sum_y / n
+        r2, r2_within = (1 - s["rss"] / t if t else None for t in (tss, s["tss"]))
+        statistics = small_table(
+            spark,
+            [(m.name, n, left_out, k, absorbed, dof, float(np.sqrt(s["rss"] / n)), r2, r2_within, groups, variance, rounds)],
+            "model string, n long, left_out long, k int, absorbed long, dof long, rmse double, r2 double, r2_within double, clusters long,"
+            " variance string, rounds int",
+        )
+        dropped = [t for j, t in enumerate(m.terms) if j not in s["kept"]]
+        fits.append(Fit(_coefficients(spark, m, s, covariance, df_t), statistics, [m.terms[j] for j in s["kept"]], s["beta"], covariance, dropped, rounds))
+    return fits
+
+
+def _coefficients(spark, m: Model, s: dict, covariance: np.ndarray, df: int) -> DataFrame:
+    se, width, rows = np.sqrt(np.diag(covariance)), t_quantile(0.975, df), []
+    for j, term in enumerate(m.terms):
+        country, year = m.labels.get(term, (None, None))
+        if j in s["kept"]:
+            i = s["kept"].index(j)
+            b, e = float(s["beta"][i]), float(se[i])
+            t = b / e if e > 0 else None
+            p = two_sided_p(t, df) if t is not None else None
+            rows.append((m.name, term, country, year, b, e, t, p, b - width * e, b + width * e, False))
+        else:
+            rows.append((m.name, term, country, year, None, None, None, None, None, None, True))
+    return small_table(
         spark,
         rows,
         "model string, term string, country string, year int, estimate double, std_error double, t double, p double,"
         " ci_low double, ci_high double, dropped boolean",
     )
-    tss, tss_within = sum_yy - sum_y * sum_y / n, float(gram[0, 0])
-    r2 = 1 - rss / tss if tss else None
-    r2_within = 1 - rss / tss_within if tss_within else None
-    statistics = small_table(
-        spark,
-        [(model, n, k, absorbed, dof, float(np.sqrt(rss / n)), r2, r2_within, groups, variance, rounds, done)],
-        "model string, n long, k int, absorbed long, dof long, rmse double, r2 double, r2_within double, clusters long,"
-        " variance string, rounds int, converged boolean",
-    )
-    dropped = [t for j, t in enumerate(terms) if j not in kept]
-    return Fit(table, statistics, [terms[j] for j in kept], beta, covariance, dropped, rounds, done)
+
+
+def absorbing_ols(
+    data: DataFrame,
+    outcome: str,
+    terms: list[str],
+    effects: list[list[str]],
+    variance: str,
+    cluster: list[str] | None = None,
+    model: str = "model",
+    labels: dict[str, tuple[str | None, int | None]] | None = None,
+    **options,
+) -> Fit:
+    """``outcome`` on ``terms`` with the ``effects`` absorbed, see :func:`fit_models`."""
+    return fit_models(data, [Model(model, outcome, terms, labels or {})], effects, variance, cluster, **options)[0]
 
 
 def cumulative_effects(data: DataFrame, outcome: str, terms: list[str], effects: list[list[str]], variance: str, cluster: list[str] | None = None) -> DataFrame:

@@ -55,6 +55,55 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+class Workspace:
+    """Tables written to the shared folder for one run, dropped one by one or all at the end.
+
+    Writing cuts the lineage in a way that survives lost executors, and a written
+    table tells the planner its real size.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.tag = spark, tag
+        self.held: dict[int, tuple[DataFrame, str, str | None]] = {}
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*[df for df, _, _ in self.held.values()])
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = fresh_path(self.spark, self.tag)
+        df.write.parquet(path)
+        kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+        return self._hold(self.spark.read.schema(kind).parquet(path), path, None)
+
+    def write_bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """Stored in as many buckets of ``key`` as a shuffle has partitions, one file each: joins and sums by it need no shuffle."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path, name = fresh_path(self.spark, self.tag), f"{self.tag}_{uuid.uuid4().hex}"
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+        return self._hold(self.spark.table(name), path, name)
+
+    def _hold(self, df: DataFrame, path: str, name: str | None) -> DataFrame:
+        self.held[id(df)] = (df, path, name)
+        return df
+
+    def drop(self, *written: DataFrame) -> None:
+        """Remove written tables that nothing reads any more."""
+        for df in written:
+            _, path, name = self.held.pop(id(df))
+            if name:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
     """A few in-code rows as a local relation.
 
