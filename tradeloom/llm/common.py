@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -45,6 +46,11 @@ class Scratch:
         for df in written:
             remove(self.spark, self.paths.pop(id(df)))
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of finished steps: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

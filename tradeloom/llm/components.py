@@ -30,17 +30,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             ends = jumped
             if not moved:
                 break
-        ends = ends.select("node", "end")
+        written, ends = ends, ends.select("node", "end")
         if found is None:
             following = ends.withColumnRenamed("end", "root")
         else:
             later = ends.select(F.col("node").alias("root"), "end")
             following = found.join(later, "root", "left").select("node", F.coalesce("end", "root").alias("root"))
-        found = scratch.write(following)
+        older, found = found, scratch.write(following)
+        if older is not None:
+            scratch.drop(older)
         a, b = (ends.select(F.col("node").alias(c), F.col("end").alias(f"to_{c}")) for c in "ab")
         moved_edges = edges.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
         fewer = scratch.write(moved_edges.filter("a != b").distinct())
-        scratch.drop(edges)
+        scratch.drop(edges, written)
         edges = fewer
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

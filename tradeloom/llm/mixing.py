@@ -91,6 +91,7 @@ def count_copies(df: DataFrame, order: list[str], size: str = "size", weights: S
     ranged = numbered.repartitionByRange(*total_order).sortWithinPartitions(*total_order)
     position = F.monotonically_increasing_id()
     placed = scratch.write(ranged.withColumn("__at", position))
+    scratch.settle()
     part, local = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     placed = placed.withColumns({"__part": part, "__local": local})
 

@@ -170,7 +170,9 @@ def candidate_groups(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     # A band's least text leads it; bands with one text say nothing.
     leaders = scratch.write(rows.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader != other").select("band", "leader"))
     edges = rows.join(leaders, "band").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    return components(edges, scratch)
+    found = components(edges, scratch)
+    scratch.drop(leaders)
+    return found
 
 
 def shingle_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -236,7 +238,8 @@ def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     # One row per distinct text: its first row to fetch it by, its copies, its least id.
     first = F.min(F.struct("key", "text_key"))
     nodes = scratch.write(with_words.groupBy("node").agg(first.alias("at"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    groups = scratch.write(candidate_groups(nodes.select("node", "bands"), scratch))
+    groups = candidate_groups(nodes.select("node", "bands"), scratch)
+    scratch.settle()
 
     sizes = groups.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES))
@@ -246,7 +249,10 @@ def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
 
     members = groups.join(sizes.select("root", "blocks"), "root").join(nodes.select("node", "at", "copies"), "node")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("at.key", "at.text_key", "node", "root", "blocks", "block", "copies")
-    texts = scratch.write(shingle_rows(docs, scratch.write(members)))
+    members = scratch.write(members)
+    texts = scratch.write(shingle_rows(docs, members))
+    scratch.drop(members, sizes)
+    scratch.settle()
 
     # A block meets every block of its component once: block b goes to the pairs (b, i) and (i, b).
     paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -259,6 +265,8 @@ def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
         return compare_group(rows, threshold, tolerance)
 
     linked = scratch.write(paired.groupBy("bundle", "task_root", "first", "second").applyInPandas(compare, "node binary, label binary, links long"))
+    scratch.drop(texts)
+    scratch.settle()
     totals = linked.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")), scratch)
     facts = nodes.select("node", "copies", "least_id").join(labels, "node", "left").join(totals, "node", "left")
@@ -266,7 +274,10 @@ def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     classes = scratch.write(facts.groupBy("root").agg(F.min("least_id").alias("class_id")))
     facts = scratch.write(facts.join(classes, "root").select("node", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")))
     out = described.select("key", "text_key", "doc_id", "node").join(facts, "node", "left")
-    return out.select("key", "text_key", "doc_id", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    result = scratch.write(out.select("key", "text_key", "doc_id", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    scratch.drop(described, nodes, linked, facts)
+    scratch.settle()
+    return result
 
 
 def keep_one_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
