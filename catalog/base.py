@@ -43,6 +43,21 @@ def sqs(*names: str, digits: int = 4) -> str:
     return ", ".join(sq(n, n, digits) for n in names)
 
 
+# Two-sided probabilities by Simpson's rule.
+_WEIGHT = "CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+
+
+def student_p(t: str, df: str) -> str:
+    scale = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi())"
+    point = f"(least(abs({t}), 40) * k / 400)"
+    return f"CASE WHEN {t} IS NOT NULL THEN 1 - 2 * {scale} * least(abs({t}), 40) / 1200 * list_sum(list_transform(range(0, 401), lambda k: {_WEIGHT} * pow(1 + {point} * {point} / {df}, -({df} + 1) / 2.0))) END"
+
+
+def normal_p(z: str) -> str:
+    point = f"(least(abs({z}), 40) * k / 400)"
+    return f"CASE WHEN {z} IS NOT NULL THEN 1 - 2 / sqrt(2 * pi()) * least(abs({z}), 40) / 1200 * list_sum(list_transform(range(0, 401), lambda k: {_WEIGHT} * exp(-{point} * {point} / 2))) END"
+
+
 _CHAPTER = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in star.CHAPTERS.items()) + " END"
 _OFFICIAL_CHAPTERS = ", ".join(f"'{c}'" for c in star.OFFICIAL_CHAPTERS)
 _OFFICIAL_YEARS = ", ".join(str(y) for y in star.OFFICIAL_YEARS)

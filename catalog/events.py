@@ -10,7 +10,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from catalog.base import chapters, query, rounded, sq, sqs
+from catalog.base import chapters, normal_p, query, rounded, sq, sqs, student_p
 from tradeloom.operators import events, inference
 
 T, P = "average_tariff_official", "unit_value"
@@ -94,38 +94,39 @@ def _(spark, d):
     return rounded(out.select("time_relative_to_impulse", "tariff_change_bin", "n_observations", "mean_price_diff"), "mean_price_diff", digits=3)
 
 
-_PASS = f"{P}_change / {T}_change"
+# Mean tariffs are rounded before they divide: a change that is nothing but a last bit is none.
+_PASS = f"{P}_change / nullif(floor({T}_change * 1e6 + 0.50001) / 1e6, 0)"
 
 
-@query("pass_through", f"WITH {_CHANGES} SELECT {_G}, {T}_change_range, {sq(_PASS, 'effective_passthrough', 4)} FROM changes WHERE abs({T}_change) > 1")
+@query("pass_through", f"WITH {_CHANGES} SELECT {_G}, {T}_change_range, {sq(_PASS, 'effective_passthrough', 4)} FROM changes")
 def _(spark, d):
-    clear = _changes(spark, d).filter(F.abs(f"{T}_change") > 1)
+    clear = rounded(_changes(spark, d), f"{T}_change", digits=6)
     out = events.pass_through(clear, f"{P}_change", f"{T}_change")
     return rounded(out.select(*_G.split(", "), f"{T}_change_range", "effective_passthrough"), "effective_passthrough")
 
 
-@query("pass_through_mean_and_median", f"WITH {_CHANGES} SELECT {sq(f'avg({_PASS})', 'mean', 4)}, {sq(f'median({_PASS})', 'median', 4)} FROM changes WHERE abs({T}_change) > 1")
+@query("pass_through_mean_and_median", f"WITH {_CHANGES} SELECT {sq(f'avg({_PASS})', 'mean', 4)}, {sq(f'median({_PASS})', 'median', 4)} FROM changes")
 def _(spark, d):
-    clear = _changes(spark, d).filter(F.abs(f"{T}_change") > 1)
+    clear = rounded(_changes(spark, d), f"{T}_change", digits=6)
     out = events.mean_and_median(events.pass_through(clear, f"{P}_change", f"{T}_change"), "effective_passthrough")
     return rounded(out, "mean", "median")
 
 
-@query("t_test_of_price_change", f"WITH {_CHANGES} SELECT count(*) AS n, {sq(f'avg({P}_change)', 'mean')}, {sq(f'avg({P}_change) / (stddev_samp({P}_change) / sqrt(count(*)))', 't', 5)} FROM changes")
+@query("t_test_of_price_change", f"WITH {_CHANGES} SELECT count(*) AS n, {sq(f'avg({P}_change)', 'mean')}, {sq(f'avg({P}_change) / (stddev_samp({P}_change) / sqrt(count(*)))', 't', 5)}, {sq(student_p(f'(avg({P}_change) / (stddev_samp({P}_change) / sqrt(count(*))))', '(count(*) - 1)'), 'p', 5)} FROM changes")
 def _(spark, d):
-    return rounded(rounded(inference.t_test(_changes(spark, d), f"{P}_change").drop("p"), "mean"), "t", digits=5)
+    return rounded(rounded(inference.t_test(_changes(spark, d), f"{P}_change"), "mean"), "t", "p", digits=5)
 
 
 # Whole numbers, so that there are ties and zeros to rank.
 @query("signed_rank_of_price_change", f"""WITH {_CHANGES}, x AS (SELECT floor({P}_change / 100 + 0.50001) AS v FROM changes),
     ranked AS (SELECT v, rank() OVER (ORDER BY abs(v)) + (count(*) OVER (PARTITION BY abs(v)) - 1) / 2.0 AS r FROM x),
     ties AS (SELECT sum(n * n * n - n) AS t FROM (SELECT count(*)::double AS n FROM x WHERE v <> 0 GROUP BY abs(v))),
-    sums AS (SELECT count(*)::double AS n, (count(*) FILTER (v = 0))::double AS z, sum(r) FILTER (v > 0) AS up, sum(r) FILTER (v < 0) AS down FROM ranked)
-    SELECT (n - z)::bigint AS n, up AS rank_sum_up, down AS rank_sum_down, least(up, down) AS statistic,
-      {sq('(least(up, down) - (n * (n + 1) / 4 - z * (z + 1) / 4)) / sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - t / 2) / 24)', 'z', 6)} FROM sums, ties""")
+    sums AS (SELECT count(*)::double AS n, (count(*) FILTER (v = 0))::double AS z, sum(r) FILTER (v > 0) AS up, sum(r) FILTER (v < 0) AS down FROM ranked),
+    scored AS (SELECT *, (least(up, down) - (n * (n + 1) / 4 - z * (z + 1) / 4)) / sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - t / 2) / 24) AS score FROM sums, ties)
+    SELECT (n - z)::bigint AS n, up AS rank_sum_up, down AS rank_sum_down, least(up, down) AS statistic, {sq('score', 'z', 6)}, {sq(normal_p('score'), 'p', 5)} FROM scored""")
 def _(spark, d):
     whole = _changes(spark, d).withColumn("v", F.floor(F.col(f"{P}_change") / 100 + 0.50001).cast("double"))
-    return rounded(inference.signed_rank(whole, "v").drop("p"), "z", digits=6)
+    return rounded(rounded(inference.signed_rank(whole, "v"), "z", digits=6), "p", digits=5)
 
 
 _GRID = [i / 20 for i in range(1, 20)]

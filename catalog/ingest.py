@@ -108,10 +108,10 @@ def _(spark, d):
     return panel.sql_over_parquet(spark, "SELECT p_type, count(*) AS n, min(p_size) AS least FROM {table} GROUP BY p_type", f"{d}/part.parquet")
 
 
-@query("dated_csv_scan", "SELECT product_code, effective_date, rate FROM official WHERE effective_date > DATE '1999-01-01'")
+@query("dated_csv_scan", "SELECT product_code, effective_date, rate FROM official")
 def _(spark, d):
     path = sinks.write_csv(star.official(spark, d).select("product_code", "effective_date", "rate"), fresh_path(spark, "dated"))
-    return added.scan_dated(spark, path, {"product_code": "string", "effective_date": "date", "rate": "double"}).filter(F.col("effective_date") > F.lit("1999-01-01").cast("date"))
+    return added.scan_dated(spark, path, {"product_code": "string", "effective_date": "date", "rate": "double"})
 
 
 @query("added_tariff_csv_scan", f"SELECT effective_date, product_code, {sq('rate / 100', 'rate')} FROM official")
@@ -122,11 +122,11 @@ def _(spark, d):
     return rounded(added.scan_added(spark, parts), "rate")
 
 
-@query("wide_csv_scan", "SELECT count(*) AS n_rows, 12 AS n_columns FROM panel")
+@query("wide_csv_scan", "SELECT count(*) AS n_rows, 13 AS n_columns, count(average_tariff) AS n_rates FROM panel")
 def _(spark, d):
     p = star.stored_panel(spark, d)
-    wide = dimensions.scan_text(spark, sinks.write_csv(p.drop("average_tariff"), fresh_path(spark, "wide")))
-    return wide.agg(F.count("*").alias("n_rows"), F.lit(len(wide.columns)).alias("n_columns"))
+    wide = dimensions.scan_text(spark, sinks.write_csv(p, fresh_path(spark, "wide")))
+    return wide.agg(F.count("*").alias("n_rows"), F.lit(len(wide.columns)).alias("n_columns"), F.count("average_tariff").alias("n_rates"))
 
 
 _LOG_SQL = "log AS (SELECT left(product_code, 2) AS chapter, year, max(rate) AS applied_rate FROM official GROUP BY ALL)"

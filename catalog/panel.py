@@ -9,6 +9,7 @@ from tradeloom import presets
 from tradeloom.functions import windows
 from tradeloom.operators import added, design, harmonise, merge, profile, trend
 from tradeloom.plans import stages, star
+from tradeloom.session import small_table
 
 RATES = ["tariff_rate", "min_rate", "max_rate"]
 PANEL_RATES = [f"{r}_{k}" for k in ("pref", "mfn") for r in RATES] + ["average_tariff"]
@@ -251,15 +252,43 @@ def _(spark, d):
     return added.six_digit_rates(added.rates_by_heading(_codes(spark, d), _log(spark, d)))
 
 
-@query("compare_tariff_sources", """WITH a AS (SELECT product_code, date_trunc('month', effective_date)::date AS month, rate FROM official WHERE year = 1998),
-      b AS (SELECT product_code, date_trunc('month', effective_date - INTERVAL 2 YEAR)::date AS month, rate FROM official WHERE year = 2000)
+@query("compare_tariff_sources", f"""WITH {_LOG}, a AS (SELECT product_code, date_trunc('month', effective_date)::date AS month, rate FROM official),
+      b AS (SELECT product_code, date_trunc('month', effective_date)::date AS month, rate FROM codes JOIN log ON codes.h = log.h)
     SELECT coalesce(a.product_code, b.product_code) AS product_code, coalesce(a.month, b.month) AS month, coalesce(a.rate, b.rate) AS rate,
       CASE WHEN a.rate IS NOT NULL AND b.rate IS NOT NULL THEN 'both' WHEN a.rate IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS found_in
     FROM a FULL JOIN b ON a.product_code = b.product_code AND a.month = b.month AND a.rate = b.rate""")
 def _(spark, d):
-    o = star.official(spark, d)
-    later = o.filter(F.year("effective_date") == 2000).withColumn("effective_date", F.add_months("effective_date", -24))
-    return added.compare_sources(o.filter(F.year("effective_date") == 1998), later)
+    """The list of added tariffs against the rates that the action log gives by heading."""
+    by_heading = added.six_digit_rates(added.rates_by_heading(_codes(spark, d), _log(spark, d)))
+    return added.compare_sources(star.official(spark, d), by_heading.select("product_code", "effective_date", "rate", "hs_revision"))
+
+
+# The kept log of actions, its headings dealt to the products by chapter, joined with the flows.
+_FIXED_LOG = "actions(seq, effective_date, rate, heading) AS (VALUES " + ", ".join(
+    f"({i}, DATE '{day}', {'NULL' if rate is None else rate}::double, {'NULL' if h is None else repr(h)})"
+    for i, (day, rate, h) in enumerate([*((a[0], a[5], next((h for t, d, r, h in presets.ACTION_HEADINGS if (t, d, r) == (a[2], a[0], a[5])), None)) for a in presets.TARIFF_ACTIONS), *((day, rate, h) for day, _, _, rate, h in presets.HEADING_ACTIONS)])
+) + ")"
+_DEALT = {"01": "9903.88.01", "02": "9903.88.02", "27": "9903.88.03", "72": "9903.88.15", "76": "9903.91.05", "84": "none"}
+
+
+@query("action_log_rates", f"""WITH {_FIXED_LOG}, latest AS (SELECT heading, max_by(rate, (effective_date, seq)) AS rate, max_by(effective_date, (effective_date, seq)) AS effective_date FROM actions WHERE heading IS NOT NULL GROUP BY 1),
+    products AS (SELECT DISTINCT product_code, CASE left(product_code, 2) {' '.join(f"WHEN '{c}' THEN '{h}'" for c, h in _DEALT.items())} END AS heading FROM flows)
+    SELECT substr(product_code, 1, 4) || '.' || substr(product_code, 5, 2) || '.00' AS hs_code, l.rate, l.effective_date, p.heading FROM products p LEFT JOIN latest l ON p.heading = l.heading""")
+def _(spark, d):
+    c = star.flows(spark, d).select("product_code").distinct()
+    dotted = F.concat(F.substring("product_code", 1, 4), F.lit("."), F.substring("product_code", 5, 2), F.lit(".00"))
+    heading = F.create_map(*[F.lit(x) for pair in _DEALT.items() for x in pair])[F.substring("product_code", 1, 2)]
+    return added.rates_by_heading(c.select(dotted.alias("hs_code"), heading.alias("heading")), presets.tariff_action_log(spark))
+
+
+_LISTED = ", ".join(f"'{p}'" for p in presets.STEEL_AND_ALUMINIUM_PRODUCTS)
+
+
+@query("flows_outside_product_list", f"SELECT product_code, count(*) AS n, {sq('sum(value)', 'value', 2)} FROM flows WHERE product_code NOT IN ({_LISTED}) GROUP BY 1")
+def _(spark, d):
+    listed = small_table(spark, [(p,) for p in presets.STEEL_AND_ALUMINIUM_PRODUCTS], "product_code string")
+    left = star.flows(spark, d).join(listed, "product_code", "left_anti")
+    return rounded(left.groupBy("product_code").agg(F.count("*").alias("n"), F.sum("value").alias("value")), "value", digits=2)
 
 
 @query("keep_first_duplicate", """SELECT product_code, first(effective_date ORDER BY year) AS effective_date, first(rate ORDER BY year) AS rate FROM official GROUP BY 1""")

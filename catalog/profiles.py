@@ -201,11 +201,11 @@ def _(spark, d):
     return rounded(validate.coverage(star.stored_panel(spark, d), "average_tariff", ["year"]), "null_share", digits=6)
 
 
-_SIDES = "a AS (SELECT DISTINCT product_code FROM mfn WHERE year = 1998), b AS (SELECT DISTINCT product_code FROM pref WHERE year = 2001)"
+_SIDES = "a AS (SELECT DISTINCT product_code FROM mfn), b AS (SELECT DISTINCT product_code FROM pref)"
 
 
 def _keys(spark, d):
-    return star.mfn(spark, d).filter(F.col("year") == 1998), star.pref(spark, d).filter(F.col("year") == 2001)
+    return star.mfn(spark, d), star.pref(spark, d)
 
 
 @query("reconcile_keys", f"WITH {_SIDES} SELECT coalesce(a.product_code, b.product_code) AS product_code, (a.product_code IS NOT NULL)::int AS in_a, (b.product_code IS NOT NULL)::int AS in_b FROM a FULL JOIN b ON a.product_code = b.product_code")

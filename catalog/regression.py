@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEYS, chapters, q, query, rounded, sq, sqs
+from catalog.base import KEYS, chapters, q, query, rounded, sq, sqs, student_p
 from tradeloom.operators import absorb, coefficients, design
 from tradeloom.plans import star
 
@@ -224,12 +224,9 @@ def _partialled(source, k, over):
     return f"(SELECT *, {', '.join(f'o{j}_{k - 1} AS r{j}' for j in range(k))} FROM {source})"
 
 
-# Student's t for the degrees of freedom at hand: the upper 2.5% point by its expansion around the normal one, and the
-# two-sided probability by Simpson's rule.
+# Student's t for the degrees of freedom at hand: the upper 2.5% point by its expansion around the normal one.
 _Z = 1.959963984540054
 _T975 = f"({_Z} + ({_Z}^3 + {_Z}) / (4 * df) + (5 * {_Z}^5 + 16 * {_Z}^3 + 3 * {_Z}) / (96 * df^2) + (3 * {_Z}^7 + 19 * {_Z}^5 + 17 * {_Z}^3 - 15 * {_Z}) / (384 * df^3))"
-_P = """1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * least(abs(t), 40) / 1200 *
-    list_sum(list_transform(range(0, 401), lambda k: CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(least(abs(t), 40) * k / 400, 2) / df, -(df + 1) / 2)))"""
 
 
 def _model(source, outcome, terms, effects, cluster=None, extra=()):
@@ -266,7 +263,7 @@ def _model(source, outcome, terms, effects, cluster=None, extra=()):
     sized AS (SELECT count(*) AS n, count(*) - ({levels}) + {max(len(counted) - 1, 0)} AS dof_all FROM within),
     errors AS (SELECT *, dof_all - {terms_kept} AS dof, y - ({fitted}) AS e FROM (SELECT *, {beta} FROM {_partialled('within', k, '()')}), sized),
     raw_coefs AS ({rows}),
-    coefs AS (SELECT *, CASE WHEN t IS NOT NULL THEN {_P} END AS p, estimate - {_T975} * std_error AS ci_low, estimate + {_T975} * std_error AS ci_high FROM (SELECT *, estimate / std_error AS t FROM raw_coefs))"""
+    coefs AS (SELECT *, {student_p('t', 'df')} AS p, estimate - {_T975} * std_error AS ci_low, estimate + {_T975} * std_error AS ci_high FROM (SELECT *, estimate / std_error AS t FROM raw_coefs))"""
 
 
 def _years_of(condition, name="direct"):

@@ -91,7 +91,7 @@ def test_preset_actions(spark, rows):
     from tradeloom.sources.added import action_log
 
     codes = spark.createDataFrame([("0101.21.00", "9903.88.03"), ("0101.29.00", "9903.88.15")], "hs_code string, heading string")
-    mapped = added.rates_by_heading(codes, action_log(spark, presets.tariff_actions()))
+    mapped = added.rates_by_heading(codes, presets.tariff_action_log(spark))
     assert rows(mapped, "heading", "rate") == [("9903.88.03", 0.25), ("9903.88.15", 0.075)]
     assert len(set(presets.STEEL_AND_ALUMINIUM_PRODUCTS)) == 187
 

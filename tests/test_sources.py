@@ -19,6 +19,9 @@ def test_flows(spark, tmp_path, rows):
     assert rows(out) == [(1995, "004", "842", "010111", 1.5, None), (1996, "251", "036", "010190", 2.0, 3.0)]
     with pytest.raises(AnalysisException):
         flows.scan_flows(spark, f"{tmp_path}/none*.csv")
+    (tmp_path / "Y1997.csv").write_text("t,j,i,k,v,q\n1997,4,842,010111,1,2\n")  # columns in another order
+    with pytest.raises(Exception, match="header"):
+        flows.scan_flows(spark, f"{tmp_path}/Y1997.csv").collect()
 
 
 def test_tariff_files(spark, tmp_path, rows):

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import ratio
-from tradeloom.functions.joins import attach, attach_summary
+from tradeloom.functions.joins import attach_summary
 
 
 def _before(group, sort):
@@ -31,7 +31,7 @@ def _along(df: DataFrame, group: list[str], sort: str, col: str, filled: Column,
     if unique:
         return df.withColumn("_f", filled).withColumn(col, finish(F.coalesce(col, "_f"))).drop("_f")
     grid = df.groupBy(*group, sort).agg(F.max(col).alias(col)).withColumn("_f", filled).drop(col)
-    return attach(df, grid, [*group, sort]).withColumn(col, finish(F.coalesce(col, "_f"))).drop("_f").select(*df.columns)
+    return attach_summary(df, grid, [*group, sort], tag="grid").withColumn(col, finish(F.coalesce(col, "_f"))).drop("_f").select(*df.columns)
 
 
 def fill_forward(df: DataFrame, group: list[str], sort: str, col: str, unique: bool = False) -> DataFrame:
@@ -62,7 +62,7 @@ def interpolate(df: DataFrame, group: list[str], sort: str, col: str, fill_value
     step = ratio(F.col("_hi.v") - F.col("_lo.v"), F.col("_hi.p") - F.col("_lo.p"))
     work = work.withColumn("_f", F.col("_lo.v") + step * (F.col("_pos") - F.col("_lo.p")))
     if not unique:
-        work = attach(df, work.select(*group, sort, "_f"), [*group, sort])
+        work = attach_summary(df, work.select(*group, sort, "_f"), [*group, sort], tag="grid")
     parts = [F.col(col).cast("double"), F.col("_f")]
     if fill_value is not None:
         parts.append(F.lit(float(fill_value)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradeloom import schema as S
 from tradeloom.functions.joins import attach
+from tradeloom.session import materialise
 
 
 def _translated(df: DataFrame, concordance: DataFrame) -> DataFrame:
@@ -50,6 +51,9 @@ def country_map(codes: DataFrame, overrides: DataFrame, standard: DataFrame, tab
     ``tables`` that knows it, and the code itself. ``standard`` holds
     ``label, iso_num`` with every numeric code, alpha code and name; inexact
     name matches are entered there as further labels.
+
+    The map is written, so that joining it twice does not make it twice and its
+    real size, not that of the tables the codes come from, decides how.
     """
     wanted = codes.select("original_code").filter(F.col("original_code").isNotNull()).distinct()
     labels = standard.select(F.lower("label").alias("_label"), "iso_num").groupBy("_label").agg(F.min("iso_num").alias("iso_num"))
@@ -72,7 +76,8 @@ def country_map(codes: DataFrame, overrides: DataFrame, standard: DataFrame, tab
     wanted = by(wanted, F.coalesce(*iso3s, none), "_by_iso3")
     single = F.coalesce("_direct", "_by_name", "_by_iso3", "original_code")
     listed = overrides.select("original_code", F.col("iso_num").alias("_override")).distinct()
-    return wanted.join(listed, "original_code", "left").select("original_code", F.coalesce("_override", single).alias("iso_num"))
+    out = wanted.join(listed, "original_code", "left").select("original_code", F.coalesce("_override", single).alias("iso_num"))
+    return materialise(out, "country-map")
 
 
 def remap_countries(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:

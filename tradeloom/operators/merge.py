@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom import schema as S
-from tradeloom.functions.joins import attach_summary
+from tradeloom.functions.joins import attach, attach_summary
 from tradeloom.operators.harmonise import least_rates
 
 
@@ -39,7 +39,8 @@ def build_panel(
     mfn_keys = [country, S.PRODUCT, S.YEAR]
     pref_least = least_rates(pref, pref_keys).withColumnsRenamed({c: f"{c}_pref" for c in S.RATES})
     mfn_least = least_rates(mfn, mfn_keys).withColumnsRenamed({c: f"{c}_mfn" for c in S.RATES})
-    panel = attach_summary(flows, pref_least, pref_keys, tag="pref")
+    # The preferential rates are nearly as many as the flows and their keys hold few rows each, so the sums are joined as they are shuffled.
+    panel = attach(flows, pref_least, pref_keys)
     panel = attach_summary(panel, mfn_least, mfn_keys, tag="mfn")
     rates = [f"{c}_{kind}" for kind in ("pref", "mfn") for c in S.RATES]
     return panel.select(*flows.columns, *rates, F.coalesce("tariff_rate_pref", "tariff_rate_mfn").alias("average_tariff"))

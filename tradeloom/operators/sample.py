@@ -142,7 +142,7 @@ def sample_exact(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataF
     spread, so rows below a cut a little above ``n`` of the total are enough to
     hold the ``n`` least; if they are not, all rows are ranked.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in key])
     hashed = df.withColumn("_h", F.md5(text))
     total = df.count()
     if total <= n:

@@ -12,7 +12,7 @@ from tradeloom.session import small_table
 
 def scan_added(spark: SparkSession, paths) -> DataFrame:
     """Added-tariff lists as one table; ``time`` such as ``2018m7`` becomes the first of that month."""
-    raw = spark.read.schema(S.ADDED_RAW).option("header", True).csv(paths)
+    raw = spark.read.schema(S.ADDED_RAW).option("header", True).option("enforceSchema", False).csv(paths)
     return raw.select(
         F.to_date(F.regexp_replace("time", "m", "-"), "yyyy-M").alias("effective_date"),
         F.expr("left(hs_code, length(hs_code) - 2)").alias(S.PRODUCT),
@@ -23,7 +23,7 @@ def scan_added(spark: SparkSession, paths) -> DataFrame:
 def scan_dated(spark: SparkSession, path, columns: dict[str, str], date_format: str = "yyyy-MM-dd") -> DataFrame:
     """CSV with date columns given by an explicit schema such as ``{"day": "date"}``."""
     ddl = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
-    return spark.read.schema(ddl).option("header", True).option("dateFormat", date_format).csv(path)
+    return spark.read.schema(ddl).option("header", True).option("enforceSchema", False).option("dateFormat", date_format).csv(path)
 
 
 def action_log(spark: SparkSession, records: list[dict]) -> DataFrame:

@@ -13,9 +13,9 @@ def scan_flows(spark: SparkSession, glob: str) -> DataFrame:
     """All yearly flow files as one table; a glob that matches nothing raises.
 
     Amounts may be padded text such as ``"  1.5"`` or ``NA``; they become NULL
-    when they are no number.
+    when they are no number. A file whose header names other columns, or the same in another order, raises.
     """
-    raw = spark.read.schema(S.FLOWS_RAW).option("header", True).option("mode", "PERMISSIVE").csv(glob)
+    raw = spark.read.schema(S.FLOWS_RAW).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(glob)
     return raw.withColumns({"v": rate_from_text("v"), "q": rate_from_text("q")})
 
 

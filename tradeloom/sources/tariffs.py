@@ -23,7 +23,7 @@ def scan_tariffs(spark: SparkSession, kind: str, base: str, files: str = "*/*Job
     """
     raw = (
         spark.read.schema(tariff_schema(kind))
-        .option("header", True)
+        .option("header", True).option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("nullValue", "NA")
         .csv(f"{base.rstrip('/')}/{files}")
