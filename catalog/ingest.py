@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import KEYS, query, rounded, sq
+from tradeloom import presets
 from tradeloom.functions import columns as C
 from tradeloom.plans import stages, star
 from tradeloom.session import fresh_path
@@ -206,3 +207,55 @@ def _(spark, d):
 @query("distinct_codes", "SELECT reporter_country AS original_code FROM flows UNION SELECT partner_country FROM flows")
 def _(spark, d):
     return stages.distinct_codes(star.flows(spark, d), ["reporter_country", "partner_country"])
+
+
+# The whole way from raw files. Two countries hide behind area codes, codes lose their zeros, every second product is
+# published in a later revision under another code, some lines say NA, and partners are named by their group.
+_AREAS = {"907": "007", "908": "008"}
+_ENRICHED = ["value", "quantity", "tariff_rate_pref", "min_rate_pref", "max_rate_pref", "tariff_rate_mfn", "min_rate_mfn", "max_rate_mfn", "average_tariff",
+             "unit_value", "value_global_trend", "value_detrended", "quantity_detrended", "unit_value_detrended", "official_tariff", "average_tariff_official"]
+
+
+def _published(column):
+    return F.replace(F.replace(F.col(column), F.lit("007"), F.lit("907")), F.lit("008"), F.lit("908"))
+
+
+def _later_code():
+    """A product's code in the later revision: another chapter, the same digits after it."""
+    chapters = F.create_map(*[F.lit(x) for i, c in enumerate(star.CHAPTERS.values(), 91) for x in (c, str(i))])
+    return F.concat(chapters[F.substring("product_code", 1, 2)], F.substring("product_code", 3, 4))
+
+
+def _publish_tariffs(rates, kind, path):
+    later = F.substring("product_code", 6, 1).cast("int") % 2 == 1
+    revision = F.when(later, "H1").otherwise("H0")
+    code = F.when(later, _later_code()).otherwise(F.col("product_code"))
+    partner = [F.concat(F.lit("G"), "partner_country").alias("Partner")] if kind == "AVEPref" else []
+    counts = [F.lit(1).alias(c) for c in ("Nbr_NA_Lines", "Nbr_Free_Lines", "Nbr_AVE_Lines", "Nbr_Dutiable_Lines", "TotalNoOfValidLines", "TotalNoOfLines")]
+    # Every line of one year comes twice, once without rates.
+    blank = F.explode(F.when(F.col("year") == 1999, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    said = {c: F.when(F.col("blank"), "NA").otherwise(F.col(c).cast("string")) for c in ("tariff_rate", "min_rate", "max_rate")}
+    raw = rates.withColumn("blank", blank).select(
+        revision.alias("NomenCode"), _published("reporter_country").alias("Reporter_ISO_N"), F.col("year").alias("Year"), code.alias("ProductCode"), *partner,
+        F.lit("0").alias("Sum_Of_Rates"), said["min_rate"].alias("Min_Rate"), said["max_rate"].alias("Max_Rate"), said["tariff_rate"].alias("SimpleAverage"), *counts, F.lit("").alias("EstCode"),
+        F.format_string(kind + "_%s_ALL_%d_U2", revision, "year").alias("folder"))
+    raw.repartition("folder").write.option("header", True).partitionBy("folder").csv(f"{path}/{kind}")
+
+
+@query("raw_files_to_enriched_panel", f"SELECT {', '.join(KEYS)}, {', '.join(sq(c, c) for c in _ENRICHED)} FROM enriched")
+def _(spark, d):
+    path = fresh_path(spark, "raw")
+    flat = star.flows(spark, d).select(
+        F.col("year").alias("t"), _published("reporter_country").cast("int").alias("i"), _published("partner_country").cast("int").alias("j"),
+        F.col("product_code").alias("k"), F.format_string("  %.2f", "value").alias("v"), F.col("quantity").cast("string").alias("q"))
+    sinks.write_csv(flat, f"{path}/flows")
+    _publish_tariffs(star.mfn(spark, d), "AVEMFN", f"{path}/tariffs")
+    _publish_tariffs(star.pref(spark, d), "AVEPref", f"{path}/tariffs")
+    codes = star.stored_cells(spark, d).select("product_code").distinct()
+    concordance = codes.select(F.lit("H1").alias("hs_revision"), _later_code().alias("source_code"), F.col("product_code").alias("target_code"))
+    members = star.countries(spark, d).select(F.concat(F.lit("G"), "country_code").alias("pref_group_code"), F.col("country_code").alias("country_iso_num"))
+    areas = presets.area_code_table(spark, {area: [iso] for area, iso in _AREAS.items()})
+    out = stages.run(
+        spark, f"{path}/flows/*.csv", f"{path}/tariffs", concordance, members, areas, areas, star.official(spark, d), f"{path}/out", "*/*.csv",
+        exporter=star.TARGET_EXPORTER, importer=star.TARGET_IMPORTER)
+    return rounded(panel.scan_panel(spark, out).select(*KEYS, *_ENRICHED), *_ENRICHED)

@@ -43,12 +43,12 @@ def enrich(panel: DataFrame, official: DataFrame, last_year: int | None = None,
 
 def run(
     spark: SparkSession, flows_glob: str, tariff_base: str, concordance: DataFrame, membership: DataFrame,
-    flow_map: DataFrame, tariff_map: DataFrame, official: DataFrame, out: str, **overlay,
+    flow_map: DataFrame, tariff_map: DataFrame, official: DataFrame, out: str, tariff_files: str = "*/*JobID*.CSV", **overlay,
 ) -> str:
     """All stages. Each writes Parquet that the next one reads; returns the enriched panel's path."""
     out = out.rstrip("/")
     sinks.write_parquet(clean_flows(flow_source.scan_flows(spark, flows_glob), flow_map), f"{out}/flows", mode="overwrite")
-    raw = {k: tariff_source.scan_tariffs(spark, k, f"{tariff_base}/{k}") for k in ("AVEMFN", "AVEPref")}
+    raw = {k: tariff_source.scan_tariffs(spark, k, f"{tariff_base}/{k}", tariff_files) for k in ("AVEMFN", "AVEPref")}
     sinks.write_parquet(clean_mfn(raw["AVEMFN"], concordance, tariff_map), f"{out}/mfn", "zstd", "overwrite")
     sinks.write_parquet(clean_pref(raw["AVEPref"], concordance, membership, tariff_map), f"{out}/pref", "zstd", "overwrite")
     panel = merge.build_panel(*[spark.read.parquet(f"{out}/{t}") for t in ("flows", "mfn", "pref")])
