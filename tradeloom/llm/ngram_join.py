@@ -239,6 +239,11 @@ def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     first = F.min(F.struct("key", "text_key"))
     nodes = scratch.write(with_words.groupBy("node").agg(first.alias("at"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     groups = candidate_groups(nodes.select("node", "bands"), scratch)
+    # The bands are as large as all the rest and have done their work.
+    fat = [described, nodes]
+    described = scratch.write(described.select("key", "text_key", "doc_id", "node"))
+    nodes = scratch.write(nodes.drop("bands"))
+    scratch.drop(*fat)
     scratch.settle()
 
     sizes = groups.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
@@ -273,7 +278,7 @@ def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     facts = scratch.write(facts.select("node", "copies", "least_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     classes = scratch.write(facts.groupBy("root").agg(F.min("least_id").alias("class_id")))
     facts = scratch.write(facts.join(classes, "root").select("node", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")))
-    out = described.select("key", "text_key", "doc_id", "node").join(facts, "node", "left")
+    out = described.join(facts, "node", "left")
     result = scratch.write(out.select("key", "text_key", "doc_id", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     scratch.drop(described, nodes, linked, facts)
     scratch.settle()
