@@ -11,18 +11,6 @@ from tradeloom.llm.common import Scratch, table
 
 N_SHARDS = 24
 
-SHARDS_SQL = f"""
-    WITH sized AS (
-        SELECT doc_id, coalesce(strlen(text), 0) + {sharding.ROW_BYTES} AS size, coalesce(text, '') AS body FROM documents),
-    summed AS (
-        SELECT doc_id, size, body, row_number() OVER w - 1 AS row_no,
-               sum(size) OVER (ORDER BY doc_id NULLS FIRST, body ROWS UNBOUNDED PRECEDING)::hugeint - size AS before, sum(size) OVER ()::hugeint AS total
-        FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, body ROWS UNBOUNDED PRECEDING)),
-    dealt AS (SELECT *, least({N_SHARDS - 1}, ((2 * before + size) * {N_SHARDS}) // (2 * total))::int AS shard FROM summed)
-    SELECT doc_id, size::bigint AS size, 'bytes' AS law, shard, (row_no - min(row_no) OVER (PARTITION BY shard))::bigint AS slot,
-           NULL::int AS grown_shard
-    FROM dealt"""
-
 
 def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """Shard and slot of every document, with its size and the CRC of its text."""
