@@ -59,6 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    spent = []
     for _, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(*spent)  # what the stage before wrote, now read to the end
+        spent = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
