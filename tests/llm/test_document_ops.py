@@ -170,6 +170,31 @@ def test_main_text(html):
     assert main_text.main_text(html) == PAGES[html]
 
 
+LONG = "A long sentence with words enough to read. " * 60
+SHORT = [f"Short line {i}." for i in range(20)]
+PARTS = {
+    "section": "<section>{}</section>", "quote": "<blockquote>{}</blockquote>", "div": "<div>{}</div>", "list": "<ul><li>{}</li></ul>",
+    "table": "<table><tbody><tr><td>{}</td></tr></tbody></table>", "nested": "<section><div><blockquote>{}</blockquote></div></section>",
+}
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div", "body"])
+@pytest.mark.parametrize("part", PARTS)
+def test_main_text_keeps_lines_around_a_long_part(around, part):
+    before, after = ("".join(f"<p>{t}</p>" for t in half) for half in (SHORT[:10], SHORT[10:]))
+    html = f"<nav><a>Home</a></nav><{around}>{before}{PARTS[part].format(LONG)}{after}</{around}><footer>us</footer>"
+    assert main_text.main_text(html) == " ".join([*SHORT[:10], LONG.strip(), *SHORT[10:]])
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_main_text_keeps_sibling_parts(around):
+    one, two = ("".join(f"<p>{LONG[:430].strip()}</p>" for _ in range(n)) for n in (17, 3))
+    html = f"<nav><a>Home</a></nav><{around}><h1>Head</h1><section>{one}</section><section>{two}</section></{around}><footer>us</footer>"
+    assert main_text.main_text(html) == " ".join(["Head", *[LONG[:430].strip()] * 20])
+    html = f"<body><div class='ad'>{LONG}</div><article>{one}</article><article>{two}</article><div>Teaser</div>"
+    assert main_text.main_text(html) == " ".join([LONG[:430].strip()] * 20)
+
+
 def test_main_text_of_odd_rows(spark):
     rows = [(1, "u", "<p>é</p>", "x"), (None, None, None, "y"), (1, "u", "<p>é</p>", "x"), (2, "u", "<p>" + "long " * 100_000, "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -5,9 +5,11 @@ text between block-level tags, and count the tags before each. The ratio of text
 to tags is smoothed with a Gaussian kernel over neighbouring lines; lines whose
 smoothed ratio is above one standard deviation of the page's ratios form the
 content cluster. Lines in menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts and styles never count. The content region is the
-innermost element that holds nearly all text of the cluster; its remaining
-lines, short ones too, are the main text.
+forms, comments, scripts and styles never count. The content region is made of
+the outermost ``article`` and ``main`` elements where these hold nearly all text
+of the cluster, else it is the innermost element that holds all of it, grown while
+that is only a part of a text (a section, quote, table or list) or stands among
+lines of its parent. All lines of the region, short ones too, are the main text.
 
 A null html is an empty page; a page without content has the text ''. Unclosed
 and stray tags are allowed. Repeated rows are pages like others; other columns
@@ -41,8 +43,11 @@ BESIDE = frozenset(
 )
 WORD = re.compile(r"[a-z]+")
 RADIUS, SIGMA = 2, 1.0
-#: The region holds at least this share of the cluster's text.
+#: Articles are the region if they hold at least this share of the cluster's text.
 MOST = 0.8
+#: Elements that hold a text or a page; the other containers, but for the cells of tables, are parts of a text.
+WHOLE = frozenset(["", "article", "body", "div", "main"])
+ARTICLES = frozenset(["article", "main"])
 
 
 class Lines(HTMLParser):
@@ -56,6 +61,7 @@ class Lines(HTMLParser):
         self.beside: list[bool] = []
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
         self.path: tuple[int, ...] = (0,)
+        self.names: list[str] = [""]
         self.parts: list[str] = []
         self.count = self.seen = 0
 
@@ -85,6 +91,7 @@ class Lines(HTMLParser):
                 if name == "hidden" or name == "aria-hidden" and value == "true":
                     beside = True
         self.seen += 1
+        self.names.append(tag)
         self.stack.append((tag, self.seen, beside))
         self.path = (*self.path, self.seen)
 
@@ -128,15 +135,32 @@ def region(lines: Lines) -> list[int]:
     content = usable[ratios[usable] >= ratios.std()]
     if not len(content):
         content = usable
-    # Text of the cluster inside each element; the innermost that holds nearly all of it is the region.
-    mass: dict[int, float] = {}
-    for i in content.tolist():
-        for element in lines.paths[i]:
-            mass[element] = mass.get(element, 0.0) + size[i]
-    enough = MOST * mass[0]
-    depth = {element: d for i in content.tolist() for d, element in enumerate(lines.paths[i])}
-    inner = max((e for e, m in mass.items() if m >= enough), key=lambda e: depth[e])
-    return [i for i in usable.tolist() if inner in lines.paths[i]]
+    articles = {e for i in usable.tolist() for e in lines.paths[i] if lines.names[e] in ARTICLES}
+    inside = [i for i in content.tolist() if not articles.isdisjoint(lines.paths[i])]
+    if inside and size[inside].sum() >= MOST * size[content].sum():
+        return [i for i in usable.tolist() if not articles.isdisjoint(lines.paths[i])]
+    region = grown(lines, common([lines.paths[i] for i in content.tolist()]), {lines.paths[i][-1] for i in usable.tolist()})
+    return [i for i in usable.tolist() if region in lines.paths[i]]
+
+
+def common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """Path of the innermost element that holds all ``paths``."""
+    low, high = min(paths), max(paths)
+    same = next((d for d, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    return low[:same]
+
+
+def grown(lines: Lines, path: tuple[int, ...], direct: set[int]) -> int:
+    """The element at the end of ``path``, or the one above it whose text it is a part of; ``direct`` elements have lines of their own."""
+    while len(path) > 1:
+        above = path[:-1]
+        while lines.names[above[-1]] not in WHOLE:
+            above = above[:-1]
+        tag = lines.names[path[-1]]
+        if (tag in WHOLE or tag == "td") and direct.isdisjoint(path[len(above) - 1 : -1]):
+            break
+        path = above
+    return path[-1]
 
 
 def main_text(html: str | None) -> str:
