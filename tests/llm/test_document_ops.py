@@ -195,6 +195,33 @@ def test_main_text_keeps_sibling_parts(around):
     assert main_text.main_text(html) == " ".join([LONG[:430].strip()] * 20)
 
 
+WRAPPERS = ["<div class='layout has-sidebar'>", "<div class='no-sidebar'>", "<div class='with-navigation'>", "<div id='search-content'>", "<form>", "<div class='search'>", "<div id='sidebar' hidden>"]
+
+
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_main_text_in_marked_wrappers(wrapper, inner):
+    close = f"</{wrapper[1:].split()[0].rstrip('>')}>"
+    text = " ".join([*SHORT[:3], LONG.strip()])
+    own = f"<{inner}>" + "".join(f"<p>{t}</p>" for t in [*SHORT[:3], LONG]) + f"</{inner}>"
+    menu = "<nav><a>Home</a></nav><div class='sidebar'><p>Beside it all.</p></div>"
+    assert main_text.main_text(f"{wrapper}{menu}{own}{close}<footer>us</footer>") == text
+    # Comments stay out beside an article, also when they are longer and articles themselves.
+    comments = f"<div class='comments'><p>{LONG}</p><article class='comment'><p>{LONG[:99]}</p></article></div><aside><article>{LONG[:99]}</article></aside>"
+    if inner != "div":
+        assert main_text.main_text(f"{wrapper}{menu}{own}{comments}{close}<footer>us</footer>") == text
+
+
+@pytest.mark.parametrize("opened", ["<head><title>t</title><body>", "<head><title>t</title>", "<header>Site", "<nav><a>Home</a>"])
+def test_main_text_after_unclosed_elements(opened):
+    for inner in ("article", "main"):
+        assert main_text.main_text(f"{opened}<{inner}><p>{LONG}</p></{inner}>") == LONG.strip()
+
+
+def test_main_text_in_a_marked_part_of_an_article():
+    assert main_text.main_text(f"<article><div class='banner share'><p>{LONG}</p></div><div class='share'>Share this</div></article>") == LONG.strip()
+
+
 def test_main_text_of_odd_rows(spark):
     rows = [(1, "u", "<p>é</p>", "x"), (None, None, None, "y"), (1, "u", "<p>é</p>", "x"), (2, "u", "<p>" + "long " * 100_000, "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

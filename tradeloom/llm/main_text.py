@@ -5,7 +5,10 @@ text between block-level tags, and count the tags before each. The ratio of text
 to tags is smoothed with a Gaussian kernel over neighbouring lines; lines whose
 smoothed ratio is above one standard deviation of the page's ratios form the
 content cluster. Lines in menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts and styles never count. The content region is made of
+forms, comments, scripts and styles never count. Some of these are known by a
+whole class, id or role token only; such an element counts all the same if it
+holds most of the text, and so does a ``main`` or a large ``article`` inside it.
+The content region is made of
 the outermost ``article`` and ``main`` elements where these hold nearly all text
 of the cluster, else it is the innermost element that holds all of it, grown while
 that is only a part of a text (a section, quote, table or list) or stands among
@@ -35,13 +38,21 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article aside blockquote body div dl fieldset figure footer form header main menu nav ol section table tbody td tr ul".split())
 NEVER = frozenset("aside button dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split())
-#: Words in a class, id or role that mark a part of the page beside its article.
+#: Tokens of a class, id or role that mark a part of the page beside its article.
 BESIDE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies "
     "disqus footer form masthead menu modal nav navbar navigation newsletter notice popup promo related replies reply "
-    "respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget "
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper breadcrumb-nav comment-body comment-form comment-list comments-area comments-section "
+    "cookie-banner cookie-bar cookie-consent cookie-notice main-menu main-nav main-navigation nav-bar nav-links nav-menu newsletter-form "
+    "newsletter-signup page-footer post-comments post-navigation primary-navigation related-articles related-posts search-box search-form "
+    "share-buttons share-links side-bar site-footer site-header site-navigation skip-link skip-links social-links social-media "
+    "social-share top-nav top-navigation widget-area".split()
 )
-WORD = re.compile(r"[a-z]+")
+#: Elements of NEVER that a ``main`` or most of the page may be found in, as when their end tag is missing.
+LAYOUT = frozenset("aside dialog footer head header menu nav".split())
+NUMBER = re.compile(r"[-_]*\d+$")
+MARKED, AROUND, UNSEEN = 1, 2, 3
 RADIUS, SIGMA = 2, 1.0
 #: Articles are the region if they hold at least this share of the cluster's text.
 MOST = 0.8
@@ -51,19 +62,20 @@ ARTICLES = frozenset(["article", "main"])
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags before it, and the stack of elements around it; ``beside`` lines are no content."""
+    """Lines of a page: text, tags before it, and the path of elements around it; and the elements with their marks."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.paths: list[tuple[int, ...]] = []
-        self.beside: list[bool] = []
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.stack: list[str] = [""]
         self.path: tuple[int, ...] = (0,)
         self.names: list[str] = [""]
+        self.parents: list[int] = [0]
+        self.marks: list[int] = [0]
         self.parts: list[str] = []
-        self.count = self.seen = 0
+        self.count = 0
 
     def end_line(self) -> None:
         if self.parts:
@@ -73,7 +85,6 @@ class Lines(HTMLParser):
                 self.texts.append(text)
                 self.tags.append(self.count)
                 self.paths.append(self.path)
-                self.beside.append(self.stack[-1][2])
                 self.count = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -83,17 +94,25 @@ class Lines(HTMLParser):
         self.end_line()
         if tag in VOID or (tag not in CONTAINERS and tag not in NEVER):
             return
-        beside = self.stack[-1][2] or tag in NEVER or tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack)
-        if not beside and tag not in ("body", "article", "main"):
-            for name, value in attrs:
-                if value and name in ("class", "id", "role") and not BESIDE.isdisjoint(WORD.findall(value.lower())):
-                    beside = True
-                if name == "hidden" or name == "aria-hidden" and value == "true":
-                    beside = True
-        self.seen += 1
         self.names.append(tag)
-        self.stack.append((tag, self.seen, beside))
-        self.path = (*self.path, self.seen)
+        self.parents.append(self.path[-1])
+        self.marks.append(self.mark(tag, attrs))
+        self.stack.append(tag)
+        self.path = (*self.path, len(self.names) - 1)
+
+    def mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        if tag == "header" and not ARTICLES.isdisjoint(self.stack):
+            return 0
+        if tag in NEVER and tag != "form" or tag == "header":
+            return AROUND if tag in LAYOUT else UNSEEN
+        if tag in ("body", "article", "main"):
+            return 0
+        for name, value in attrs:
+            if value and name in ("class", "id", "role") and not BESIDE.isdisjoint(NUMBER.sub("", t).replace("_", "-") for t in value.lower().split()):
+                return MARKED
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                return MARKED
+        return MARKED if tag == "form" else 0
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.count += 1
@@ -106,16 +125,58 @@ class Lines(HTMLParser):
             return
         self.end_line()
         for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth][0] == tag:
+            if self.stack[depth] == tag:
                 del self.stack[depth:]
                 self.path = self.path[:depth]
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.stack[-1][0] not in ("script", "style"):
+        if self.stack[-1] not in ("script", "style"):
             self.parts.append(data)
 
 
+def held(lines: Lines, without: list[bool]) -> list[int]:
+    """Length of the text in each element, but for lines in elements ``without``."""
+    size = [0] * len(lines.names)
+    for text, path in zip(lines.texts, lines.paths):
+        if not without[path[-1]]:
+            size[path[-1]] += len(text)
+    for e in range(len(size) - 1, 0, -1):
+        size[lines.parents[e]] += size[e]
+    return size
+
+
+def beside(lines: Lines) -> list[bool]:
+    """Which elements hold no content of their own, by their marks and those around them."""
+    names, parents, marks = lines.names, lines.parents, lines.marks
+    elements = range(1, len(names))
+    scope = [0] * len(names)  # the innermost article around an element, 0 for the page
+    unseen = [False] * len(names)
+    for e in elements:
+        scope[e] = parents[e] if names[parents[e]] in ARTICLES else scope[parents[e]]
+        unseen[e] = unseen[parents[e]] or marks[e] == UNSEEN
+    size = held(lines, unseen)
+    out = unseen[:]
+    for e in elements:
+        freed = names[e] in ("body", "main") or names[e] == "article" and 2 * size[e] > size[0]
+        out[e] = unseen[e] or marks[e] == AROUND or out[parents[e]] and not freed
+
+    size = held(lines, out)
+    articles = [e for e in elements if names[e] in ARTICLES and not out[e] and size[e]]
+    # Comments can be longer than the article: what lies beside one needs nearly all of the page's text to count.
+    marked = [False] * len(names)
+    under = marked[:]
+    for e in elements:
+        if marks[e] == MARKED:
+            marked[e] = 2 * size[e] <= size[scope[e]] or not scope[e] and bool(articles) and size[e] < MOST * size[0]
+        under[e] = under[parents[e]] or marked[e]
+    clear = max((size[e] for e in articles if not under[e]), default=0)
+    for e in elements:
+        freed = names[e] == "main" or names[e] == "article" and not scope[e] and size[e] >= clear
+        marked[e] = marked[e] or marked[parents[e]] and not freed
+    return [a or b for a, b in zip(out, marked)]
+
+
 def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian mean over ``radius`` lines on each side, with less weight in all at the page's ends."""
     kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma**2))
@@ -126,7 +187,8 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) ->
 
 def region(lines: Lines) -> list[int]:
     """Numbers of the lines that are the page's main text."""
-    usable = [i for i, b in enumerate(lines.beside) if not b]
+    no_content = beside(lines)
+    usable = [i for i, path in enumerate(lines.paths) if not no_content[path[-1]]]
     if not usable:
         return []
     size = np.array([len(t) for t in lines.texts], float)
