@@ -50,6 +50,26 @@ def test_gradients_agree_with_differences():
             assert grad[at] == pytest.approx((up - down) / (2 * step), rel=0.1, abs=1e-3)
 
 
+def test_gradients_of_parts_add_up(monkeypatch):
+    net = quality.fit(texts_of(0, 4) + texts_of(1, 4), [0] * 4 + [1] * 4, quality.Settings(epochs=1))
+    texts, labels = [t * n for n, t in enumerate(texts_of(0, 4) + texts_of(1, 4))], np.array([0, 0, 0, 0, 1, 1, 1, 1], np.float32)
+    loss, whole = quality.gradients(net, texts, labels)
+    monkeypatch.setattr(quality, "PIECE", 5)
+    got, parts = quality.gradients(net, texts, labels)
+    assert got == pytest.approx(loss, rel=1e-5) and all(np.allclose(a, b, rtol=1e-3, atol=1e-6) for a, b in zip(parts, whole))
+
+
+def test_marks_anywhere_in_long_texts_are_learned(spark, make_docs):
+    # The texts differ only at bytes 520 to 1780, which four excerpts of 512 bytes of 6000 miss.
+    plain = [t.decode() for t in texts_of(1, 60)]
+    long = [(" ".join(plain[i:] + plain[:i]) * 2)[:6000] for i in range(60)]
+    rows = [(i, t if i % 2 else t[:520] + "#%" * 630 + t[1780:]) for i, t in enumerate(long)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    net = quality.train(make_docs(rows), labels, quality.Settings(epochs=40, batch=5, rate=0.03))
+    p = quality.probabilities(net, [t.encode() for _, t in rows])
+    assert p[1::2].min() > p[0::2].max() and p[1::2].mean() - p[0::2].mean() > 0.5
+
+
 def test_batches_do_not_matter():
     net = quality.fit(texts_of(0, 20) + texts_of(1, 20), [0] * 20 + [1] * 20, quality.Settings(epochs=1))
     texts = [b"", b"a", b"b" * 127, b"c" * 128, b"d" * 5000, "é漢".encode() * 77]

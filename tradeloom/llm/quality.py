@@ -5,8 +5,9 @@ steps of four; each filter's largest response is taken in overlapping chunks of
 256 bytes that cover the whole text, and the chunks' responses are averaged and
 combined into one probability.
 
-The network is fitted on a bounded sample of labelled texts (``Settings``), with
-excerpts of long ones; scoring reads every byte of every text. Null texts count
+The network is fitted on the whole texts of a bounded sample of labelled rows
+(``Settings``), which wait in a file of the driver until a step needs them; fitting
+and scoring read every byte of their texts. Null texts count
 as empty; an empty text has one chunk of padding, so it has a score too. A
 column named like the score column is replaced. An empty table gives no rows.
 Where the sample lacks one label, every text gets (n1 + 1) / (n + 2), n1 of the n
@@ -15,7 +16,8 @@ labels being 1: a half if there are none.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import tempfile
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +39,9 @@ PIECE = 2048
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the fit: texts in the sample, bytes read from each, and the training itself."""
+    """Bounds of the fit: texts in the sample, and the training itself."""
 
     texts: int = 4000
-    excerpts: int = 4
-    excerpt_bytes: int = 512
     filters: int = 24
     embedding: int = 4
     epochs: int = 12
@@ -129,11 +129,15 @@ def gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> tuple[flo
     """Mean log loss and its gradient by each of the network's arrays."""
     data, starts = lay_out(texts)
     n = int(starts[-1])
-    x = inputs(net, data, 0, n)
-    z = (x @ net.kernel).reshape(n, POSITIONS, -1)
-    leave_out_crossing(z, starts, 0)
-    at = z.argmax(1)
-    blocks = np.take_along_axis(z, at[:, None, :], 1)[:, 0, :] + net.shift
+    pieces = [(a, min(n, a + PIECE)) for a in range(0, n, PIECE)]
+    at = np.empty((n, len(net.shift)), np.int16)
+    blocks = np.empty((n, len(net.shift)), net.kernel.dtype)
+    for a, b in pieces:
+        z = (inputs(net, data, a, b) @ net.kernel).reshape(b - a, POSITIONS, -1)
+        leave_out_crossing(z, starts, a)
+        best = z.argmax(1)
+        at[a:b], blocks[a:b] = best, np.take_along_axis(z, best[:, None, :], 1)[:, 0, :]
+    blocks += net.shift
     features, wins, share = text_features(blocks, starts)
     p = 1 / (1 + np.exp(-np.clip(features @ net.weight + net.bias[0], -60, 60)))
     loss = float(-np.mean(np.where(labels == 1, np.log(p + 1e-9), np.log(1 - p + 1e-9))))
@@ -145,13 +149,15 @@ def gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> tuple[flo
     to_block = np.where(wins, 0, g)
     to_second = np.where(wins, g, 0)
     to_block[1:] += to_second[:-1]  # a chunk's second block follows it; where it has none, it never wins
-    rows = np.arange(n)[:, None] * POSITIONS + at
-    picked = x[rows]  # (blocks, filters, inputs)
-    d_kernel = np.einsum("bf,bfi->if", to_block, picked, optimize=True)
-    d_inputs = (to_block[:, :, None] * net.kernel.T[None]).reshape(-1, WIDTH, net.embed.shape[1])
-    offsets = (rows.reshape(-1, 1) * STRIDE + np.arange(WIDTH)).reshape(-1)
-    byte = data[offsets]
-    d_embed = np.stack([np.bincount(byte, d_inputs[:, :, e].reshape(-1), 256) for e in range(net.embed.shape[1])], 1)
+    d_kernel, d_embed = np.zeros_like(net.kernel), np.zeros(net.embed.shape)
+    for a, b in pieces:
+        rows = np.arange(b - a)[:, None] * POSITIONS + at[a:b]
+        picked = inputs(net, data, a, b)[rows]  # (blocks, filters, inputs)
+        d_kernel += np.einsum("bf,bfi->if", to_block[a:b], picked, optimize=True)
+        d_inputs = (to_block[a:b, :, None] * net.kernel.T[None]).reshape(-1, WIDTH, net.embed.shape[1])
+        offsets = (rows.reshape(-1, 1) * STRIDE + np.arange(WIDTH)).reshape(-1) + a * BLOCK
+        byte = data[offsets]
+        d_embed += np.stack([np.bincount(byte, d_inputs[:, :, e].reshape(-1), 256) for e in range(net.embed.shape[1])], 1)
     return loss, [d_embed, d_kernel, to_block.sum(0), features.T @ d, np.array([d.sum()])]
 
 
@@ -162,7 +168,26 @@ def constant(probability: float, settings: Settings) -> Network:
     return Network(*zeros, np.array([np.log(probability / (1 - probability))], np.float32))
 
 
-def fit(texts: list[bytes], labels: Iterable[int], settings: Settings = Settings()) -> Network:
+class Spooled:
+    """Texts in a file that is gone when this is: a list of which only what is asked for is in memory."""
+
+    def __init__(self) -> None:
+        self.file, self.places = tempfile.TemporaryFile(), []
+
+    def append(self, text: bytes) -> None:
+        self.places.append((self.file.seek(0, 2), len(text)))
+        self.file.write(text)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> bytes:
+        at, size = self.places[i]
+        self.file.seek(at)
+        return self.file.read(size)
+
+
+def fit(texts: Sequence[bytes] | Spooled, labels: Iterable[int], settings: Settings = Settings()) -> Network:
     """Network fitted to labelled texts by Adam; the same input gives the same network."""
     y = np.asarray(list(labels), np.float32)
     prior = (float(y.sum()) + 1) / (len(y) + 2)
@@ -197,7 +222,7 @@ def in_training(id_column: str = "doc_id", folds: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network:
-    """Fit on the ``settings.texts`` labelled documents that come first by the hash of their id.
+    """Fit on the whole ``settings.texts`` labelled documents that come first by the hash of their id.
 
     ``labels`` has ``doc_id`` and ``quality``; rows with a null in either, and the held-out fold, are not used.
     """
@@ -205,13 +230,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     one_each = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = one_each.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(settings.texts)  # at most settings.texts rows
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")
-    size, n = settings.excerpt_bytes, settings.excerpts
     rows = docs.select("doc_id", body).join(F.broadcast(chosen), "doc_id")
-    step = (F.length("body") - size) / (n - 1)
-    pieces = [F.substr(F.col("body"), (F.floor(i * step) + 1).cast("int"), F.lit(size)) for i in range(n)]
-    cut = F.when(F.length("body") <= size * n, F.col("body")).otherwise(F.concat(*pieces))
-    got = sorted(rows.select("doc_id", "quality", cut.alias("body")).dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
-    return fit([bytes(r.body) for r in got], [int(r.quality) for r in got], settings)
+    texts, qualities = Spooled(), []
+    for r in rows.select("doc_id", "quality", "body").dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator():
+        texts.append(bytes(r.body))
+        qualities.append(int(r.quality))
+    return fit(texts, qualities, settings)
 
 
 def score(docs: DataFrame, net: Network, column: str = "score", text: str = "text") -> DataFrame:
