@@ -140,6 +140,15 @@ def test_reordered_passages_are_found(spark, make_docs):
     assert decontaminate.contaminated(docs.limit(0), items).collect() == [] and decontaminate.contaminated(docs, items.limit(0)).collect() == []
 
 
+def test_parts_of_long_items_are_found(spark, make_docs):
+    item = [f"w{i}" for i in range(1000)]
+    docs = make_docs([(1, " ".join(["x", *item[300:800], "y"])), (2, " ".join(item[:50])), (3, " ".join(item[:49])), (4, " ".join(w for i in range(0, 900, 30) for w in [*item[i : i + 10], "z"]))])
+    items = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    got = sorted((r.doc_id, r.tiles, r.matched_words, r.coverage) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(1, 1, 500, 0.5), (2, 1, 50, 0.05)]
+    assert sorted(r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()) == [3, 4]
+
+
 def test_benchmark_query_equals_word_runs(spark):
     got = {(r.doc_id, r.item_id) for r in queries_quality.op9_benchmark_decontamination(spark, SF).collect()}
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))

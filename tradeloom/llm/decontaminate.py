@@ -4,7 +4,9 @@ Words of documents that start a run of five words of some item are seeds; they
 pair documents with items. For each pair, running Karp-Rabin matching finds equal
 word runs of falling length, and the longest that do not overlap are marked as
 tiles in both texts. An item whose tiles cover the threshold share of its words
-is in the document, also if its sentences were put in another order.
+is in the document, also if its sentences were put in another order; so is an
+item of which the document holds a stated number of words in a row, whatever
+their share.
 
 The items are a stated query set: they are read in blocks of bounded bytes, and
 every block meets all documents in one scan without a shuffle. Items without
@@ -28,6 +30,8 @@ from tradeloom.llm.words import words
 
 LEAST_TILE = 5
 COVERAGE = 0.6
+#: An item with one tile of so many words is leaked, however long it is.
+LEAKED_RUN = 50
 #: Bytes of item text that one scan of the documents carries along.
 BLOCK_BYTES = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -93,15 +97,17 @@ class Items:
                     out[item].append(p)
         return out
 
-    def tiled(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        """(item, tiles, words matched, share of the item's words) of each item that shares a seed."""
+    def leaked(self, text: str | None, coverage: float, run: int) -> list[tuple[int, int, int, float]]:
+        """(item, tiles, words matched, share of the item's words) of each item that the text holds."""
         tokens = words(text)
         ids = np.fromiter(map(self.vocabulary.__getitem__, tokens), np.uint32, len(tokens))
         out = []
         for item, places in self.candidates(ids).items():
             near = neighbourhood(ids, np.array(places), self.least[item])
             lengths = tiles(self.ids[item], near, self.least[item])
-            out.append((self.names[item], len(lengths), sum(lengths), sum(lengths) / len(self.ids[item])))
+            share = sum(lengths) / len(self.ids[item])
+            if share >= coverage or max(lengths, default=0) >= run:
+                out.append((self.names[item], len(lengths), sum(lengths), share))
         return out
 
 
@@ -174,7 +180,7 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Br
     yield spark.sparkContext.broadcast(rows)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, run: int = LEAKED_RUN) -> DataFrame:
     """(doc_id, item_id, tiles, matched_words, coverage) of every document that holds an item, once per row and item."""
     small_batches(docs.sparkSession)
     names = ["doc_id", "item_id", "tiles", "matched_words", "coverage"]
@@ -185,7 +191,7 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
         def find(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
             found = Items(block.value)
             for batch in batches:
-                rows = [(d, *hit) for d, text in zip(*(c.to_pylist() for c in batch.columns)) for hit in found.tiled(text) if hit[-1] >= coverage]
+                rows = [(d, *hit) for d, text in zip(*(c.to_pylist() for c in batch.columns)) for hit in found.leaked(text, coverage, run)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names)
 
@@ -196,7 +202,7 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     return out
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, run: int = LEAKED_RUN) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     small_batches(docs.sparkSession)
     at, schema = docs.columns.index("text"), nullable(docs.schema)
@@ -205,7 +211,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, coverage: float = CO
         def clean(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
             found = Items(block.value)
             for batch in batches:
-                keep = [all(hit[-1] < coverage for hit in found.tiled(text)) for text in batch.column(at).to_pylist()]
+                keep = [not found.leaked(text, coverage, run) for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(clean, schema)
