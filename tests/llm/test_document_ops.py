@@ -179,6 +179,42 @@ def test_license_query_equals_search(spark):
     assert got == want and want
 
 
+WHOLE = [(path.stem, path.read_text()) for path in sorted(licenses.TEXTS.glob("*.txt"))]
+
+
+def test_whole_licenses_with_edits_and_insertions(make_docs):
+    rows, want = [], {}
+    for i, (name, text) in enumerate(WHOLE):
+        w = text.split()
+        edited = ["changed" if n % 60 == 59 else x for n, x in enumerate(w)]
+        for k, version in enumerate((w, edited, [*w[: len(w) // 2], "words", "put", "in", "between", *w[len(w) // 2 :]])):
+            rows.append((10 * i + k, f"{PASSAGE} {' '.join(version)} {PASSAGE}"))
+            want[10 * i + k] = {name}
+    got = {}
+    for r in licenses.scan(make_docs(rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == want
+
+
+def test_usual_notices(make_docs):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    texts = dict(licenses.HEADERS) | {
+        "MIT": "Foo is licensed under the MIT license.", "BSD-2-Clause": "distributed under the BSD 2-Clause License", "ISC": "It is available under the terms of the ISC license",
+        "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-SA-3.0": "published under CC BY-SA 3.0",
+        "BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause", "GPL-2.0": gpl + licenses.GNU.format(work="program", name="GNU General Public License", version="2").split("version.")[1],
+    }
+    names = list(texts)
+    got = {(names[r.doc_id], r.license) for r in licenses.scan(make_docs([(i, f"{PASSAGE} {texts[n]} {PASSAGE}") for i, n in enumerate(names)])).collect()}
+    assert got == {(n, n) for n in names}
+
+
+def test_neighbouring_licenses_are_both_found(make_docs):
+    texts = dict(WHOLE)
+    pairs = [("MIT", "BSD-3-Clause"), ("BSD-3-Clause", "MIT"), ("GPL-3.0", "LGPL-3.0"), ("ISC", "Unlicense")]
+    got = {(r.doc_id, r.license) for r in licenses.scan(make_docs([(i, texts[a] + texts[b]) for i, (a, b) in enumerate(pairs)])).collect()}
+    assert got == {(i, n) for i, pair in enumerate(pairs) for n in pair}
+
+
 ARTICLE = "<p>" + "A long sentence of the article, with words enough to read. " * 4 + "</p>"
 PAGES = {
     "": "",

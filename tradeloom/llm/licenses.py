@@ -10,13 +10,17 @@ is below 1e-5. Retrieved templates are verified by the exact share of their
 shingles in the window.
 
 Templates are a stated set of bounded size that every task holds; each needs five
-words. Null and short texts hold no notice. Repeated documents are separate rows.
+words. They are whole license texts (``license_texts/``), the headers that go with
+them and short notices. Texts share passages, so a hit whose places are nearly all
+held by better hits of other templates is none: a text of BSD-3-Clause holds all of
+BSD-2-Clause, and is not reported as that. Null and short texts hold no notice. Repeated documents are separate rows.
 An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ SLOTS = 1 << 22
 PIECE = 1 << 16
 
 # Notices by which works state their license.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -47,6 +51,61 @@ TEMPLATES = (
     ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain"),
 )
 
+# Headers of files under licenses whose texts are in ``license_texts``.
+GNU = (
+    "This {work} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+    "either version {version} of the License, or (at your option) any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT "
+    "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+)
+GNU_NAMES = (
+    ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3"),
+    ("LGPL-2.0", "GNU Library General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+)
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    *((name, GNU.format(work=work, name=text, version=version)) for name, text, version in GNU_NAMES for work in ("program", "library")),
+)
+# What works call their license; each name makes the notices of ``notices``.
+NAMES = (
+    ("MIT", "MIT License"), ("ISC", "ISC License"), ("Zlib", "zlib License"), ("Unlicense", "Unlicense License"),
+    ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache 2.0 License"), ("Apache-2.0", "Apache-2.0 License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "2-Clause BSD License"), ("BSD-2-Clause", "Simplified BSD License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "3-Clause BSD License"), ("BSD-3-Clause", "New BSD License"), ("BSD-3-Clause", "Modified BSD License"),
+    *((f"{short}-{v}.0", form.format(v=v)) for short, long, v in (("GPL", "GNU General Public License", 2), ("GPL", "GNU General Public License", 3), ("AGPL", "GNU Affero General Public License", 3), ("LGPL", "GNU Lesser General Public License", 3))
+      for form in (long + ", version {v}", long + " v{v}", long + " v{v}.0", "GNU " + short + " version {v}", "GNU " + short + " v{v}", short + " version {v}", short + " v{v}", short + "v{v} License", short + "-{v}.0 License")),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"), ("LGPL-2.1", "GNU LGPL version 2.1"), ("LGPL-2.1", "LGPL v2.1"), ("LGPL-2.1", "LGPL-2.1 License"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("MPL-2.0", "MPL 2.0"), ("MPL-1.1", "Mozilla Public License, version 1.1"),
+    ("GFDL-1.3", "GNU Free Documentation License, version 1.3"), ("GFDL-1.2", "GNU Free Documentation License, version 1.2"),
+    ("CC0-1.0", "CC0 1.0"), ("CC0-1.0", "CC0 1.0 Universal"),
+    *((f"CC-{code}-{v}", f"CC {code} {v}") for code in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("4.0", "3.0")),
+    *((f"CC-{code}-{v}", f"Creative Commons {long} {v} {kind} License") for code, long in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    ) for v, kind in (("4.0", "International"), ("3.0", "Unported"))),
+)
+VERBS = ("licensed", "released", "distributed", "available", "published", "provided")
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+def notices(name: str, called: str) -> list[tuple[str, str]]:
+    """Short notices of at least five words with what a license is called, and its SPDX line."""
+    forms = [f"{verb} under {the}{called}" for verb in VERBS for the in ("the ", "", "a ")] + [f"under the terms of the {called}", f"SPDX-License-Identifier: {name}"]
+    return [(name, f) for f in forms if len(words(f)) >= SHINGLE]
+
+
+def all_templates() -> tuple[tuple[str, str], ...]:
+    """Notices, headers, notices by name, and whole texts; of templates with the same words, the first."""
+    whole = [(path.stem, path.read_text()) for path in sorted(TEXTS.glob("*.txt"))]
+    out: dict[tuple[str, ...], tuple[str, str]] = {}
+    for name, text in [*NOTICES, *HEADERS, *(n for called in NAMES for n in notices(*called)), *whole]:
+        out.setdefault(tuple(words(text)), (name, text))
+    return tuple(out.values())
+
+
+TEMPLATES = all_templates()
+
 
 class Library:
     """Templates with their shingles, and their MinHash values by window size."""
@@ -69,8 +128,10 @@ class Library:
         for step in sorted(set(self.steps)):
             own = [t for t, s in enumerate(self.steps) if s == step]
             self.slots[step], self.levels[step] = np.zeros(SLOTS, bool), []
+            low = low_bits(np.concatenate([self.shingles[t] for t in own]))
+            begins = np.concatenate([[0], np.cumsum([len(self.shingles[t]) for t in own])[:-1]])
             for band in range(BANDS):
-                least = np.array([self.values(low_bits(self.shingles[t]), band).min() for t in own], np.uint32)
+                least = np.minimum.reduceat(self.values(low, band), begins)
                 order = np.argsort(least, kind="stable")
                 self.levels[step].append((least[order], np.array(own)[order]))
                 self.slots[step][least & np.uint32(SLOTS - 1)] = True
@@ -101,7 +162,8 @@ class Library:
                         if len(hit):
                             known, templates = self.levels[step][band]
                             lo, hi = np.searchsorted(known, window[hit], "left"), np.searchsorted(known, window[hit], "right")
-                            for h, p, q in zip(hit.tolist(), lo.tolist(), hi.tolist()):
+                            real = lo < hi
+                            for h, p, q in zip(hit[real].tolist(), lo[real].tolist(), hi[real].tolist()):
                                 out.update((a + h * step, int(t)) for t in templates[p:q])
         return out
 
@@ -121,6 +183,20 @@ class Library:
         return out
 
 
+    def best(self, hits: list[tuple[int, int, int, int, float]], shingles: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """``hits`` without those whose places better hits of other templates hold; better: more shingles found than missing."""
+        owner: dict[int, int] = {}
+        out = []
+        for hit in sorted(hits, key=lambda h: (-(2 * h[4] - 1) * len(self.shingles[h[1]]), h[1], h[0], h[2])):
+            doc, t, first, last, _ = hit
+            at = int(starts[doc])
+            place = (at + first + np.flatnonzero(np.isin(shingles[at + first : at + last + 1], self.shingles[t]))).tolist()
+            if sum(owner.get(p, t) != t for p in place) < CONTAINED * len(place):
+                out.append(hit)
+                owner.update((p, t) for p in place if p not in owner)
+        return sorted(out)
+
+
 def low_bits(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(32)).astype(np.uint32)
 
@@ -145,8 +221,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> D
             if not held:
                 continue
             shingles = np.concatenate([each[i] for i in held])
-            hits = library.verified(shingles, starts[held], library.retrieved(shingles))
-            rows = [(ids[held[d]], library.names[t], t, first, last + SHINGLE - 1, share) for d, t, first, last, share in widest(hits)]
+            hits = widest(library.verified(shingles, starts[held], library.retrieved(shingles)))
+            rows = [(ids[held[d]], library.names[t], t, first, last + SHINGLE - 1, share) for d, t, first, last, share in library.best(hits, shingles, starts[held])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
