@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import ngram_join, suffix_dedup
+from tradeloom.llm import grace_dedup, ngram_join, suffix_dedup
 from tradeloom.llm.base import query
 from tradeloom.llm.common import table
 
@@ -21,3 +21,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = suffix_dedup.deduplicate(docs)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+EQUAL_SQL = r"""
+    WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+      row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256 FROM t"""
+
+
+@query("op11_grace_dedup", EQUAL_SQL)
+def op11_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = grace_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
