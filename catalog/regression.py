@@ -72,7 +72,7 @@ def _(spark, d):
     FROM treated WHERE partner_country NOT IN ('{E}', '{I}') GROUP BY 1""")
 def _(spark, d):
     made = design.saturated_panel(_data(spark, d), YEARS, "log_value", treated_pair=PAIR)
-    sums = made.data.agg(*[F.sum(t).alias(t) for t in made.terms])
+    sums = design.spread(made).agg(*[F.sum(t).alias(t) for t in made.terms])
     long = sums.unpivot([], made.terms, "term", "total")
     parts = F.split("term", "_")
     named = long.select(parts[1].alias("country"), parts[2].alias("y"), "total")
@@ -224,14 +224,38 @@ def _partialled(source, k, over):
     return f"(SELECT *, {', '.join(f'o{j}_{k - 1} AS r{j}' for j in range(k))} FROM {source})"
 
 
+_NUMBERED = "partner_country AS imp, dense_rank() OVER (PARTITION BY partner_country ORDER BY reporter_country) AS h, "
+
+
 # Student's t for the degrees of freedom at hand: the upper 2.5% point by its expansion around the normal one.
 _Z = 1.959963984540054
 _T975 = f"({_Z} + ({_Z}^3 + {_Z}) / (4 * df) + (5 * {_Z}^5 + 16 * {_Z}^3 + 3 * {_Z}) / (96 * df^2) + (3 * {_Z}^7 + 19 * {_Z}^5 + 17 * {_Z}^3 - 15 * {_Z}) / (384 * df^3))"
 
 
-def _model(source, outcome, terms, effects, cluster=None, extra=()):
+# Both two-way effects contain the importer: its exporters' effects are the answer of one small system, which is
+# solved by elimination. S = N - M' N_g^-1 M holds the exporters, the columns beside it are one right side per variable.
+def _eliminated(vs, kept=""):
+    """CTEs that make ``within`` from ``used`` (imp, h, g0, g1, raw and ``vs``), where h numbers the exporters of an importer."""
+    sums = lambda by, name: f"(SELECT imp, {by}, count(*)::double AS n, {', '.join(f'sum({v}) AS s_{v}' for v in vs)} FROM used GROUP BY ALL) {name}"
+    sides = " UNION ALL ".join(f"SELECT imp, h, {-1 - i}, s_{v} - coalesce((SELECT sum(m * b.s_{v} / b.n) FROM overlap c JOIN by_g b ON b.imp = c.imp AND b.g0 = c.g0 WHERE c.imp = by_h.imp AND c.h = by_h.h), 0) FROM by_h" for i, v in enumerate(vs))
+    effects = ", ".join(f"max(CASE WHEN j = {-1 - i} THEN v END) AS b_{v}" for i, v in enumerate(vs))
+    return f"""overlap AS MATERIALIZED (SELECT imp, g0, h, count(*)::double AS m FROM used GROUP BY ALL),
+    by_g AS MATERIALIZED (SELECT * FROM {sums('g0', 'x')}), by_h AS MATERIALIZED (SELECT * FROM {sums('h', 'x')}),
+    met AS (SELECT a.imp, a.h AS i, b.h AS j, sum(a.m * b.m / n) AS v FROM overlap a JOIN overlap b ON a.imp = b.imp AND a.g0 = b.g0 JOIN by_g g ON g.imp = a.imp AND g.g0 = a.g0 GROUP BY ALL),
+    whole AS MATERIALIZED (SELECT a.imp, a.h AS i, b.h AS j, (CASE WHEN a.h = b.h THEN a.n ELSE 0 END) - coalesce(m.v, 0) AS v FROM by_h a JOIN by_h b ON a.imp = b.imp LEFT JOIN met m ON m.imp = a.imp AND m.i = a.h AND m.j = b.h
+      UNION ALL {sides}),
+    turned AS (SELECT 1 AS k, * FROM whole UNION ALL
+      SELECT k + 1, imp, i, j, CASE WHEN coalesce(corner, 0) < 1e-9 THEN v WHEN i = k THEN v / corner ELSE v - side * line / corner END FROM (SELECT *,
+        max(CASE WHEN i = k AND j = k THEN v END) OVER (PARTITION BY imp) AS corner, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY imp, i) AS side, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY imp, j) AS line
+        FROM turned WHERE k <= (SELECT max(h) FROM by_h))),
+    solved AS (SELECT imp, i AS h, {effects} FROM turned WHERE k > (SELECT max(h) FROM by_h) GROUP BY ALL),
+    within AS MATERIALIZED (SELECT imp, {kept}g0, g1, raw, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY g0) AS {v}' for v in vs)}
+      FROM (SELECT imp, {kept}g0, g1, raw, {', '.join(f'{v} - b_{v} AS {v}' for v in vs)} FROM used JOIN solved USING (imp, h)))"""
+
+
+def _model(source, outcome, terms, effects, cluster=None, exact=False):
     """CTEs that end in ``coefs`` (term, estimate, std_error, t, p, ci_low, ci_high, n, dof and fit statistics) and need
-    WITH RECURSIVE; ``terms`` maps names to expressions over ``source``."""
+    WITH RECURSIVE; ``terms`` maps names to expressions over ``source``. ``exact`` solves the two-way effects at once."""
     k, f = len(terms), len(effects)
     named = [[_KEYS_OF.get(c, c) for c in e] for e in effects]
     by = [_KEYS_OF.get(c, c) for c in cluster or []]
@@ -256,10 +280,11 @@ def _model(source, outcome, terms, effects, cluster=None, extra=()):
     rows = " UNION ALL ".join(
         f"SELECT '{name}' AS term, any_value(b{j}) AS estimate, CASE WHEN any_value(b{j}) IS NOT NULL THEN sqrt({spread(j)}) / sum(r{j} * r{j}) END AS std_error, {df}::double AS df, any_value(n) AS n, any_value(dof) AS dof,"
         f" sum(e * e) AS rss, sum(y * y) AS tss_within, var_pop(raw) * any_value(n) AS tss FROM errors" for j, name in enumerate(terms))
-    return f"""used AS (SELECT {kept}{ids}, {', '.join(f'({x})::double AS x{j}' for j, x in enumerate(terms.values()))}, {outcome} AS y, {outcome} AS raw FROM {source}),
-    sweep AS (SELECT 0 AS i, {kept}{gs}, raw, {', '.join(vs)}, 1.0::double AS moved FROM used
+    swept = f"""sweep AS (SELECT 0 AS i, {kept}{gs}, raw, {', '.join(vs)}, 1.0::double AS moved FROM used
       UNION ALL SELECT i + 1, {kept}{gs}, raw, {', '.join(vs)}, max(greatest({moved})) OVER () FROM {inner}),
-    within AS (SELECT * FROM sweep WHERE i = (SELECT max(i) FROM sweep)),
+    within AS (SELECT * FROM sweep WHERE i = (SELECT max(i) FROM sweep))"""
+    return f"""used AS (SELECT {kept}{_NUMBERED if exact else ''}{ids}, {', '.join(f'({x})::double AS x{j}' for j, x in enumerate(terms.values()))}, {outcome} AS y, {outcome} AS raw FROM {source}),
+    {_eliminated(vs, kept) if exact else swept},
     sized AS (SELECT count(*) AS n, count(*) - ({levels}) + {max(len(counted) - 1, 0)} AS dof_all FROM within),
     errors AS (SELECT *, dof_all - {terms_kept} AS dof, y - ({fitted}) AS e FROM (SELECT *, {beta} FROM {_partialled('within', k, '()')}), sized),
     raw_coefs AS ({rows}),
@@ -304,31 +329,61 @@ def _(spark, d):
 
 
 def _cumulative(n):
-    return f"SELECT '{'+'.join('^'.join(e) for e in _TWO_WAY[:n])}' AS model, term, {_COEFS} FROM (WITH RECURSIVE {_model('treated', 'log_value', _DIRECT, _TWO_WAY[:n])} SELECT * FROM coefs)"
+    return f"SELECT '{'+'.join('^'.join(e) for e in _THREE_WAY[:n])}' AS model, term, {_COEFS} FROM (WITH RECURSIVE {_model('treated', 'log_value', _DIRECT, _THREE_WAY[:n])} SELECT * FROM coefs)"
 
 
-@query("cumulative_fixed_effects", f"WITH {_BASE} {_cumulative(1)} UNION ALL {_cumulative(2)}")
+@query("cumulative_fixed_effects", f"WITH {_BASE} {_cumulative(1)} UNION ALL {_cumulative(2)} UNION ALL {_cumulative(3)}")
 def _(spark, d):
     m = _direct(spark, d)
-    return _tidy(absorb.cumulative_effects(m.data, "log_value", m.terms, _TWO_WAY, "hetero"), "model")
+    return _tidy(absorb.cumulative_effects(m.data, "log_value", m.terms, _THREE_WAY, "hetero"), "model")
 
 
 def _saturated(spark, d, outcome):
     m = design.saturated_panel(_data(spark, d), YEARS, outcome, treated_pair=PAIR)
-    return absorb.absorbing_ols(m.data, outcome, m.terms, _TWO_WAY, "hetero", labels=m.labels, model=outcome).coefficients
+    return absorb.absorbing_ols(m.data, outcome, m.terms, _TWO_WAY, "hetero", labels=m.labels, model=outcome, families=m.families).coefficients
+
+
+# The saturated model in SQL: an importer's terms meet only its own rows and levels, so each importer has three terms of its own.
+def _saturated_sql(outcome):
+    xs = [f"CASE WHEN reporter_country = '{E}' AND partner_country NOT IN ('{E}', '{I}') AND year = {y} THEN tau ELSE 0.0 END" for y in YEARS]
+    ids = "dense_rank() OVER (ORDER BY partner_country, year, product_code) AS g0, dense_rank() OVER (ORDER BY partner_country, reporter_country) AS g1"
+    own = "sum(r{j} * r{j}) OVER w > 1e-9 * sum(raw{j} * raw{j}) OVER w AND sum(raw{j} * raw{j}) OVER w > 0"
+    beta = ", ".join(f"CASE WHEN {own.format(j=j)} THEN sum(r{j} * y) OVER w / sum(r{j} * r{j}) OVER w END AS b{j}" for j in range(3))
+    rows = " UNION ALL ".join(
+        f"SELECT imp AS country, {y} AS year, any_value(b{j}) AS estimate, sqrt(sum(r{j} * r{j} * e * e) * any_value(n) / any_value(dof)) / sum(r{j} * r{j}) AS std_error FROM errors WHERE b{j} IS NOT NULL GROUP BY imp" for j, y in enumerate(YEARS))
+    carried = "raw0, raw1, raw2, "
+    return f"""(WITH RECURSIVE used AS (SELECT {_NUMBERED}{ids}, {', '.join(f'{x} AS x{j}, {x} AS raw{j}' for j, x in enumerate(xs))}, {outcome} AS y, {outcome} AS raw FROM treated),
+    {_eliminated(['x0', 'x1', 'x2', 'y'], carried)},
+    fitted AS (SELECT *, {beta} FROM {_partialled('within', 3, '(PARTITION BY imp)')} WINDOW w AS (PARTITION BY imp)),
+    sized AS (SELECT count(*) AS n, count(*) - count(DISTINCT g0) - count(DISTINCT g1) + 1 - (SELECT sum((c0 > 0)::int + (c1 > 0)::int + (c2 > 0)::int) FROM (SELECT imp, count(b0) AS c0, count(b1) AS c1, count(b2) AS c2 FROM fitted GROUP BY imp)) AS dof FROM fitted),
+    errors AS (SELECT *, y - (coalesce(b0, 0) * x0 + coalesce(b1, 0) * x1 + coalesce(b2, 0) * x2) AS e FROM fitted, sized)
+    {rows})"""
+
+
+def _averaged_sql(name, source):
+    weight = "CASE year " + " ".join(f"WHEN {y} THEN {w}" for y, w in _WEIGHTS.items()) + " END"
+    return f"(SELECT country, 100 * sum(estimate * {weight}) AS average_coefficient_{name}, 100 * sum(std_error * {weight}) AS linear_std_error_{name} FROM {source} GROUP BY country)"
+
+
+def _direct_sql(outcome):
+    return f"(SELECT '{I}' AS country, right(term, 4)::int AS year, estimate, std_error FROM (WITH RECURSIVE {_model('treated', outcome, _DIRECT, _TWO_WAY, exact=True)} SELECT * FROM coefs))"
 
 
 _WEIGHTS = {1998: 0.25, 1999: 0.75, 2000: 0.0}
+_AVERAGED = [f"{x}_{o}" for o in ("value", "quantity") for x in ("average_coefficient", "linear_std_error")]
+_AVERAGES_SQL = " UNION ALL ".join(
+    f"SELECT country, {sqs(*_AVERAGED, digits=4)} FROM {_averaged_sql('value', make('log_value'))} FULL JOIN {_averaged_sql('quantity', make('log_quantity'))} USING (country)"
+    for make in (_saturated_sql, _direct_sql))
 
 
-@query("average_coefficients_by_country")
+@query("average_coefficients_by_country", f"WITH {_BASE} {_AVERAGES_SQL}")
 def _(spark, d):
     merged = coefficients.weighted_averages({o: _saturated(spark, d, f"log_{o}") for o in ("value", "quantity")}, _WEIGHTS)
     direct = {}
     for o in ("value", "quantity"):
         m = _direct(spark, d, f"log_{o}")
         direct[o] = absorb.absorbing_ols(m.data, f"log_{o}", m.terms, _TWO_WAY, "hetero", labels={t: (I, y) for t, (_, y) in m.labels.items()}).coefficients
-    return coefficients.append_missing(merged, coefficients.weighted_averages(direct, _WEIGHTS))
+    return rounded(coefficients.append_missing(merged, coefficients.weighted_averages(direct, _WEIGHTS)), *_AVERAGED)
 
 
 @query("elasticity_by_year", _DIRECT_SQL + f"SELECT 'model' AS model, term, right(term, 4)::int AS year, {sq('estimate * 100', 'elasticity', 4)}, {sq('ci_high * 100', 'bound_low', 3)}, {sq('ci_low * 100', 'bound_high', 3)} FROM coefs")
@@ -345,19 +400,13 @@ def _(spark, d):
     return rounded(coefficients.with_name_parts(table, r"([a-z]+)_(\d{4})").select("term", "country", "year", "estimate"), "estimate", digits=6)
 
 
-def _by_country(spark, d, importers=None):
+def _by_country(spark, d):
     """One model per importer, all of them on one sample: three terms each, demeaned together."""
-    data = design.with_roles(design.treatment_rate(_data(spark, d), *PAIR))
-    if importers is None:
-        importers = [r[0] for r in data.select("importer").distinct().orderBy("importer").collect()]  # the country list
-    columns, models = {}, []
-    for c in importers:
-        active = (F.col("importer") == c) & (F.col("exporter") == E)
-        terms = design.by_year(f"direct_{c}", active, YEARS)
-        columns |= terms
-        models.append(absorb.Model(c, "log_value", list(terms), {t: (c, int(t[-4:])) for t in terms}))
-    sample = design.usable(data, ["log_value", design.TREATMENT]).withColumns(columns)
-    fits = absorb.fit_models(sample, models, [["exporter", "year", "product_code"]], "hetero")
+    data = design.usable(design.with_roles(design.treatment_rate(_data(spark, d), *PAIR)), ["log_value", design.TREATMENT])
+    importers = [r[0] for r in data.select("importer").distinct().orderBy("importer").collect()]  # the country list
+    made = design.importer_years(data, "direct", importers, YEARS, F.col("exporter") == E)
+    models = [absorb.Model(c, "log_value", [f"direct_{c}_{y}" for y in YEARS], made.labels) for c in importers]
+    fits = absorb.fit_models(made.data, models, [["exporter", "year", "product_code"]], "hetero", families=made.families)
     out = fits[0].coefficients
     for fit in fits[1:]:
         out = out.unionByName(fit.coefficients)
@@ -390,11 +439,14 @@ def _(spark, d):
     return rounded(rounded(table, "elasticity", digits=6), "bound_low", "bound_high", digits=5)
 
 
-@query("models_per_country_side_by_side", f"""WITH {_COUNTRY_COEFS} SELECT year, {', '.join(f"max(CASE WHEN model = '{c}' THEN {sq('estimate', 'x', 6).removesuffix(' AS x')} END) AS m_{c}" for c in ('008', '010', '019'))} FROM coefs GROUP BY year""")
+_CODES = [f"{c:03d}" for c in range(25)]  # every country of the test tables
+
+
+@query("models_per_country_side_by_side", f"""WITH {_COUNTRY_COEFS} SELECT year, {', '.join(f"max(CASE WHEN model = '{c}' THEN {sq('estimate', 'x', 6).removesuffix(' AS x')} END) AS m_{c}" for c in _CODES)} FROM coefs GROUP BY year""")
 def _(spark, d):
     table = rounded(_by_country(spark, d).filter("NOT dropped").withColumn("term", F.col("year")), "estimate", digits=6)
     wide = coefficients.side_by_side([table])
-    return wide.select(F.col("term").alias("year"), *[(F.col(c) if c in wide.columns else F.lit(None).cast("double")).alias(f"m_{c}") for c in ("008", "010", "019")])
+    return wide.select(F.col("term").alias("year"), *[(F.col(c) if c in wide.columns else F.lit(None).cast("double")).alias(f"m_{c}") for c in _CODES])
 
 
 _EVENT_TERMS = {f"is_{name}_exporter_{label}_importer_x_PostEvent": f"""(reporter_country = '{code}' AND partner_country {op} '008')::int * "PostEvent" """ for label, op in (("008", "="), ("non008", "<>")) for name, code in _TWO.items()}
@@ -409,10 +461,10 @@ def _(spark, d):
 
 
 # The panel itself, on six-digit products.
-_SIX = f"""whole AS (SELECT *, ln(value) AS log_value FROM enriched WHERE {T} IS NOT NULL)"""
+_SIX = f"""whole_panel AS (SELECT *, ln(value) AS log_value FROM enriched WHERE {T} IS NOT NULL)"""
 
 
-@query("six_digit_two_way", f"WITH RECURSIVE {_SIX}, {_model('whole', 'log_value', {T: T}, _TWO_WAY)} SELECT term, {_COEFS} FROM coefs")
+@query("six_digit_two_way", f"WITH RECURSIVE {_SIX}, {_model('whole_panel', 'log_value', {T: T}, _TWO_WAY, exact=True)} SELECT term, {_COEFS} FROM coefs")
 def _(spark, d):
     data = design.with_roles(design.add_logs(star.enriched(spark, d)))
     return _tidy(absorb.absorbing_ols(data, "log_value", [T], _TWO_WAY, "hetero").coefficients)

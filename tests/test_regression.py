@@ -119,7 +119,7 @@ def test_small_sample_rules(spark):
     df, levels = spark.createDataFrame(_sample()), {}
     for rule in absorb.SMALL_SAMPLE:
         levels[rule] = absorb.absorbing_ols(df, "y", ["x1"], [["i"], ["t"]], "cluster", ["i"], small_sample=rule).statistics.first().absorbed
-    assert levels == {"none": 0, "non-nested": 7, "all": 10 + 7 - 1}
+    assert levels == {"none": 0, "non-nested": 7, "all": 10 + 7 - 1, "rank": 10 + 7 - 1}
 
 
 def test_models_on_one_sample_equal_single_fits(spark):
@@ -160,6 +160,104 @@ def test_cumulative_effects(spark):
     assert got["i+t"] == pytest.approx(_dense(pdf, ["x1"], [["i"], ["t"]], "hetero")[0][0])
 
 
+def test_longer_lists_of_effects_start_from_shorter_ones(spark):
+    pdf = _sample()
+    df = spark.createDataFrame(pdf)
+    fits = absorb.cumulative_fits(df, "y", ["x1", "x2"], EFFECTS["three"], "hetero")
+    for i, fit in enumerate(fits):
+        beta, se, *_ = _dense(pdf, ["x1", "x2"], EFFECTS["three"][: i + 1], "hetero")
+        assert fit.estimate == pytest.approx(beta, rel=1e-6) and np.sqrt(np.diag(fit.covariance)) == pytest.approx(se, rel=1e-6)
+    assert fits[0].rounds == 0
+
+
+def _blocks():
+    """Rows of two blocks that share no level of i or t, and of one level of i alone."""
+    rng = np.random.default_rng(3)
+    rows = [(b * 10 + i, b * 10 + t) for b in range(2) for i in range(4) for t in range(3) for _ in range(2)] + [(99, 0), (99, 1)]
+    pdf = pd.DataFrame(rows, columns=["i", "t"])
+    return pdf.assign(k=pdf["t"] % 2, x1=rng.normal(size=len(pdf)), y=rng.normal(size=len(pdf)))
+
+
+def _rank(pdf, effects):
+    dummies = np.hstack([pd.get_dummies(pdf[e].astype(str).agg("-".join, axis=1)).to_numpy(float) for e in effects])
+    return np.linalg.matrix_rank(dummies)
+
+
+def test_rank_counts_the_blocks_of_levels(spark):
+    pdf = _blocks()
+    df = spark.createDataFrame(pdf)
+    ranks = {rule: absorb.absorbing_ols(df, "y", ["x1"], [["i"], ["t"]], "iid", small_sample=rule).statistics.first() for rule in ("all", "rank")}
+    assert ranks["rank"].absorbed == _rank(pdf, [["i"], ["t"]]) == ranks["all"].absorbed - 1
+    assert ranks["rank"].dof == ranks["all"].dof + 1
+    three = absorb.absorbing_ols(df, "y", ["x1"], [["i"], ["t"], ["k"]], "iid", small_sample="rank").statistics.first()
+    assert three.absorbed >= _rank(pdf, [["i"], ["t"], ["k"]])
+    sample = absorb.absorbing_ols(spark.createDataFrame(_sample()), "y", ["x1"], EFFECTS["two"], "iid", small_sample="rank").statistics.first()
+    assert sample.absorbed == _rank(_sample(), EFFECTS["two"])
+
+
+@pytest.mark.parametrize("edges, nodes, groups", [
+    ([(i, i + 1) for i in range(40)], 41, 1), ([(0, 5), (5, 3), (8, 9), (9, 8), (12, 10), (11, 10)], 8, 3), ([(-3, 4), (4, -9), (7, 2)], 5, 2),
+])
+def test_linked_groups(spark, edges, nodes, groups):
+    from tradeloom.session import Workspace
+
+    with Workspace(spark, "fit") as work:
+        assert absorb.linked_groups(spark.createDataFrame(edges, "a long, b long"), nodes, work) == groups
+
+
+def test_chains_of_singletons_leave(spark):
+    pdf = _sample()
+    # 99 and 100 are alone in i; without 100, 200 is alone in t, without that 101 is alone in i, and so on.
+    chain = pd.DataFrame([(100, 200), (101, 200), (101, 201), (102, 201), (102, 3)], columns=["i", "t"]).assign(k=0, c=1, x1=1.0, x2=[0.5, 2.0, 0.1, 0.4, 9.0], y=[3.0, 1.0, 4.0, 1.0, 5.0])
+    df = spark.createDataFrame(pd.concat([pdf, chain], ignore_index=True)[list(pdf.columns)])
+    kept = absorb.absorbing_ols(df, "y", ["x1", "x2"], [["i"], ["t"]], "hetero", singletons="drop")
+    s = kept.statistics.first()
+    assert (s.n, s.singletons, s.left_out) == (len(pdf) - 1, 6, 0)
+    assert kept.estimate == pytest.approx(_dense(pdf[:-1], ["x1", "x2"], [["i"], ["t"]], "hetero")[0])
+    with pytest.raises(ValueError, match="no row"):
+        absorb.absorbing_ols(spark.createDataFrame(chain), "y", ["x2"], [["i"], ["t"]], "iid", singletons="drop")
+
+
+@pytest.mark.parametrize("variance, cluster", [("hetero", None), ("cluster", ["c"])])
+def test_families_equal_columns(spark, variance, cluster):
+    pdf = _sample()
+    names = [f"z_{j}" for j in range(5)]
+    wide = pdf.assign(**{n: np.where(pdf["i"] % 6 == j, pdf["x1"], 0.0) for j, n in enumerate(names)})
+    at = pdf["i"] % 6
+    sparse = spark.createDataFrame(wide.assign(at=at)).withColumn("at", F.when(F.col("at") < 5, F.col("at")))
+    one = absorb.absorbing_ols(sparse, "y", ["x2", *names], EFFECTS["two"], variance, cluster, families=[absorb.Family("at", "x1", names)])
+    beta, se, *_ = _dense(wide, ["x2", *names], EFFECTS["two"], variance, cluster)
+    assert one.estimate == pytest.approx(beta, rel=1e-6) and np.sqrt(np.diag(one.covariance)) == pytest.approx(se, rel=1e-6)
+
+
+def test_a_round_shuffles_no_pairs(spark):
+    """Pairs reach their joins from buckets: between a scan of pairs and its join there is no exchange."""
+    from tradeloom.session import Workspace
+
+    rows = absorb._with_level_ids(spark.createDataFrame(_sample()), EFFECTS["three"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    with Workspace(spark, "fit") as work:
+        sizes, levels = absorb._level_sizes(rows, EFFECTS["three"], work)
+        system = absorb.Normal(rows, sizes, levels, work)
+        moving = work.write(system.scale.select("h", F.lit(0).alias("c"), "n", "d", *[F.lit(1.0).alias(x) for x in "arp"]))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = absorb.next_state(system, moving)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = [(len(line) - len(line.lstrip(" :+-")), line) for line in plan.splitlines()]
+    scans = [n for n, (_, line) in enumerate(lines) if "FileScan" in line and "fit_" in line]
+    assert len(scans) == 3 and "SortMergeJoin" in plan
+    for n in scans:
+        depth = lines[n][0]
+        for d, line in reversed(lines[:n]):
+            if d < depth:
+                depth = d
+                assert "Exchange" not in line
+                if "SortMergeJoin" in line:
+                    break
+
+
 def _trade(spark):
     data = [
         (2018, "156", "840", "p", 10.0, 1.0, 5.0), (2018, "156", "840", "p", 20.0, 0.0, 7.0), (2018, "156", "826", "p", 5.0, 2.0, 1.0), (2018, "999", "826", "p", 5.0, 2.0, 1.0),
@@ -180,7 +278,7 @@ def test_interactions(spark, rows):
 def test_saturated_columns(spark):
     made = design.saturated_panel(_trade(spark), [2018, 2019], "log_value")
     assert made.terms == ["gamma_826_2018", "gamma_826_2019"] and made.labels["gamma_826_2019"] == ("826", 2019)
-    assert made.data.agg(F.sum("gamma_826_2018"), F.sum("gamma_826_2019")).first() == (6.0, 0.0)
+    assert design.spread(made).agg(F.sum("gamma_826_2018"), F.sum("gamma_826_2019")).first() == (6.0, 0.0)
 
 
 def test_growth(spark, rows):

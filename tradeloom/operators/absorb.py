@@ -1,11 +1,13 @@
 """Least squares with absorbed fixed effects.
 
-Row-sized work runs on Spark: one pass for sums per fixed-effect level, one pass
-to subtract level effects, one for cross products and one for variances. Level
-effects are solved in the same way at every size: the fixed effect with the most
-levels is eliminated, and the system that is left, on the levels of the others, is
-solved by conjugate gradients as joins and sums over pairs of levels. Only arrays
-of the size of the coefficient matrix reach the driver.
+A row's terms are kept sparse, as (column number, value) pairs without zeros, and so is everything that is made of them:
+sums per fixed-effect level, the levels' effects and the demeaned rows. A model with a term per country and
+year costs what its rows' few non-zero terms cost, and the plans do not grow with the number of terms.
+
+Level effects are solved in the same way at every size: the fixed effect with the most levels is eliminated, and the
+system that is left, on the levels of the others, is solved by conjugate gradients as joins and sums over pairs of
+levels. Pairs are stored twice, in buckets of either side, so that a round shuffles sums that belong to levels and
+never the pairs. Only arrays of the size of the coefficient matrix reach the driver.
 """
 
 from __future__ import annotations
@@ -15,20 +17,22 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import is_number
 from tradeloom.functions.joins import attach
-from tradeloom.operators.students_t import two_sided_p, t_quantile
+from tradeloom.operators.students_t import t_quantile, two_sided_p
 from tradeloom.session import Workspace, small_table
 
 #: Conjugate gradients end when every column's residual has shrunk by this factor, or raise after so many rounds.
 TOLERANCE, MAX_ROUNDS = 1e-10, 1000
-#: Rows of a cross-product matrix that travel together, and partial sums that meet in a first step.
-STRIPE, PARTS = 64, 32
-SMALL_SAMPLE = ("none", "non-nested", "all")
+#: Most terms of one model: its matrix of squares is inverted on the driver.
+MAX_TERMS = 4096
+SMALL_SAMPLE = ("none", "non-nested", "all", "rank")
+SINGLETONS = ("keep", "drop")
 
 
 class NotConverged(RuntimeError):
@@ -45,6 +49,15 @@ class Model:
     labels: dict[str, tuple[str | None, int | None]] = field(default_factory=dict)
 
 
+@dataclass
+class Family:
+    """Terms of which a row has at most one: column ``at`` holds its place in ``names``, NULL for none, and ``value`` its value."""
+
+    at: str
+    value: str
+    names: list[str]
+
+
 @dataclass
 class Fit:
     """A fitted model: coefficient and statistics tables, and their numbers."""
@@ -58,52 +71,47 @@ class Fit:
     rounds: int = 0
 
 
-def _added(parts: DataFrame, shapes: dict[int, tuple[int, ...]]) -> dict[int, np.ndarray]:
-    """Sums of arrays (key, part) by key: parts meet in a bounded number of groups first, then per key."""
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(rows["part"].iloc[0]).copy()
-        for p in rows["part"].iloc[1:]:
-            total += np.frombuffer(p)
-        return pd.DataFrame({"key": rows["key"].iloc[:1], "part": [total.tobytes()]})
+# Sparse rows
 
-    kind = "key int, part binary"
-    some = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(PARTS))).groupBy("key", "group").applyInPandas(add, kind)
-    sums = {r["key"]: np.frombuffer(bytes(r["part"])) for r in some.groupBy("key").applyInPandas(add, kind).collect()}
-    return {k: sums[k].reshape(s) if k in sums else np.zeros(s) for k, s in shapes.items()}
 
+def _numbered(models: list[Model], families: list[Family]) -> dict[str, int]:
+    """A number per column: plain columns first, then every family's terms one after the other."""
+    in_family = {n for f in families for n in f.names}
+    plain = [c for c in dict.fromkeys(c for m in models for c in (m.outcome, *m.terms)) if c not in in_family]
+    return {c: i for i, c in enumerate([*plain, *[n for f in families for n in f.names]])}
 
-def _gram(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Sum of outer products of the columns: a partition adds up its own and hands on the upper triangle in stripes."""
-    k = len(columns)
-    starts = list(range(0, k, STRIPE))
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
-        for batch in batches:
-            a = batch[columns].to_numpy(dtype=float)
-            total += a.T @ a
-        for s in starts:
-            yield pd.DataFrame({"key": [s], "part": [total[s : s + STRIPE, s:].tobytes()]})
+def _entries(numbers: dict[str, int], plain: list[str], families: list[Family]) -> Column:
+    """A row's non-zero columns as an array of (c, v)."""
+    parts = [F.struct(F.lit(numbers[c]).alias("c"), F.col(c).cast("double").alias("v")) for c in plain]
+    parts += [F.struct((F.lit(numbers[f.names[0]]) + F.col(f.at)).cast("int").alias("c"), F.col(f.value).cast("double").alias("v")) for f in families if f.names]
+    return F.filter(F.array(*parts), lambda e: e["c"].isNotNull() & (e["v"] != 0))
 
-    stripes = _added(df.select(*columns).mapInPandas(blocks, "key int, part binary"), {s: (min(STRIPE, k - s), k - s) for s in starts})
-    out = np.zeros((k, k))
-    for s, part in stripes.items():
-        out[s : s + STRIPE, s:] = part
-    return np.triu(out) + np.triu(out, 1).T
 
+def _complete(plain: list[str], keys: list[str], families: list[Family]) -> Column:
+    known = [*[is_number(c) for c in plain], *[F.col(c).isNotNull() for c in keys], *[F.col(f.at).isNull() | is_number(f.value) for f in families]]
+    return reduce(lambda a, b: a & b, known, F.lit(True))
 
-def _level_sums(rows: DataFrame, effects: list[list[str]], v: list[str], work: Workspace) -> tuple[DataFrame, list[int]]:
-    """Rows and column sums of every level, and the number of levels per fixed effect.
+
+def _with_level_ids(data: DataFrame, effects: list[list[str]]) -> DataFrame:
+    """A 64-bit id per fixed-effect level, as ``_g0, _g1, ...``; keys must not be NULL, as hashes skip NULLs."""
+    return data.withColumns({f"_g{f}": F.xxhash64(F.lit(f), *[F.col(c) for c in keys]) for f, keys in enumerate(effects)})
+
+
+# Level sums
+
+
+def _level_sizes(rows: DataFrame, effects: list[list[str]], work: Workspace) -> tuple[DataFrame, list[int]]:
+    """Rows of every level (f, g, n), and the number of levels per fixed effect.
 
     A second hash of the keys shows whether two levels share an id.
     """
     parts = []
     for f, keys in enumerate(effects):
         check = F.xxhash64(F.lit("check"), F.lit(f), *[F.col(c) for c in keys])
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(v)]
-        level = rows.groupBy(F.col(f"_g{f}").alias("g")).agg(F.count("*").cast("double").alias("n"), (F.min(check) != F.max(check)).alias("clash"), *sums)
-        parts.append(level.withColumn("f", F.lit(f)))
-    table = work.write(reduce(DataFrame.unionByName, parts))
+        level = rows.groupBy(F.col(f"_g{f}").alias("g")).agg(F.count("*").cast("double").alias("n"), (F.min(check) != F.max(check)).alias("clash"))
+        parts.append(level.select(F.lit(f).alias("f"), "g", "n", "clash"))
+    table = work.write(reduce(DataFrame.unionAll, parts))
     counts = {r["f"]: r for r in table.groupBy("f").agg(F.count("*").alias("n"), F.count_if("clash").alias("clashes")).collect()}
     shared = [effects[f] for f, r in counts.items() if r["clashes"]]
     if shared:
@@ -111,118 +119,360 @@ def _level_sums(rows: DataFrame, effects: list[list[str]], v: list[str], work: W
     return table.drop("clash"), [counts[f]["n"] if f in counts else 0 for f in range(len(effects))]
 
 
+def _level_sums(rows: DataFrame, count: int) -> DataFrame:
+    """Sum of every column over every level, where the level has that column: (f, g, c, s)."""
+    parts = []
+    for f in range(count):
+        entries = rows.select(F.col(f"_g{f}").alias("g"), F.explode("_x").alias("e"))
+        parts.append(entries.groupBy("g", F.col("e.c").alias("c")).agg(F.sum("e.v").alias("s")).select(F.lit(f).alias("f"), "g", "c", "s"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def _pair_counts(rows: DataFrame, pairs: list[tuple[int, int]], a: str, b: str) -> DataFrame:
     """Rows shared by two levels, each pair of fixed effects in one direction."""
     both = F.explode(F.array(*[F.struct(F.col(f"_g{i}").alias(a), F.col(f"_g{j}").alias(b)) for i, j in pairs])).alias("l")
     return rows.select(both).groupBy(f"l.{a}", f"l.{b}").agg(F.count("*").cast("double").alias("m"))
 
 
-def _level_effects(rows: DataFrame, sums: DataFrame, levels: list[int], k: int, work: Workspace, tolerance: float, max_rounds: int) -> tuple[DataFrame, int]:
-    """Effects of every level on ``k`` columns: the least-squares fit of the columns on all levels.
+def without_singletons(rows: DataFrame, count: int, work: Workspace) -> tuple[DataFrame, int]:
+    """Rows without those that are alone in a level, again and again until every level has two rows or more; and how many left.
 
-    The normal equations are kept as level sums and counts of rows that two
-    levels share. With the largest fixed effect eliminated, its levels drop out
-    of the unknowns: ``S = N - M' N_L^-1 M`` on the others' levels. The pairs with
-    the largest effect are stored in buckets of its levels, so that a round
-    shuffles only what belongs to levels: directions to the pairs and sums back.
+    Works on cells, the combinations of levels that occur; a row alone in a level is alone in its cell.
     """
-    each = range(k)
-    if len(levels) == 1:
-        return sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in each]), 0
-    largest = levels.index(max(levels))
-    others = [f for f in range(len(levels)) if f != largest]
-    of_largest = sums.filter(F.col("f") == largest).select("g", F.col("n").alias("n_g"), *[F.col(f"s{i}").alias(f"t{i}") for i in each])
-    counts = _pair_counts(rows, [(largest, f) for f in others], "g", "h")
-    pairs = work.write_bucketed(attach(counts, of_largest.select("g", "n_g"), ["g"], "inner"), "g")
-    among = None
-    if len(others) > 1:
-        among = work.write(_pair_counts(rows, [(i, j) for i in others for j in others if i < j], "a", "b"))
-
-    def through(values: DataFrame, names: list[str]) -> DataFrame:
-        """Sum over h of the pairs' share of columns of the largest effect's levels (g), as ``e0, ...`` by h."""
-        met = attach(pairs, values, ["g"], "inner")
-        return met.groupBy("h").agg(*[F.sum(F.col("m") * F.col(c)).alias(f"e{i}") for i, c in enumerate(names)])
-
-    means = of_largest.select("g", *[(F.col(f"t{i}") / F.col("n_g")).alias(f"u{i}") for i in each])
-    right = through(means, [f"u{i}" for i in each])
-    own = pairs.groupBy("h").agg(F.sum(F.col("m") * F.col("m") / F.col("n_g")).alias("less"))
-    small = sums.filter(F.col("f") != largest).select(F.col("g").alias("h"), "n", *[f"s{i}" for i in each])
-    start = small.join(right, "h", "left").join(own, "h", "left")
-    left = F.col("n") - F.coalesce("less", F.lit(0.0))
-    scale = F.when(left > 1e-9 * F.col("n"), left).otherwise(F.col("n"))  # a level that lies inside levels of the largest
-    residual = {f"r{i}": F.col(f"s{i}") - F.coalesce(f"e{i}", F.lit(0.0)) for i in each}
-    start = start.select("h", "n", scale.alias("d"), *[F.lit(0.0).alias(f"a{i}") for i in each], *[c.alias(name) for name, c in residual.items()])
-    state = work.write(start)
-    moving = state.withColumns({f"p{i}": F.col(f"r{i}") / F.col("d") for i in each})
-    first, rounds = None, 0
+    ids = [f"_g{f}" for f in range(count)]
+    cells, gone = work.write(rows.groupBy(*ids).agg(F.count("*").alias("n"))), []
     while True:
-        directions = moving.select("h", *[f"p{i}" for i in each])
-        at_largest = attach(pairs, directions, ["h"], "inner").groupBy("g").agg(*[(F.sum(F.col("m") * F.col(f"p{i}")) / F.first("n_g")).alias(f"u{i}") for i in each])
-        following = moving.join(through(at_largest, [f"u{i}" for i in each]), "h", "left")
-        q = {f"q{i}": F.col("n") * F.col(f"p{i}") - F.coalesce(f"e{i}", F.lit(0.0)) for i in each}
-        if among is not None:
-            sides = [attach(among, directions.withColumnRenamed("h", x), [x], "inner").select(F.col(y).alias("h"), *[(F.col("m") * F.col(f"p{i}")).alias(f"c{i}") for i in each]) for x, y in (("a", "b"), ("b", "a"))]
-            crossed = sides[0].unionAll(sides[1]).groupBy("h").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in each])
-            following = following.join(crossed, "h", "left")
-            q = {name: c + F.coalesce(f"c{i}", F.lit(0.0)) for i, (name, c) in enumerate(q.items())}
-        kept = [f"{x}{i}" for x in "arp" for i in each]
-        # Every inner product that the round needs is summed up while its state is written.
-        products = [F.col(f"{a}{i}") * F.col(f"{b}{i}") / F.col("d") for a, b in (("r", "r"), ("r", "q"), ("q", "q")) for i in each]
-        products += [F.col(f"p{i}") * F.col(f"q{i}") for i in each]
-        seen = Observation()
-        following = following.select("h", "n", "d", *kept, *[c.alias(name) for name, c in q.items()])
-        written = work.write(following.observe(seen, *[F.sum(c).alias(f"x{j}") for j, c in enumerate(products)]))
+        alone = []
+        for g in ids:
+            single = cells.groupBy(g).agg(F.sum("n").alias("t")).filter("t = 1").select(g)
+            alone.append(cells.join(single, g, "left_semi").select(*ids))
+        leaving = work.write(reduce(DataFrame.unionAll, alone).distinct())
+        if leaving.isEmpty():
+            break
+        gone.append(leaving)
+        before, cells = cells, work.write(cells.join(leaving, ids, "left_anti"))
+        work.drop(before)
+    if not gone:
+        return rows, 0
+    out = reduce(DataFrame.unionAll, gone)
+    return rows.join(out, ids, "left_anti"), out.count()
+
+
+def linked_groups(edges: DataFrame, nodes: int, work: Workspace) -> int:
+    """Connected components of a graph with ``edges`` (a, b) on ``nodes`` nodes, none of them without an edge.
+
+    Every node hooks onto its least smaller neighbour, hooks are followed to their ends, and the edges move there;
+    each hook joins two components. Their number halves at least in every turn.
+    """
+    hooks = 0
+    edges = work.write(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    while not edges.isEmpty():
+        jumps = work.write(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
+        hooks += jumps.count()
+        while True:
+            onward = jumps.select(F.col("node").alias("to"), F.col("to").alias("end"))
+            further = work.write(attach(jumps, onward, ["to"]).select("node", F.coalesce("end", "to").alias("to"), F.col("end").isNotNull().alias("moved")))
+            moved = further.filter("moved").isEmpty()
+            work.drop(jumps)
+            jumps = further
+            if moved:
+                break
+        at = lambda end: jumps.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+        met = attach(attach(edges, at("a"), ["a"]), at("b"), ["b"]).select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
+        before, edges = edges, work.write(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+        work.drop(before, jumps)
+    work.drop(edges)
+    return nodes - hooks
+
+
+def absorbed_rank(rows: DataFrame, levels: list[int], work: Workspace) -> int:
+    """Rank of the dummies of all levels: exact for two fixed effects, at most too high by further dependences for three or more.
+
+    Two effects lose one level per connected component of their graph; a further effect loses the components it has
+    with the earlier effect that gives most.
+    """
+    rank = levels[0]
+    for f in range(1, len(levels)):
+        lost = [linked_groups(_pair_counts(rows, [(e, f)], "a", "b").select("a", "b"), levels[e] + levels[f], work) for e in range(f)]
+        rank += levels[f] - max(lost)
+    return rank
+
+
+# Level effects
+
+
+class Normal:
+    """Normal equations of the level effects with the largest fixed effect eliminated: ``S = N - M' N_L^-1 M`` on the others' levels.
+
+    ``g`` is a level of the largest effect, ``h`` one of the others. The pairs are kept in buckets of ``h``, where
+    directions meet them, and in buckets of ``g``, where the sums at the largest effect's levels do.
+    """
+
+    def __init__(self, rows: DataFrame, sizes: DataFrame, levels: list[int], work: Workspace) -> None:
+        self.largest = levels.index(max(levels))
+        others = [f for f in range(len(levels)) if f != self.largest]
+        self.of_g = sizes.filter(F.col("f") == self.largest).select("g", F.col("n").alias("n_g"))
+        of_h = sizes.filter(F.col("f").isin(others)).select(F.col("g").alias("h"), "n")
+        counted = attach(_pair_counts(rows, [(self.largest, f) for f in others], "g", "h"), self.of_g, ["g"], "inner")
+        pairs = work.write(counted.select("g", "h", "m", (F.col("m") / F.col("n_g")).alias("share")))
+        own = pairs.groupBy("h").agg(F.sum(F.col("m") * F.col("share")).alias("less"))
+        left = F.col("n") - F.coalesce("less", F.lit(0.0))
+        scale = F.when(left > 1e-9 * F.col("n"), left).otherwise(F.col("n"))  # a level that lies inside levels of the largest
+        self.scale = work.write(of_h.join(own, "h", "left").select("h", "n", scale.alias("d")))
+        self.by_h = work.write_bucketed(pairs.select("h", "g", "m"), "h")
+        self.by_g = work.write_bucketed(attach(pairs, self.scale, ["h"], "inner").select("g", "h", "share", "n", "d"), "g")
+        self.among = None
+        if len(others) > 1:
+            one_way = work.write(_pair_counts(rows, [(i, j) for i in others for j in others if i < j], "a", "b"))
+            both = one_way.select(F.col("a").alias("from"), F.col("b").alias("h"), "m").unionAll(one_way.select(F.col("b").alias("from"), F.col("a").alias("h"), "m"))
+            self.among = work.write_bucketed(attach(both, self.scale, ["h"], "inner"), "from")
+            work.drop(one_way)
+        work.drop(pairs)
+
+    def across(self, values: DataFrame) -> DataFrame:
+        """What ``S`` adds off its diagonal to ``values`` (h, c, p), before it is summed: (h, c, q, n, d)."""
+        at_g = attach(self.by_h, values, ["h"], "inner").groupBy("g", "c").agg(F.sum(F.col("m") * F.col("p")).alias("u"))
+        out = attach(self.by_g, at_g, ["g"], "inner").select("h", "c", (-F.col("share") * F.col("u")).alias("q"), "n", "d")
+        if self.among is None:
+            return out
+        met = attach(self.among, values.withColumnRenamed("h", "from"), ["from"], "inner")
+        return out.unionAll(met.select("h", "c", (F.col("m") * F.col("p")).alias("q"), "n", "d"))
+
+    def right_side(self, sums: DataFrame) -> DataFrame:
+        """(h, c, n, d, r): level sums of the others less their share of the largest effect's."""
+        of_largest = sums.filter(F.col("f") == self.largest).select("g", "c", "s")
+        less = attach(self.by_g, of_largest, ["g"], "inner").select("h", "c", (-F.col("share") * F.col("s")).alias("r"))
+        own = sums.filter(F.col("f") != self.largest).select(F.col("g").alias("h"), "c", F.col("s").alias("r"))
+        return attach(own.unionAll(less).groupBy("h", "c").agg(F.sum("r").alias("r")), self.scale, ["h"], "inner").select("h", "c", "n", "d", "r")
+
+    def rest(self, sums: DataFrame, solved: DataFrame) -> DataFrame:
+        """Effects (g, c, a) of the largest effect's levels, from those of all others."""
+        taken = attach(self.by_h, solved, ["h"], "inner").select("g", "c", (-F.col("m") * F.col("a")).alias("s"))
+        own = sums.filter(F.col("f") == self.largest).select("g", "c", "s")
+        return attach(own.unionAll(taken).groupBy("g", "c").agg(F.sum("s").alias("s")), self.of_g, ["g"], "inner").select("g", "c", (F.col("s") / F.col("n_g")).alias("a"))
+
+
+def next_state(system: Normal, moving: DataFrame) -> DataFrame:
+    """One product: (h, c) with n, d, effect a, residual r, direction p and q = S p."""
+    none = F.lit(0.0)
+    met = system.across(moving.filter("p <> 0").select("h", "c", "p")).select("h", "c", "q", "n", "d", none.alias("a"), none.alias("r"), none.alias("p"))
+    own = moving.select("h", "c", (F.col("n") * F.col("p")).alias("q"), "n", "d", "a", "r", "p")
+    return own.unionAll(met).groupBy("h", "c").agg(*[F.max(x).alias(x) for x in "nd"], *[F.sum(x).alias(x) for x in "arpq"])
+
+
+def _solve(system: Normal, sums: DataFrame, work: Workspace, tolerance: float, max_rounds: int, start: DataFrame | None) -> tuple[DataFrame, int]:
+    """Effects (g, c, a) of all levels by conjugate gradients, column by column at once.
+
+    Step lengths travel as a table with one row per column. ``start`` has effects to begin from; the
+    tolerance is relative to the right side, wherever the rounds begin.
+    """
+    state = work.write(system.right_side(sums))
+    first = {r["c"]: r["rr"] or 1.0 for r in state.groupBy("c").agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rr")).collect()}
+    begun = state.withColumn("a", F.lit(0.0))
+    if start is not None:
+        given = work.write(attach(start.withColumnRenamed("g", "h"), system.scale, ["h"], "inner").select("h", "c", "n", "d", "a"))
+        at = ["h", "c", "n", "d", "r", "a"]
+        back = given.withColumn("r", -F.col("n") * F.col("a")).select(*at)
+        crossed = system.across(given.select("h", "c", F.col("a").alias("p"))).select("h", "c", "n", "d", (-F.col("q")).alias("r"), F.lit(0.0).alias("a"))
+        begun = begun.select(*at).unionAll(back).unionAll(crossed).groupBy("h", "c").agg(*[F.max(x).alias(x) for x in "nd"], *[F.sum(x).alias(x) for x in "ra"])
+    moving = begun.withColumn("p", F.col("r") / F.col("d"))
+    rounds = 0
+    while True:
+        written = work.write(next_state(system, moving))
         work.drop(state)
         state = written
-        rr, rq, qq, pq = np.array([seen.get[f"x{j}"] for j in range(4 * k)], dtype=float).reshape(4, k)
-        first = np.where(rr > 0, rr, 1.0) if first is None else first
-        live = (rr > tolerance**2 * first) & (pq > 0)
-        step = np.where(live, rr / np.where(pq > 0, pq, 1.0), 0.0)
-        ahead = np.maximum(rr - 2 * step * rq + step * step * qq, 0.0)
-        turn = np.where(live, ahead / np.where(rr > 0, rr, 1.0), 0.0)
-        stepped = state.select(
-            "h", "n", "d",
-            *[(F.col(f"a{i}") + float(step[i]) * F.col(f"p{i}")).alias(f"a{i}") for i in each],
-            *[(F.col(f"r{i}") - float(step[i]) * F.col(f"q{i}")).alias(f"r{i}") for i in each],
-            *[f"p{i}" for i in each],
-        )
-        moving = stepped.withColumns({f"p{i}": F.col(f"r{i}") / F.col("d") + float(turn[i]) * F.col(f"p{i}") for i in each})
+        dots = [F.sum(F.col(a) * F.col(b) / F.col("d")).alias(a + b) for a, b in ("rr", "rq", "qq")]
+        steps, worst = [], 0.0
+        for x in state.groupBy("c").agg(*dots, F.sum(F.col("p") * F.col("q")).alias("pq")).collect():
+            enough = tolerance**2 * first.get(x["c"], 1.0)
+            live = x["rr"] > enough and x["pq"] > 0
+            step = x["rr"] / x["pq"] if live else 0.0
+            ahead = max(x["rr"] - 2 * step * x["rq"] + step * step * x["qq"], 0.0)
+            done = not live or ahead <= enough
+            steps.append((x["c"], step, 0.0 if done else ahead / x["rr"], 0.0 if done else 1.0))
+            worst = worst if done else max(worst, ahead / first.get(x["c"], 1.0))
+        # One row per column of the fit, so at most MAX_TERMS a model.
+        stepped = state.join(F.broadcast(small_table(state.sparkSession, steps, "c int, step double, turn double, on double")), "c")
+        stepped = stepped.select("h", "c", "n", "d", (F.col("a") + F.col("step") * F.col("p")).alias("a"), (F.col("r") - F.col("step") * F.col("q")).alias("r"), "p", "turn", "on")
+        moving = stepped.select("h", "c", "n", "d", "a", "r", (F.col("on") * (F.col("r") / F.col("d") + F.col("turn") * F.col("p"))).alias("p"))
         rounds += 1
-        if np.all(~live | (ahead <= tolerance**2 * first)):
+        if not worst:
             break
         if rounds >= max_rounds:
-            raise NotConverged(f"level effects of {len(levels)} fixed effects: residual {float(np.sqrt((ahead / first).max())):.2g} of the first after {rounds} rounds, asked for {tolerance:.2g}")
-    solved = work.write(moving.select("h", *[f"a{i}" for i in each]))
+            raise NotConverged(f"level effects: residual {worst**0.5:.2g} of the first after {rounds} rounds, asked for {tolerance:.2g}")
+    solved = work.write(moving.select("h", "c", "a"))
     work.drop(state)
-    taken = attach(pairs, solved, ["h"], "inner").groupBy("g").agg(*[F.sum(F.col("m") * F.col(f"a{i}")).alias(f"e{i}") for i in each])
-    rest = of_largest.join(taken, "g").select("g", *[((F.col(f"t{i}") - F.col(f"e{i}")) / F.col("n_g")).alias(f"a{i}") for i in each])
-    return work.write(rest.unionAll(solved)), rounds
+    effects = work.write(solved.withColumnRenamed("h", "g").unionAll(system.rest(sums, solved)))
+    work.drop(solved)
+    return effects, rounds
 
 
-def _with_level_ids(data: DataFrame, effects: list[list[str]]) -> DataFrame:
-    """A 64-bit id per fixed-effect level, as ``_g0, _g1, ...``; keys must not be NULL, as hashes skip NULLs."""
-    return data.withColumns({f"_g{f}": F.xxhash64(F.lit(f), *[F.col(c) for c in keys]) for f, keys in enumerate(effects)})
+# Demeaned rows
 
 
-def demean(data: DataFrame, columns: list[str], effects: list[list[str]], work: Workspace, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, list[int], int]:
-    """Rows with each column's fixed effects subtracted, as ``_v0, _v1, ...``.
+def _less_effects(effects: int, kept: list[str], k: int):
+    """Rows' columns less their levels' effects, as ascending column numbers and values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cols, vals = [], [], []
+            for name in ("_x", *[f"_e{f}" for f in range(effects)]):
+                lists = batch.column(name)
+                flat = lists.flatten()
+                at.append(np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy()))
+                cols.append(flat.field("c").to_numpy())
+                vals.append(flat.field("v").to_numpy() * (1.0 if name == "_x" else -1.0))
+            key = np.concatenate(at) * k + np.concatenate(cols)
+            order = np.argsort(key, kind="stable")
+            key, v = key[order], np.concatenate(vals)[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            total = np.add.reduceat(v, starts) if len(starts) else np.zeros(0)
+            offsets = pa.array(np.searchsorted(key[starts], np.arange(batch.num_rows + 1) * k), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((key[starts] % k).astype(np.int32), total)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *lists], names=[*kept, "_cols", "_vals"])
+
+    return run
+
+
+def _demeaned(rows: DataFrame, effects: DataFrame, count: int, kept: list[str], k: int, work: Workspace) -> DataFrame:
+    """``kept`` columns and the demeaned columns; a level has at most one effect per column, a row's levels join one after the other."""
+    packed = work.write(effects.groupBy("g").agg(F.collect_list(F.struct("c", F.col("a").alias("v"))).alias("e")))
+    out = rows
+    for f in range(count):
+        out = attach(out, packed.select(F.col("g").alias(f"_g{f}"), F.col("e").alias(f"_e{f}")), [f"_g{f}"])
+    given = out.select(*kept, "_x", *[f"_e{f}" for f in range(count)])
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema if f.name in kept)
+    within = work.write(given.mapInArrow(_less_effects(count, kept, k), kinds + "_cols array<int>, _vals array<double>"))
+    work.drop(packed)
+    return within
+
+
+def _patterns(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with the same columns: their numbers, the columns, and the values as a matrix."""
+    lists = batch.column("_cols")
+    sizes = lists.value_lengths().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    cols, vals = lists.flatten().to_numpy(), batch.column("_vals").flatten().to_numpy()
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == size)
+        cells = starts[rows][:, None] + np.arange(size)
+        found, which = np.unique(cols[cells], axis=0, return_inverse=True)
+        order = np.argsort(which.ravel(), kind="stable")
+        for pattern, part in zip(found, np.split(order, np.cumsum(np.bincount(which.ravel()))[:-1])):
+            yield rows[part], pattern, vals[cells[part]]
+
+
+def _cells(blocks: dict) -> Iterator[pa.RecordBatch]:
+    """Blocks of several matrices as rows (k, i, j, v)."""
+    for (k, pattern), block in blocks.items():
+        cols = np.frombuffer(pattern, np.int32)
+        i, j = np.triu_indices(len(cols))
+        columns = [np.full(len(i), k, np.int32), cols[i], cols[j], block[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "i", "j", "v"])
+
+
+_CELLS = "k int, i int, j int, v double"
+
+
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of outer products of sparse rows: a task adds up one block for every set of columns that it meets."""
+    blocks: dict = {}
+    for batch in batches:
+        for _, pattern, x in _patterns(batch):
+            key = (0, pattern.astype(np.int32).tobytes())
+            blocks[key] = blocks.get(key, 0) + x.T @ x
+    yield from _cells(blocks)
+
+
+def _matrices(cells: DataFrame) -> dict[int, dict[tuple[int, int], float]]:
+    """Sums of cells on the driver: as many as the coefficient matrices have."""
+    out: dict = {}
+    for k, i, j, v in cells.groupBy("k", "i", "j").agg(F.sum("v").alias("v")).toPandas().itertuples(index=False):
+        out.setdefault(k, {})[i, j] = v
+    return out
+
+
+def _dense(cells: dict, at: list[int]) -> np.ndarray:
+    out, place = np.zeros((len(at), len(at))), {c: n for n, c in enumerate(at)}
+    if len(at) ** 2 < len(cells):
+        for a, i in place.items():
+            for b, j in place.items():
+                out[i, j] = cells.get((min(a, b), max(a, b)), 0.0)
+        return out
+    for (a, b), v in cells.items():
+        if a in place and b in place:
+            out[place[a], place[b]] = out[place[b], place[a]] = v
+    return out
+
+
+# Variances
+
+
+class _Residuals:
+    """Residuals of several models on rows with the same columns."""
+
+    def __init__(self, models: list[dict]) -> None:
+        self.models = [(m["y"], np.array(m["x"], np.int32), np.asarray(m["beta"], float)) for m in models]
+        self.seen: dict = {}
+
+    def of(self, pattern: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(model, its terms' places in the pattern, their numbers in the model, residuals)."""
+        key = pattern.tobytes()
+        if key not in self.seen:
+            place = {c: n for n, c in enumerate(pattern.tolist())}
+            self.seen[key] = [(place.get(y), np.array([place[c] for c in terms.tolist() if c in place], int), np.flatnonzero(np.isin(terms, pattern))) for y, terms, _ in self.models]
+        for i, ((y, inside, which), (_, _, beta)) in enumerate(zip(self.seen[key], self.models)):
+            e = x[:, y] if y is not None else np.zeros(len(x))
+            yield i, inside, which, e - x[:, inside] @ beta[which]
+
+
+def _row_scores(models: list[dict]):
+    """Squared residuals (i = j = -1) and sums of squared scores of every model."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        residuals, blocks, rss = _Residuals(models), {}, np.zeros(len(models))
+        for batch in batches:
+            for _, pattern, x in _patterns(batch):
+                for i, inside, which, e in residuals.of(pattern, x):
+                    rss[i] += e @ e
+                    if len(inside):
+                        own = x[:, inside] * e[:, None]
+                        key = (i, which.astype(np.int32).tobytes())
+                        blocks[key] = blocks.get(key, 0) + own.T @ own
+        columns = [np.arange(len(models), dtype=np.int32), *[np.full(len(models), -1, np.int32)] * 2, rss]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "i", "j", "v"])
+        yield from _cells(blocks)
+
+    return run
+
+
+def _cluster_scores(models: list[dict], offsets: list[int], cluster: list[str]):
+    """Scores of rows as (cluster, number of model and term, score)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        residuals = _Residuals(models)
+        for batch in batches:
+            for rows, pattern, x in _patterns(batch):
+                for i, inside, which, e in residuals.of(pattern, x):
+                    if not len(inside):
+                        continue
+                    keys = batch.select(cluster).take(pa.array(np.repeat(rows, len(inside))))
+                    columns = [pa.array(np.tile(offsets[i] + which, len(rows)).astype(np.int32)), pa.array((x[:, inside] * e[:, None]).ravel())]
+                    yield pa.RecordBatch.from_arrays([*keys.columns, *columns], names=[*cluster, "_c", "_s"])
 
-    ``data`` has level ids; the levels per fixed effect are counted on the way.
-    Level effects join on one fixed effect after the other; each table has one
-    row per level, so hot levels split without repeating much.
-    """
-    k = len(columns)
-    if not effects:
-        means = data.agg(*[F.avg(c) for c in columns]).first()
-        return data.withColumns({f"_v{i}": F.col(c) - F.lit(float(means[i])) for i, c in enumerate(columns)}), [], 0
-    sums, levels = _level_sums(data, effects, columns, work)
-    solved, rounds = _level_effects(data, sums, levels, k, work, tolerance, max_rounds)
-    out = data.withColumns({f"_v{i}": F.col(c).cast("double") for i, c in enumerate(columns)})
-    for f in range(len(levels)):
-        table = solved.select(F.col("g").alias(f"_g{f}"), *[f"a{i}" for i in range(k)])
-        out = attach(out, table, [f"_g{f}"], "inner")
-        out = out.withColumns({f"_v{i}": F.col(f"_v{i}") - F.col(f"a{i}") for i in range(k)}).drop(*[f"a{i}" for i in range(k)])
-    return out, levels, rounds
+    return run
+
+
+def _scores(within: DataFrame, models: list[dict], cluster: list[str] | None) -> tuple[list[np.ndarray], list[float], int | None]:
+    """For each model the sum of squared scores, over rows or over clusters, and the sum of squared residuals."""
+    cells = _matrices(within.select("_cols", "_vals").mapInArrow(_row_scores(models), _CELLS))
+    rss = [cells[i].pop((-1, -1)) for i in range(len(models))]
+    if not cluster:
+        return [_dense(cells[i], list(range(len(m["x"])))) for i, m in enumerate(models)], rss, None
+    groups = within.select(*cluster).distinct().count()
+    offsets = np.cumsum([0, *[len(m["x"]) for m in models]]).tolist()
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in within.schema if f.name in cluster)
+    rows = within.select(*cluster, "_cols", "_vals").mapInArrow(_cluster_scores(models, offsets, cluster), kinds + "_c int, _s double")
+    sums = rows.groupBy(*cluster, "_c").agg(F.sum("_s").alias("_s")).groupBy(*cluster).agg(F.sort_array(F.collect_list(F.struct("_c", "_s"))).alias("_e"))
+    gram = _matrices(sums.select(F.col("_e._c").alias("_cols"), F.col("_e._s").alias("_vals")).mapInArrow(_squares, _CELLS)).get(0, {})
+    return [_dense(gram, list(range(offsets[i], offsets[i + 1]))) for i in range(len(models))], rss, groups
 
 
 def independent_columns(gram: np.ndarray, scale: np.ndarray, tolerance: float = 1e-9) -> list[int]:
@@ -236,46 +486,55 @@ def independent_columns(gram: np.ndarray, scale: np.ndarray, tolerance: float =
     return keep
 
 
-def _complete(columns: list[str], keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [*[is_number(c) for c in columns], *[F.col(c).isNotNull() for c in keys]], F.lit(True))
+# Fits
 
 
-def _scores(within: DataFrame, models: list[dict], cluster: list[str] | None, work: Workspace) -> tuple[list[np.ndarray], list[float], int | None]:
-    """For each model the sum of squared scores, over rows or over clusters, and the sum of squared residuals."""
-    def residuals(batch: pd.DataFrame, m: dict) -> tuple[np.ndarray, np.ndarray]:
-        x = batch[m["x"]].to_numpy(dtype=float)
-        return x, batch[m["y"]].to_numpy(dtype=float) - x @ m["beta"]
+@dataclass
+class _Sample:
+    """The rows of a fit with level ids and entries, and what is known of them."""
+
+    rows: DataFrame
+    numbers: dict[str, int]
+    sizes: DataFrame
+    levels: list[int]
+    sums: DataFrame
+    n: int
+    left_out: int
+    singletons: int
+    moments: dict[int, tuple[float, float]]
+
+
+def _sampled(data: DataFrame, models: list[Model], effects: list[list[str]], cluster: list[str] | None, families: list[Family], singletons: str, work: Workspace) -> _Sample:
+    numbers = _numbered(models, families)
+    in_family = {n for f in families for n in f.names}
+    plain = [c for c in numbers if c not in in_family]
+    most = max((len(m.terms) for m in models), default=0)
+    if most > MAX_TERMS:
+        raise ValueError(f"{most} terms in a model, at most {MAX_TERMS}")
+    keys = list(dict.fromkeys([c for e in effects for c in e] + (cluster or [])))
+    seen = Observation()
+    rows = data.observe(seen, F.count("*").alias("n")).filter(_complete(plain, keys, families))
+    rows = _with_level_ids(rows.select(*keys, _entries(numbers, plain, families).alias("_x")), effects)
+    rows = work.write(rows)
+    n = rows.count()
+    left_out, alone = seen.get["n"] - n, 0
+    if singletons == "drop":
+        rows, alone = without_singletons(rows, len(effects), work)
+        rows, n = work.write(rows), n - alone
+    if not n:
+        raise ValueError("no row has all outcomes, terms and keys")
+    sizes, levels = _level_sizes(rows, effects, work)
+    entries = rows.select(F.explode("_x").alias("e")).groupBy("e.c").agg(F.sum("e.v").alias("s"), F.sum(F.col("e.v") * F.col("e.v")).alias("ss"))
+    moments = {r["c"]: (r["s"], r["ss"]) for r in entries.collect()}
+    return _Sample(rows, numbers, sizes, levels, work.write(_level_sums(rows, len(effects))), n, left_out, alone, moments)
 
-    shapes = {}
-    for i, m in enumerate(models):
-        shapes |= {2 * i: (len(m["x"]), len(m["x"])), 2 * i + 1: (1,)}
 
-    def by_row(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {key: np.zeros(s) for key, s in shapes.items()}
-        for batch in batches:
-            for i, m in enumerate(models):
-                x, e = residuals(batch, m)
-                total[2 * i] += x.T @ (x * (e * e)[:, None])
-                total[2 * i + 1] += e @ e
-        for key, t in total.items():
-            if t.size:
-                yield pd.DataFrame({"key": [key], "part": [t.tobytes()]})
-
-    needed = list(dict.fromkeys(c for m in models for c in (m["y"], *m["x"])))
-    sums = _added(within.select(*needed).mapInPandas(by_row, "key int, part binary"), shapes)
-    rss = [float(sums[2 * i + 1][0]) for i in range(len(models))]
-    if not cluster:
-        return [sums[2 * i] for i in range(len(models))], rss, None
-    scores = {}
-    for i, m in enumerate(models):
-        e = reduce(lambda a, b: a - b, [F.col(c) * float(b) for c, b in zip(m["x"], m["beta"])], F.col(m["y"]))
-        scores |= {f"s{i}_{j}": F.sum(F.col(c) * e) for j, c in enumerate(m["x"])}
-    if not scores:
-        return [np.zeros((0, 0)) for _ in models], rss, within.select(*cluster).distinct().count()
-    table = work.write(within.groupBy(*cluster).agg(*[c.alias(name) for name, c in scores.items()]))
-    gram, names = _gram(table, list(scores)), list(scores)
-    at = [[names.index(f"s{i}_{j}") for j in range(len(m["x"]))] for i, m in enumerate(models)]
-    return [gram[np.ix_(a, a)] for a in at], rss, table.count()
+def _level_effects(sample: _Sample, count: int, work: Workspace, tolerance: float, max_rounds: int, start: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Effects (g, c, a) of the levels of the first ``count`` fixed effects on every column: the least-squares fit of the columns on all levels."""
+    sums, sizes = sample.sums.filter(F.col("f") < count), sample.sizes.filter(F.col("f") < count)
+    if count == 1:
+        return work.write(attach(sums.select("g", "c", "s"), sizes.select("g", "n"), ["g"], "inner").select("g", "c", (F.col("s") / F.col("n")).alias("a"))), 0
+    return _solve(Normal(sample.rows, sizes, sample.levels[:count], work), sums, work, tolerance, max_rounds, start)
 
 
 def fit_models(
@@ -285,6 +544,8 @@ def fit_models(
     variance: str,
     cluster: list[str] | None = None,
     small_sample: str = "non-nested",
+    singletons: str = "keep",
+    families: list[Family] | None = None,
     tolerance: float = TOLERANCE,
     max_rounds: int = MAX_ROUNDS,
 ) -> list[Fit]:
@@ -292,7 +553,8 @@ def fit_models(
 
     The sample is the rows in which every outcome and term of every model is a
     finite number and no key of an effect or cluster is NULL; ``statistics`` has
-    the number of rows left out. Each effect is a list of key columns.
+    the number of rows left out. Each effect is a list of key columns. Terms may
+    be columns or names of a :class:`Family`, which may be as many as a country and year list has.
 
     ``variance`` must be named: ``"iid"``, ``"hetero"`` (HC1) or ``"cluster"``
     (CRV1 over ``cluster``). Terms that are collinear with earlier terms or
@@ -301,60 +563,57 @@ def fit_models(
     ``small_sample`` says which absorbed levels count as estimated: ``"all"``,
     ``"none"``, or those of effects whose keys do not include all cluster keys
     (``"non-nested"``; the same as all without clusters). One level per fixed
-    effect beyond the first is taken as redundant.
+    effect beyond the first is taken as redundant. ``"rank"`` counts the rank of all levels instead, see
+    :func:`absorbed_rank`. ``singletons="drop"`` takes rows out that are alone in a level, until there are none.
 
     Raises ``ValueError`` for a sample without rows, with fewer than two clusters,
     or without degrees of freedom, and ``NotConverged`` when the level effects
     are not found in ``max_rounds``. Tables written on the way are removed.
     """
+    _check_choices(variance, cluster, small_sample, singletons)
+    with Workspace(data.sparkSession, "fit") as work:
+        sample = _sampled(data, models, effects or [[]], cluster, families or [], singletons, work)
+        solved, rounds = _level_effects(sample, len(effects or [[]]), work, tolerance, max_rounds)
+        return _fits(sample, models, effects, variance, cluster, small_sample, solved, rounds, work)
+
+
+def _check_choices(variance, cluster, small_sample, singletons) -> None:
     if variance not in ("iid", "hetero", "cluster"):
         raise ValueError("variance is 'iid', 'hetero' or 'cluster'; there is no default")
     if (variance == "cluster") != bool(cluster):
         raise ValueError("cluster columns go with variance='cluster'")
     if small_sample not in SMALL_SAMPLE:
         raise ValueError(f"small_sample is one of {SMALL_SAMPLE}")
-    with Workspace(data.sparkSession, "fit") as work:
-        return _fit(data, models, effects, variance, cluster, small_sample, tolerance, max_rounds, work)
+    if singletons not in SINGLETONS:
+        raise ValueError(f"singletons is one of {SINGLETONS}")
 
 
-def _fit(data, models, effects, variance, cluster, small_sample, tolerance, max_rounds, work) -> list[Fit]:
-    spark = data.sparkSession
-    columns = list(dict.fromkeys(c for m in models for c in (m.outcome, *m.terms)))
-    keys = list(dict.fromkeys([c for e in effects for c in e] + (cluster or [])))
-    seen = Observation()
-    rows = data.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns if c not in keys]).observe(seen, F.count("*").alias("n"))
-    sample = work.write(_with_level_ids(rows.filter(_complete(columns, keys)), effects))
-    outcomes = list(dict.fromkeys(m.outcome for m in models))
-    raw = sample.agg(F.count("*"), *[f(c) for c in outcomes for f in (F.sum, lambda c: F.sum(F.col(c) * F.col(c)))], *[F.sum(F.col(c) * F.col(c)) for c in columns]).first()
-    n = raw[0]
-    if not n:
-        raise ValueError("no row has all outcomes, terms and keys")
-    left_out = seen.get["n"] - n
-    moments = {c: (raw[1 + 2 * i], raw[2 + 2 * i]) for i, c in enumerate(outcomes)}
-    squares = dict(zip(columns, raw[1 + 2 * len(outcomes) :]))
-
-    within, levels, rounds = demean(sample, columns, effects, work, tolerance, max_rounds)
-    v = {c: f"_v{i}" for i, c in enumerate(columns)}
-    within = work.write(within.select(*(cluster or []), *v.values()))
-    gram, at = _gram(within, list(v.values())), {c: i for i, c in enumerate(columns)}
+def _fits(sample: _Sample, models, effects, variance, cluster, small_sample, solved_levels, rounds, work) -> list[Fit]:
+    spark, n, numbers = sample.rows.sparkSession, sample.n, sample.numbers
+    count, levels = len(effects or [[]]), sample.levels[: len(effects or [[]])]
+    within = _demeaned(sample.rows, solved_levels, count, list(cluster or []), len(numbers), work)
+    gram = _matrices(within.select("_cols", "_vals").mapInArrow(_squares, _CELLS)).get(0, {})
 
     solved = []
     for m in models:
-        x, y = [at[t] for t in m.terms], at[m.outcome]
-        kept = independent_columns(gram[np.ix_(x, x)], np.array([squares[t] for t in m.terms]))
-        used = [x[j] for j in kept]
-        bread = np.linalg.inv(gram[np.ix_(used, used)]) if used else np.zeros((0, 0))
-        beta = bread @ gram[used, y]
-        solved.append({"kept": kept, "bread": bread, "beta": beta, "x": [v[m.terms[j]] for j in kept], "y": v[m.outcome], "tss": gram[y, y], "rss": float(gram[y, y] - beta @ gram[used, y])})
+        x, y = [numbers[t] for t in m.terms], numbers[m.outcome]
+        squares = _dense(gram, [*x, y])
+        kept = independent_columns(squares[:-1, :-1], np.array([sample.moments.get(c, (0.0, 0.0))[1] for c in x]))
+        bread = np.linalg.inv(squares[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
+        beta, tss = bread @ squares[kept, -1], squares[-1, -1]
+        solved.append({"kept": kept, "bread": bread, "beta": beta, "x": [x[j] for j in kept], "y": y, "tss": tss, "rss": float(tss - beta @ squares[kept, -1])})
     # A nearly exact fit has lost its digits in the difference.
     meats, groups = None, None
     if variance != "iid" or any(s["rss"] < 1e-6 * s["tss"] for s in solved):
-        meats, rss, groups = _scores(within, solved, cluster, work)
+        meats, rss, groups = _scores(within, solved, cluster)
         for s, r in zip(solved, rss):
             s["rss"] = r
+    work.drop(within)
 
     counted = [c for e, c in zip(effects, levels) if small_sample != "none" and not (small_sample == "non-nested" and cluster and set(cluster) <= set(e))]
     absorbed = (sum(counted) - max(len(counted) - 1, 0)) if effects else 1
+    if small_sample == "rank" and effects:
+        absorbed = absorbed_rank(sample.rows, levels, work)
     if variance == "cluster" and groups < 2:
         raise ValueError("clustered errors need two clusters or more")
     fits = []
@@ -369,13 +628,13 @@ def _fit(data, models, effects, variance, cluster, small_sample, tolerance, max_
             covariance, df_t = s["bread"] @ meats[i] @ s["bread"] * n / dof, dof
         else:
             covariance, df_t = s["bread"] @ meats[i] @ s["bread"] * groups / (groups - 1) * (n - 1) / dof, groups - 1
-        sum_y, sum_yy = moments[m.outcome]
+        sum_y, sum_yy = sample.moments.get(s["y"], (0.0, 0.0))
         tss = sum_yy - sum_y * sum_y / n
         r2, r2_within = (1 - s["rss"] / t if t else None for t in (tss, s["tss"]))
         statistics = small_table(
             spark,
-            [(m.name, n, left_out, k, absorbed, dof, float(np.sqrt(s["rss"] / n)), r2, r2_within, groups, variance, rounds)],
-            "model string, n long, left_out long, k int, absorbed long, dof long, rmse double, r2 double, r2_within double, clusters long,"
+            [(m.name, n, sample.left_out, sample.singletons, k, absorbed, dof, float(np.sqrt(s["rss"] / n)), r2, r2_within, groups, variance, rounds)],
+            "model string, n long, left_out long, singletons long, k int, absorbed long, dof long, rmse double, r2 double, r2_within double, clusters long,"
             " variance string, rounds int",
         )
         dropped = [t for j, t in enumerate(m.terms) if j not in s["kept"]]
@@ -385,11 +644,11 @@ def _fit(data, models, effects, variance, cluster, small_sample, tolerance, max_
 
 def _coefficients(spark, m: Model, s: dict, covariance: np.ndarray, df: int) -> DataFrame:
     se, width, rows = np.sqrt(np.diag(covariance)), t_quantile(0.975, df), []
+    place = {j: i for i, j in enumerate(s["kept"])}
     for j, term in enumerate(m.terms):
         country, year = m.labels.get(term, (None, None))
-        if j in s["kept"]:
-            i = s["kept"].index(j)
-            b, e = float(s["beta"][i]), float(se[i])
+        if j in place:
+            b, e = float(s["beta"][place[j]]), float(se[place[j]])
             t = b / e if e > 0 else None
             p = two_sided_p(t, df) if t is not None else None
             rows.append((m.name, term, country, year, b, e, t, p, b - width * e, b + width * e, False))
@@ -418,10 +677,26 @@ def absorbing_ols(
     return fit_models(data, [Model(model, outcome, terms, labels or {})], effects, variance, cluster, **options)[0]
 
 
-def cumulative_effects(data: DataFrame, outcome: str, terms: list[str], effects: list[list[str]], variance: str, cluster: list[str] | None = None) -> DataFrame:
-    """The same model with the first, the first two, ... and all fixed effects; one block of rows each."""
-    fits = [
-        absorbing_ols(data, outcome, terms, effects[: i + 1], variance, cluster, model="+".join("^".join(e) for e in effects[: i + 1])).coefficients
-        for i in range(len(effects))
-    ]
-    return reduce(DataFrame.unionByName, fits)
+def cumulative_fits(
+    data: DataFrame, outcome: str, terms: list[str], effects: list[list[str]], variance: str, cluster: list[str] | None = None, small_sample: str = "non-nested",
+    families: list[Family] | None = None, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS,
+) -> list[Fit]:
+    """The same model with the first, the first two, ... and all fixed effects, on one sample.
+
+    Rows must have the keys of all effects. Level sums are taken once, and a longer list of effects starts from the
+    effects that the shorter one found.
+    """
+    _check_choices(variance, cluster, small_sample, "keep")
+    fits, solved = [], None
+    with Workspace(data.sparkSession, "fit") as work:
+        names = ["+".join("^".join(e) for e in effects[: i + 1]) for i in range(len(effects))]
+        sample = _sampled(data, [Model(names[-1], outcome, terms)], effects, cluster, families or [], "keep", work)
+        for i, name in enumerate(names):
+            solved, rounds = _level_effects(sample, i + 1, work, tolerance, max_rounds, solved)
+            fits += _fits(sample, [Model(name, outcome, terms)], effects[: i + 1], variance, cluster, small_sample, solved, rounds, work)
+    return fits
+
+
+def cumulative_effects(*args, **options) -> DataFrame:
+    """Coefficients of :func:`cumulative_fits`, one block of rows per list of effects."""
+    return reduce(DataFrame.unionByName, [fit.coefficients for fit in cumulative_fits(*args, **options)])

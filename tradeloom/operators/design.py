@@ -14,6 +14,7 @@ from tradeloom import presets
 from tradeloom import schema as S
 from tradeloom.functions.columns import is_number, log_or_null
 from tradeloom.functions.joins import attach_summary
+from tradeloom.operators.absorb import MAX_TERMS, Family
 
 US, CHINA = presets.COUNTRIES["USA"], presets.COUNTRIES["China"]
 TREATMENT = "tariff_us_china"
@@ -21,11 +22,15 @@ TREATMENT = "tariff_us_china"
 
 @dataclass
 class Design:
-    """A sample with its interaction columns; ``labels`` gives each term's country and year."""
+    """A sample with its interaction columns; ``labels`` gives each term's country and year.
+
+    Terms of ``families`` are not columns: of each family a row has at most one term, see :func:`spread`.
+    """
 
     data: DataFrame
     terms: list[str]
     labels: dict[str, tuple[str | None, int | None]] = field(default_factory=dict)
+    families: list[Family] = field(default_factory=list)
 
 
 def treatment_rate(df: DataFrame, exporter: str = CHINA, importer: str = US, tariff: str = "average_tariff_official", name: str = TREATMENT) -> DataFrame:
@@ -128,6 +133,25 @@ def importer_split(df: DataFrame, importer: str, outcome: str, exporter: str = C
     return Design(usable(data, [outcome, TREATMENT]).withColumns(columns), list(columns), {c: (c, None) for c in columns})
 
 
+def importer_years(data: DataFrame, name: str, importers: list[str], years: list[int], active: Column) -> Design:
+    """A term per importer and year, ``<name>_<importer>_<year>``: the treatment in that importer's active rows of that year.
+
+    A row has at most one of them, so they stay one column ``<name>_at``, however many there are.
+    """
+    if len(importers) * len(years) > MAX_TERMS:
+        raise ValueError(f"{len(importers)} importers and {len(years)} years make more than {MAX_TERMS} terms")
+    labels = {f"{name}_{c}_{y}": (c, y) for c in importers for y in years}
+    country, year = (F.array_position(F.lit(known) if known else F.array().cast(kind), F.col(c)) for known, c, kind in ((importers, "importer", "array<string>"), (years, S.YEAR, "array<int>")))
+    at = F.when(active & (country > 0) & (year > 0), (country - 1) * len(years) + year - 1).cast("int")
+    return Design(data.withColumn(f"{name}_at", at), list(labels), labels, [Family(f"{name}_at", TREATMENT, list(labels))])
+
+
+def spread(design: Design) -> DataFrame:
+    """The sample with a column for every term of its families."""
+    columns = {n: F.when(F.col(f.at) == i, F.col(f.value)).otherwise(F.lit(0.0)) for f in design.families for i, n in enumerate(f.names)}
+    return design.data.withColumns(columns)
+
+
 def saturated_panel(
     df: DataFrame,
     years: list[int],
@@ -136,24 +160,18 @@ def saturated_panel(
     where: Column | None = None,
     treated_pair: tuple[str, str] = (CHINA, US),
 ) -> Design:
-    """One column per importer and year, named ``gamma_<importer>_<year>``.
+    """A term per importer and year, named ``gamma_<importer>_<year>``.
 
     The importers are fetched: a country list, not data. Only the columns a
     regression can use are kept.
     """
     exclude = list(treated_pair if exclude is None else exclude)
-    importers = [r[0] for r in df.select(S.IMPORTER).distinct().filter(~F.col(S.IMPORTER).isin(exclude)).orderBy(S.IMPORTER).collect()]
+    found = df.select(S.IMPORTER).distinct().filter(~F.col(S.IMPORTER).isin(exclude)).orderBy(S.IMPORTER).limit(MAX_TERMS + 1)
     data = with_roles(treatment_rate(df, *treated_pair))
-    sold = F.col("exporter") == treated_pair[0]
-    columns, labels = {}, {}
-    for country in importers:
-        for term, column in by_year(f"gamma_{country}", sold & (F.col("importer") == country), years).items():
-            columns[term] = column
-            labels[term] = (country, int(term.rsplit("_", 1)[1]))
     if where is not None:
         data = data.filter(where)
     keep = list(dict.fromkeys([S.YEAR, S.PRODUCT, "importer", "exporter", TREATMENT, outcome]))
-    return Design(usable(data, [outcome, TREATMENT]).select(*keep).withColumns(columns), list(columns), labels)
+    return importer_years(usable(data, [outcome, TREATMENT]).select(*keep), "gamma", [r[0] for r in found.collect()], years, F.col("exporter") == treated_pair[0])
 
 
 def growth_panel(
