@@ -150,9 +150,9 @@ def brute_phrases(rows, least, share=100, longest=5):
     for text, lang in rows:
         for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(lower)):
             words = re.findall(r"[^\x20\x09]+", piece)
-            n[lang or "und" if lang is None else lang] += len(words)
-            for i, j in combinations(range(len(words) + 1), 2):
-                if j - i <= longest:
+            n["und" if lang is None else lang] += len(words)
+            for i in range(len(words)):
+                for j in range(i + 1, min(i + longest, len(words)) + 1):
                     f["und" if lang is None else lang, tuple(words[i:j])] += 1
     cands = {k for k, a in f.items() if a >= least and len(k[1]) > 1}
     inside = set()

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from tradeloom.llm.common import Scratch
 
 LONGEST, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Words of a block, and bytes of a text that are taken at once.
-BLOCK_WORDS, SLICE = 1 << 21, 1 << 20
+#: Words of a block, bytes of a text that are taken at once, and rows of an output batch.
+BLOCK_WORDS, SLICE, OUT_ROWS = 1 << 19, 1 << 20, 1 << 16
 NO_LANG = "und"
 
 ENDS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
@@ -115,7 +115,7 @@ def _kept(places: np.ndarray, ids: np.ndarray, at: np.ndarray, phrases: np.ndarr
 
 
 def _relation(block: int, places: np.ndarray, ids: np.ndarray, phrases: np.ndarray) -> pa.Table:
-    columns = [[block], [places.astype(np.int64).tobytes()], [ids.astype(np.int32).tobytes()], [phrases.astype(np.int64).tobytes()]]
+    columns = [[block], [places.astype(np.int32).tobytes()], [ids.astype(np.int32).tobytes()], [phrases.astype(np.int64).tobytes()]]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "places", "ids", "phrases"])
 
 
@@ -130,30 +130,32 @@ def _frequent_words(block: pa.Table, found: pa.Table) -> pa.Table:
     return _relation(block.column("block")[0].as_py(), *_kept(np.arange(len(ids)), ids, at + 1, phrases))
 
 
-def _adjacent(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merge join of a sorted relation with itself at the next place: places, the number of each pair, and the pairs' left, right and counts."""
-    places, ids, phrases = np.frombuffer(row["places"], np.int64), np.frombuffer(row["ids"], np.int32).astype(np.int64), np.frombuffer(row["phrases"], np.int64)
-    next_to = np.flatnonzero(places[1:] == places[:-1] + 1)
-    keys = ids[next_to] * max(len(phrases), 1) + ids[next_to + 1]
-    pairs, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return places[next_to], number, phrases[pairs // max(len(phrases), 1)], phrases[pairs % max(len(phrases), 1)], counts
+def _adjacent(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge join of a sorted relation with itself at the next place: places, the pairs as one key of two block numbers, and the block's phrases."""
+    places, ids, phrases = np.frombuffer(row["places"], np.int32), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["phrases"], np.int64)
+    next_to = np.flatnonzero(np.diff(places) == 1)
+    keys = ids[next_to].astype(np.int64) * max(len(phrases), 1) + ids[next_to + 1]
+    return places[next_to], keys, phrases
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            _, _, left, right, counts = _adjacent(row)
-            n = len(counts)
-            columns = [np.full(n, row["block"]), np.arange(n), left, right, counts.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "at", "left", "right", "n"])
+            _, keys, phrases = _adjacent(row)
+            keys, counts = np.unique(keys, return_counts=True)
+            for s in range(0, len(keys), OUT_ROWS):
+                part = keys[s : s + OUT_ROWS]
+                left, right = phrases[part // len(phrases)], phrases[part % len(phrases)]
+                columns = [np.full(len(part), row["block"]), np.arange(s, s + len(part)), left, right, counts[s : s + OUT_ROWS]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "at", "left", "right", "n"])
 
 
 def _frequent_pairs(relation: pa.Table, found: pa.Table) -> pa.Table:
     """Semi-join of a block's joined occurrences with the frequent pairs."""
     row, (at, phrases) = relation.to_pylist()[0], _found(found)
-    places, number, *_ = _adjacent(row)
-    return _relation(row["block"], *_kept(places, number, at, phrases))
+    places, keys, _ = _adjacent(row)
+    return _relation(row["block"], *_kept(places, np.searchsorted(np.unique(keys), keys), at, phrases))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
