@@ -170,8 +170,9 @@ def warc_rows():
     ]
 
 
-@pytest.mark.parametrize("split", ["128m", "3k"])
-def test_archives_round_trip(spark, tmp_path, split):
+@pytest.mark.parametrize("split, later", [("128m", "128m"), ("3k", "3k"), ("3k", "1k"), ("128m", "2k")])
+def test_archives_round_trip(spark, tmp_path, split, later):
+    """``later`` is how files are split when the index is collected, as after executors came or went."""
     pages = spark.createDataFrame(warc_rows(), "page_id long, url string, html string").selectExpr("*", "1 AS payload", "2 AS digest", "3 AS value")
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
@@ -179,7 +180,9 @@ def test_archives_round_trip(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
         path = str(tmp_path / "archives")
         warc.write_archives(pages.coalesce(2), path, records_per_file=4)
-        rows = warc.index_archives(spark, path, with_payload=True).collect()
+        index = warc.index_archives(spark, path, with_payload=True)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", later)
+        rows = index.collect()
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -207,6 +210,11 @@ def test_warc_query_returns_every_page(spark):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries_pages.op7_warc_round_trip(spark, SF).collect()
     assert {r.page_id: (r.payload_bytes, r.payload_digest) for r in rows} == {i: (len(h), hashlib.sha256(h).hexdigest()) for i, h in pages.items()}
+    first = {}
+    for i, h in sorted(pages.items()):
+        first.setdefault(h, i)
+    again = {i: len(h) >= warc.LEAST_REVISIT and first[h] != i for i, h in pages.items()}
+    assert {r.page_id: (r.record_type, r.refers_to) for r in rows} == {i: ("revisit", first[h]) if again[i] else ("response", None) for i, h in pages.items()}
 
 
 def brute_top(rows, k, modulo):

@@ -15,7 +15,14 @@ def page_number(column: str) -> Column:
     return F.regexp_extract(F.col(column), r"^urn:page:(-?\d+)$", 1).try_cast("long")
 
 
-@query("op7_warc_round_trip")
+WARC_SQL = rf"""
+    WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+    f AS (SELECT *, CASE WHEN n >= {warc.LEAST_REVISIT} THEN min(page_id) OVER (PARTITION BY body) ELSE page_id END AS first FROM p)
+    SELECT page_id, nullif(replace(replace(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), ' ', '%20'), chr(9), '%09'), '') AS url, n::bigint AS payload_bytes, sha256(body) AS payload_digest,
+      CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f"""
+
+
+@query("op7_warc_round_trip", WARC_SQL)
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)

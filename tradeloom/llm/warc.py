@@ -6,7 +6,9 @@ a magic, and the offset where the record would end by its Content-Length. Pointe
 jumping from offset 0 of each file then marks the candidates on the chain of true
 records: in each round, marked records mark where their pointer leads and all
 pointers double, so a file of n candidates takes log2(n) rounds of joins on narrow
-rows. Whatever is not on the chain belongs to the payload around it.
+rows. Whatever is not on the chain belongs to the payload around it. The archives are read once: how files are split
+depends on the cores at hand, so pieces are numbered and written with their text in one job, and everything else
+starts from that table.
 
 Pages with a null html have an empty payload; a null url gives a record without
 target URI; line breaks and blanks in a url are percent-encoded. Rows that repeat
@@ -140,10 +142,11 @@ def chained(candidates: DataFrame, scratch: Scratch) -> DataFrame:
 def index_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per record: path, offset, length and the record's fields, the payload's bytes and SHA-256 among them.
 
-    ``with_payload`` adds the payload itself, by a second read of the archives joined on the records' places.
+    ``with_payload`` adds the payload itself.
     """
     scratch = Scratch(spark, "warc")
-    pieces = scratch.write(described(between(spark, path)).drop("value"))
+    kept = scratch.write(described(between(spark, path)))
+    pieces = kept.drop("value")
     in_block = W.partitionBy("file", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)  # a split of a file
     step = F.col("bytes") + len(MAGIC)
     placed = pieces.withColumn("before", F.coalesce(F.sum(step).over(in_block), F.lit(0)))
@@ -153,21 +156,21 @@ def index_archives(spark: SparkSession, path: str, with_payload: bool = False) -
     offset = F.col("base") + F.col("before") - len(MAGIC)
     # What stands before a file's first magic has a negative offset and is no candidate.
     placed = scratch.write(placed.join(blocks, ["file", "block"]).withColumn("at", offset).drop("before", "base").filter("at >= 0"))
-    scratch.drop(pieces)
     sound = placed.filter("length is not null")
     chain = scratch.write(chained(sound.select("file", "at", (F.col("at") + len(MAGIC) + F.col("length")).alias("to")), scratch))
     records = sound.join(chain, ["file", "at"])
-    whole, torn = records.filter("length = bytes"), reassembled(spark, path, placed, records, chain, scratch)
+    whole, torn = records.filter("length = bytes"), reassembled(kept, placed, records, chain, scratch)
     if with_payload:
-        values = between(spark, path).select("file", "block", "seq", "value")
+        values = kept.select("file", "block", "seq", "value")
         whole = whole.join(values, ["file", "block", "seq"]).withColumn("payload", parsed(F.col("value"))["payload"]).drop("value")
     else:
         torn = torn.drop("payload")
+        scratch.drop(kept)
     extra = ["payload"] if with_payload else []
     return whole.unionByName(torn).select("path", F.col("at").alias("offset"), "length", *FIELDS, *extra)
 
 
-def reassembled(spark: SparkSession, path: str, placed: DataFrame, records: DataFrame, chain: DataFrame, scratch: Scratch) -> DataFrame:
+def reassembled(kept: DataFrame, placed: DataFrame, records: DataFrame, chain: DataFrame, scratch: Scratch) -> DataFrame:
     """The records whose payload holds a magic, put together from the pieces between their offset and their end."""
     parts = scratch.write(records.filter("length > bytes").select("file", F.col("at").alias("owner"), (F.col("at") + len(MAGIC) + F.col("length")).alias("end")))
     if parts.isEmpty():
@@ -178,9 +181,10 @@ def reassembled(spark: SparkSession, path: str, placed: DataFrame, records: Data
     inside = inner.join(spans, ["file", "bucket"]).filter("at > owner and at < end").select("file", "block", "seq", "at", "owner")
     heads = placed.join(parts.select("file", F.col("owner").alias("at")), ["file", "at"]).select("file", "block", "seq", "at", F.col("at").alias("owner"))
     wanted = scratch.write(heads.unionByName(inside))
-    pieces = between(spark, path).join(wanted, ["file", "block", "seq"])
+    pieces = kept.select("path", "file", "block", "seq", "value").join(wanted, ["file", "block", "seq"])
     joined = pieces.groupBy("path", "file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"), F.first("block").alias("block"), F.min("seq").alias("seq"))
     whole = joined.select("path", "file", "block", "seq", F.col("owner").alias("at"), F.array_join(F.col("parts.value"), MAGIC).alias("value"))
     full = described(whole)
     checked = F.when(F.col("length") == F.col("bytes"), F.col("bytes")).otherwise(F.raise_error(F.lit("a record's pieces do not add up to its length")))
-    return full.withColumns({"bytes": checked, "payload": parsed(F.col("value"))["payload"]}).select(*records.columns, "payload")
+    out = full.withColumns({"bytes": checked, "payload": parsed(F.col("value"))["payload"]}).select(*records.columns, "payload")
+    return scratch.write(out)
