@@ -36,7 +36,7 @@ from tradeloom.llm.common import Scratch
 
 LONGEST, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Words of a block, bytes of a text that are taken at once, and rows of an output batch.
-BLOCK_WORDS, SLICE, OUT_ROWS = 1 << 19, 1 << 20, 1 << 16
+BLOCK_WORDS, SLICE, OUT_ROWS = 1 << 20, 1 << 20, 1 << 16
 NO_LANG = "und"
 
 ENDS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
@@ -173,14 +173,15 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     relation = work.write(_by_block(blocks.select("block", "ids"), found, _frequent_words)) if longest > 1 else None
     work.drop(blocks)
     for length in range(2, longest + 1):
-        pairs = work.write(relation.mapInArrow(_pairs, _PAIRS))
+        pairs = relation.mapInArrow(_pairs, _PAIRS)  # joined anew for the semi-join: cheaper than keeping every pair of every block
         counted = pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
         ids = work.write(counted.select(number, "left", "right", "f"))
+        work.settle()
         before = levels[-1]
         left = before.select(F.col("id").alias("left"), "lang", "words")
         right = before.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last"))
         levels.append(work.write(ids.join(left, "left").join(right, "right").select("id", "lang", F.array_append("words", F.col("last")).alias("words"), "f")))
-        old = [relation, pairs, ids]
+        old = [relation, ids]
         if length < longest:
             found = pairs.join(ids.select("id", "left", "right"), ["left", "right"]).select("block", "at", "id")
             relation = work.write(_by_block(relation, found, _frequent_pairs))
