@@ -13,10 +13,12 @@ SETM keeps, for every phrase length, a relation of all occurrences of frequent p
    relation of length k+1 keeps the occurrences of frequent pairs by a semi-join;
 3. this ends at the greatest length, or when no phrase is frequent any more.
 
-A phrase has an exact id, given to the frequent pair (left part's id, right part's id); nothing is hashed.
-What is shuffled is one row per block and different phrase; the relation itself moves only by block. A block's words
-are bounded, but for one piece that is longer (a piece is never cut). A phrase that stands everywhere has one row
-per block. Relations, counts and semi-joins are written before they are read, so a lost executor costs its tasks only.
+Group-count and semi-join share one exchange: a block sends one row per different phrase, the rows of a group meet and
+are added up, and those of frequent groups go back to their blocks. So a phrase that stands everywhere has one row
+per block, of the several hundred thousand that a block sends. The relation itself moves only by block. A block's words
+are bounded, but for one piece that is longer (a piece is never cut). A phrase has an exact id, the least place
+where its group was sent from; nothing is hashed. Relations and frequent groups are written before they are read, so a
+lost executor costs its tasks only.
 
 Null texts count as empty, null languages as ``und``. Languages or texts without words give no rows.
 """
@@ -42,9 +44,12 @@ NO_LANG = "und"
 ENDS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
 PLAIN = bytes(46 if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Bits of a phrase's number in its block, and of a block's number in its task.
+IN_BLOCK, IN_TASK = 32, 12
+
 _BLOCK = "block long, lang string, words array<string>, counts array<long>, ids binary"
 _RELATION = "block long, places binary, ids binary, phrases binary"
-_PAIRS = "block long, at long, left long, right long, n long"
+_PAIRS = "sent long, left long, right long, n long"
 
 
 class Numbers(dict):
@@ -87,7 +92,7 @@ class Block:
 
 def _blocks(block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, open_blocks = TaskContext.get().partitionId() << 33, {}
+        number, open_blocks = TaskContext.get().partitionId() << IN_TASK, {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for data in slices(text.as_py()):
@@ -147,8 +152,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in range(0, len(keys), OUT_ROWS):
                 part = keys[s : s + OUT_ROWS]
                 left, right = phrases[part // len(phrases)], phrases[part % len(phrases)]
-                columns = [np.full(len(part), row["block"]), np.arange(s, s + len(part)), left, right, counts[s : s + OUT_ROWS]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "at", "left", "right", "n"])
+                columns = [(row["block"] << IN_BLOCK) + np.arange(s, s + len(part)), left, right, counts[s : s + OUT_ROWS]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sent", "left", "right", "n"])
 
 
 def _frequent_pairs(relation: pa.Table, found: pa.Table) -> pa.Table:
@@ -164,27 +169,23 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     given = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = work.write(given.mapInArrow(_blocks(block_words), _BLOCK))
     totals = work.write(blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).filter("n > 0"))
-    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "lang", F.col("at").cast("long"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    number = F.monotonically_increasing_id().alias("id")
-    counted = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    frequent = work.write(counted.select(number, "lang", F.array("word").alias("words"), "f"))
-    found = words.join(frequent.select("id", "lang", F.col("words")[0].alias("word")), ["lang", "word"]).select("block", "at", "id")
-    levels = [frequent]
-    relation = work.write(_by_block(blocks.select("block", "ids"), found, _frequent_words)) if longest > 1 else None
-    work.drop(blocks)
+    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    words = words.select((F.shiftleft("block", IN_BLOCK) + F.col("at")).alias("sent"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    marked = work.write(_frequent(words, ["lang", "word"], least))
+    levels = [work.write(marked.filter("sent = id").select("id", "lang", F.array("word").alias("words"), "f"))]
+    relation = work.write(_by_block(blocks.select("block", "ids"), marked, _frequent_words)) if longest > 1 else None
+    work.drop(blocks, marked)
     for length in range(2, longest + 1):
-        pairs = relation.mapInArrow(_pairs, _PAIRS)  # joined anew for the semi-join: cheaper than keeping every pair of every block
-        counted = pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        ids = work.write(counted.select(number, "left", "right", "f"))
+        marked = work.write(_frequent(relation.mapInArrow(_pairs, _PAIRS), ["left", "right"], least))
         work.settle()
         before = levels[-1]
         left = before.select(F.col("id").alias("left"), "lang", "words")
         right = before.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last"))
-        levels.append(work.write(ids.join(left, "left").join(right, "right").select("id", "lang", F.array_append("words", F.col("last")).alias("words"), "f")))
-        old = [relation, ids]
+        found = marked.filter("sent = id").join(left, "left").join(right, "right")
+        levels.append(work.write(found.select("id", "lang", F.array_append("words", F.col("last")).alias("words"), "f")))
+        old = [relation, marked]
         if length < longest:
-            found = pairs.join(ids.select("id", "left", "right"), ["left", "right"]).select("block", "at", "id")
-            relation = work.write(_by_block(relation, found, _frequent_pairs))
+            relation = work.write(_by_block(relation, marked, _frequent_pairs))
         work.drop(*old)
         work.settle()
     if longest > 1 and length < longest:
@@ -192,8 +193,15 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     return reduce(DataFrame.unionAll, [level.select("lang", "words", "f") for level in levels]), totals
 
 
-def _by_block(relation: DataFrame, found: DataFrame, semi_join) -> DataFrame:
-    return relation.groupBy("block").cogroup(found.select(F.col("block").alias("of"), "at", "id").groupBy("of")).applyInArrow(_where_found(semi_join), _RELATION)
+def _frequent(sent: DataFrame, group: list[str], least: int) -> DataFrame:
+    """The rows (sent, group, n) of groups that add up to ``least`` or more, with the sum ``f`` and the group's ``id``."""
+    whole = Window.partitionBy(*group)
+    return sent.withColumns({"f": F.sum("n").over(whole), "id": F.min("sent").over(whole)}).filter(F.col("f") >= least).drop("n")
+
+
+def _by_block(relation: DataFrame, marked: DataFrame, semi_join) -> DataFrame:
+    found = marked.select(F.shiftright("sent", IN_BLOCK).alias("of"), F.col("sent").bitwiseAND((1 << IN_BLOCK) - 1).alias("at"), "id")
+    return relation.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_where_found(semi_join), _RELATION)
 
 
 def _where_found(semi_join):
