@@ -6,9 +6,9 @@ a magic, and the offset where the record would end by its Content-Length. Pointe
 jumping from offset 0 of each file then marks the candidates on the chain of true
 records: in each round, marked records mark where their pointer leads and all
 pointers double, so a file of n candidates takes log2(n) rounds of joins on narrow
-rows. Whatever is not on the chain belongs to the payload around it. The archives are read once: how files are split
-depends on the cores at hand, so pieces are numbered and written with their text in one job, and everything else
-starts from that table.
+rows. Whatever is not on the chain belongs to the payload around it. How files are split depends on the cores at
+hand, so pieces are numbered and described in one job. That keeps the text of pieces that are no whole record by
+themselves; text of the others is asked for by its SHA-256, which does not depend on splits, where it is needed again.
 
 Pages with a null html have an empty payload; a null url gives a record without
 target URI; line breaks and blanks in a url are percent-encoded. Rows that repeat
@@ -145,7 +145,9 @@ def index_archives(spark: SparkSession, path: str, with_payload: bool = False) -
     ``with_payload`` adds the payload itself.
     """
     scratch = Scratch(spark, "warc")
-    kept = scratch.write(described(between(spark, path)))
+    by_itself = F.coalesce(F.col("length") == F.col("bytes"), F.lit(False))
+    kept = described(between(spark, path)).withColumn("piece", F.when(by_itself, content(F.col("value")))).withColumn("value", F.when(~by_itself, F.col("value")))
+    kept = scratch.write(kept)
     pieces = kept.drop("value")
     in_block = W.partitionBy("file", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)  # a split of a file
     step = F.col("bytes") + len(MAGIC)
@@ -159,32 +161,45 @@ def index_archives(spark: SparkSession, path: str, with_payload: bool = False) -
     sound = placed.filter("length is not null")
     chain = scratch.write(chained(sound.select("file", "at", (F.col("at") + len(MAGIC) + F.col("length")).alias("to")), scratch))
     records = sound.join(chain, ["file", "at"])
-    whole, torn = records.filter("length = bytes"), reassembled(kept, placed, records, chain, scratch)
+    whole, torn = records.filter("length = bytes"), reassembled(spark, path, kept, placed, records, chain, scratch)
     if with_payload:
-        values = kept.select("file", "block", "seq", "value")
-        whole = whole.join(values, ["file", "block", "seq"]).withColumn("payload", parsed(F.col("value"))["payload"]).drop("value")
+        whole = whole.join(by_content(spark, path, whole), "piece").withColumn("payload", parsed(F.col("value"))["payload"]).drop("value")
     else:
         torn = torn.drop("payload")
         scratch.drop(kept)
     extra = ["payload"] if with_payload else []
-    return whole.unionByName(torn).select("path", F.col("at").alias("offset"), "length", *FIELDS, *extra)
+    return whole.drop("piece").unionByName(torn).select("path", F.col("at").alias("offset"), "length", *FIELDS, *extra)
 
 
-def reassembled(kept: DataFrame, placed: DataFrame, records: DataFrame, chain: DataFrame, scratch: Scratch) -> DataFrame:
+def content(value: Column) -> Column:
+    return F.sha2(value.cast("binary"), 256)
+
+
+def by_content(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(piece, value): the text of the wanted pieces, by its SHA-256."""
+    texts = between(spark, path).select(content(F.col("value")).alias("piece"), "value")
+    return texts.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.first("value").alias("value"))
+
+
+def reassembled(spark: SparkSession, path: str, kept: DataFrame, placed: DataFrame, records: DataFrame, chain: DataFrame, scratch: Scratch) -> DataFrame:
     """The records whose payload holds a magic, put together from the pieces between their offset and their end."""
     parts = scratch.write(records.filter("length > bytes").select("file", F.col("at").alias("owner"), (F.col("at") + len(MAGIC) + F.col("length")).alias("end")))
     if parts.isEmpty():
-        return records.limit(0).withColumn("payload", F.lit(None).cast("binary"))
+        return records.limit(0).drop("piece").withColumn("payload", F.lit(None).cast("binary"))
     # Only pieces off the chain can be inside a record; both sides meet by stretches of the file.
     inner = placed.join(chain, ["file", "at"], "left_anti").withColumn("bucket", F.floor(F.col("at") / BUCKET))
     spans = parts.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("owner") / BUCKET), F.floor(F.col("end") / BUCKET))))
     inside = inner.join(spans, ["file", "bucket"]).filter("at > owner and at < end").select("file", "block", "seq", "at", "owner")
     heads = placed.join(parts.select("file", F.col("owner").alias("at")), ["file", "at"]).select("file", "block", "seq", "at", F.col("at").alias("owner"))
     wanted = scratch.write(heads.unionByName(inside))
-    pieces = kept.select("path", "file", "block", "seq", "value").join(wanted, ["file", "block", "seq"])
+    pieces = scratch.write(kept.select("path", "file", "block", "seq", "value", "piece").join(wanted, ["file", "block", "seq"]))
+    whole_inside = pieces.filter("value IS NULL")
+    if not whole_inside.isEmpty():
+        texts = by_content(spark, path, whole_inside).withColumnRenamed("value", "text")
+        pieces = pieces.join(texts, "piece", "left").withColumn("value", F.coalesce("value", "text")).drop("text")
     joined = pieces.groupBy("path", "file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"), F.first("block").alias("block"), F.min("seq").alias("seq"))
     whole = joined.select("path", "file", "block", "seq", F.col("owner").alias("at"), F.array_join(F.col("parts.value"), MAGIC).alias("value"))
     full = described(whole)
     checked = F.when(F.col("length") == F.col("bytes"), F.col("bytes")).otherwise(F.raise_error(F.lit("a record's pieces do not add up to its length")))
-    out = full.withColumns({"bytes": checked, "payload": parsed(F.col("value"))["payload"]}).select(*records.columns, "payload")
+    out = full.withColumns({"bytes": checked, "payload": parsed(F.col("value"))["payload"]}).select(*[c for c in records.columns if c != "piece"], "payload")
     return scratch.write(out)
