@@ -129,6 +129,34 @@ def _(spark, d):
     return rounded(rounded(inference.signed_rank(whole, "v"), "z", digits=6), "p", digits=5)
 
 
+# One mean change per importer: few values without ties, whose subsets of ranks can be counted.
+@query("signed_rank_by_importer", f"""WITH RECURSIVE {_CHANGES}, x AS (SELECT avg({P}_change) AS v FROM changes GROUP BY partner_country),
+    ranked AS (SELECT v, rank() OVER (ORDER BY abs(v)) AS r FROM x), sums AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (v > 0), 0) AS up, coalesce(sum(r) FILTER (v < 0), 0) AS down FROM ranked),
+    ways AS (SELECT 0 AS i, 0 AS s, 1::double AS w UNION ALL
+      SELECT i + 1, s, sum(w) FROM (SELECT i, unnest([s, s + i + 1]) AS s, w FROM ways WHERE i < (SELECT n FROM sums)) GROUP BY ALL)
+    SELECT n, up::double AS rank_sum_up, down::double AS rank_sum_down, least(up, down)::double AS statistic,
+      {sq('least(1, 2 * (SELECT sum(w) FROM ways WHERE i = n AND s <= least(up, down)) / pow(2, n))', 'p', 7)} FROM sums""")
+def _(spark, d):
+    means = _changes(spark, d).groupBy("partner_country").agg(F.avg(f"{P}_change").alias("v"))
+    return rounded(inference.signed_rank(means, "v").drop("z"), "p", digits=7)
+
+
+def _power(x, parts):
+    """A quotient of polynomials in SQL, by powers."""
+    above, below = ("(" + " + ".join(f"{c!r} * pow({x}, {len(powers) - 1 - i})" for i, c in enumerate(powers)) + ")" for powers in parts)
+    return f"{above} / {below}"
+
+
+_TAIL = "sqrt(-ln(least(u, 1 - u)))"
+
+
+@query("quantile_points_of_price_change", f"""WITH {_CHANGES}, placed AS (SELECT {P}_change AS sample, row_number() OVER (ORDER BY {P}_change) AS position, count(*) OVER () AS n FROM changes WHERE {P}_change IS NOT NULL),
+    medians AS (SELECT position, sample, CASE WHEN position = n THEN pow(0.5, 1.0 / n) WHEN position = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (position - 0.3175) / (n + 0.365) END::double AS u FROM placed)
+    SELECT position, {sq('sample', 'sample', 3)}, {sq(f"CASE WHEN abs(u - 0.5) <= 0.425 THEN (u - 0.5) * {_power('(0.180625 - (u - 0.5) * (u - 0.5))', inference.CENTRE)} WHEN {_TAIL} <= 5 THEN sign(u - 0.5) * {_power(f'({_TAIL} - 1.6)', inference.NEAR_TAIL)} ELSE sign(u - 0.5) * {_power(f'({_TAIL} - 5)', inference.FAR_TAIL)} END", 'theoretical', 6)} FROM medians""")
+def _(spark, d):
+    return rounded(rounded(inference.quantile_points(_changes(spark, d), f"{P}_change"), "sample", digits=3), "theoretical", digits=6)
+
+
 _GRID = [i / 20 for i in range(1, 20)]
 _GRID_SQL = ", ".join(f"({p}, {NormalDist().inv_cdf(p)!r}::double)" for p in _GRID)
 

@@ -64,6 +64,27 @@ def _(spark, d):
     return tariffs.unparsed_rates(_raw_tariffs(spark, star.mfn(spark, d), "AVEMFN"))
 
 
+# A year that is no number, rates without one, and lines with a field too many.
+@query("rejected_tariff_fields", """SELECT year AS folder_year, reason, "column", text, count(*) AS n FROM (
+      SELECT year, 'type' AS reason, 'Year' AS "column", '19x' AS text FROM mfn WHERE product_code LIKE '%1' AND tariff_rate < 4 AND max_rate <> 8
+      UNION ALL SELECT year, 'rate', 'Max_Rate', 'n/a' FROM mfn WHERE max_rate = 8
+      UNION ALL SELECT year, 'fields', NULL, NULL FROM mfn WHERE product_code LIKE '%2' AND tariff_rate < 4 AND max_rate <> 8) GROUP BY ALL""")
+def _(spark, d):
+    rates = star.mfn(spark, d)
+    odd = (F.col("tariff_rate") < 4) & (F.col("max_rate") != 8)
+    text = [F.lit("H0"), "reporter_country", F.when(odd & F.col("product_code").endswith("1"), "19x").otherwise(F.col("year").cast("string")), "product_code", F.lit("0"), F.col("min_rate").cast("string"),
+            F.when(F.col("max_rate") == 8, "n/a").otherwise(F.col("max_rate").cast("string")), F.col("tariff_rate").cast("string"), *[F.lit("1")] * 6, F.lit("x")]
+    more = F.when(odd & F.col("product_code").endswith("2"), F.array(F.lit("beyond"))).otherwise(F.array().cast("array<string>"))
+    folder = F.format_string("AVEMFN_H0_ALL_%d_U2", "year").alias("folder")
+    lines = rates.select(F.concat_ws(",", F.concat(F.array(*text), more)).alias("value"), folder, F.lit(1).alias("place"))
+    header = ",".join(f.name for f in tariffs.tariff_schema("AVEMFN"))
+    files = lines.unionByName(rates.select(F.lit(header).alias("value"), folder, F.lit(0).alias("place")).distinct())
+    path = fresh_path(spark, "broken")
+    files.repartition("folder").sortWithinPartitions("folder", "place").select("value", "folder").write.partitionBy("folder").text(path)
+    found = tariffs.rejected_fields(spark, "AVEMFN", path, "*/*.txt")
+    return found.groupBy("folder_year", "reason", "column", F.when(F.col("reason") != "fields", F.col("text")).alias("text")).agg(F.count("*").alias("n"))
+
+
 # The translation of each revision is one latin-1 file with an ignored middle column.
 @query("concordance_csv_scan", """SELECT DISTINCT hs_revision, product_code AS source_code, chapter || substr(product_code, 3, 4) AS target_code
     FROM cells, (VALUES ('H1', '27'), ('H2', '84')) r(hs_revision, chapter)""")

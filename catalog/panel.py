@@ -87,6 +87,22 @@ def _(spark, d):
     return _mapping(spark, d)
 
 
+# Every name without its third letter, looked up by its nearest label.
+@query("country_code_map_misspelt", r"""WITH named AS (SELECT lpad(n_nationkey::varchar, 3, '0') AS original_code, lower(n_name) AS label, lower(left(n_name, 2) || substr(n_name, 4)) AS name FROM nation),
+    sized AS (SELECT original_code, name, least(2, (len(list_distinct(list_transform(range(1, len(name) + 2), lambda i: substr('  ' || name || ' ', i::int, 3)))) - 1) // 3) AS allowed FROM named),
+    near AS (SELECT s.original_code, min({'d': levenshtein(s.name, l.label), 'l': l.label}) AS b FROM sized s JOIN named l ON levenshtein(s.name, l.label) <= allowed GROUP BY ALL)
+    SELECT f.original_code, coalesce('9' || substr(l.original_code, 2), f.original_code) AS iso_num
+    FROM (SELECT reporter_country AS original_code FROM flows UNION SELECT partner_country FROM flows) f LEFT JOIN near n USING (original_code) LEFT JOIN named l ON l.label = n.b.l""")
+def _(spark, d):
+    nations = star.countries(spark, d)
+    misspelt = F.concat(F.substring("country_name", 1, 2), F.substring("country_name", 4, 100))
+    standard = nations.select(F.upper("country_name").alias("label"), F.concat(F.lit("9"), F.substring("country_code", 2, 2)).alias("iso_num"))
+    none = nations.select(F.col("country_code").alias("original_code"), F.lit("").alias("iso_num")).filter("original_code IS NULL")
+    codes = stages.distinct_codes(star.flows(spark, d), ["reporter_country", "partner_country"])
+    table = nations.withColumns({"country_name": misspelt, "country_iso3": F.lit("")})
+    return harmonise.country_map(codes, none, standard, [table], inexact=2)
+
+
 @query("remap_countries", f"""WITH {_MAPPING}
     SELECT year, a.iso_num AS reporter_country, b.iso_num AS partner_country, product_code, value, quantity
     FROM flows JOIN mapping a ON reporter_country = a.original_code JOIN mapping b ON partner_country = b.original_code""")

@@ -135,7 +135,7 @@ def _(spark, d):
     return rounded(profile.rollup_levels(star.flows(spark, d), (2, 4)), "value", digits=2)
 
 
-for _level, _product in (("2-digit", ", left(product_code, 2) AS product_code"), ("6-digit", ", product_code"), ("total", "")):
+for _level, _product in (("2-digit", ", left(product_code, 2) AS product_code"), ("4-digit", ", left(product_code, 4) AS product_code"), ("6-digit", ", product_code"), ("total", "")):
 
     @query(f"network_edges_{_level.replace('-', '_')}", f"SELECT year, reporter_country, partner_country{_product}, {sq(f'sum({T} * value) / sum(value)', 'weighted_tariff')}, {sq('sum(value)', 'value', 2)}, sum(quantity) AS quantity FROM enriched GROUP BY ALL")
     def _(spark, d, level=_level):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import KEYS, q, query, rounded, sq
-from tradeloom.operators import sample
+from tradeloom import presets
+from tradeloom.operators import harmonise, sample
 from tradeloom.plans import star
+from tradeloom.session import small_table
 from tradeloom.sources.dimensions import code_table
 
 _COLS = ", ".join(KEYS)
@@ -84,6 +86,22 @@ def _(spark, d):
     return _row(sample.select_sample(star.flows(spark, d), include=["003", "019", "010", "011"], **_OPTIONS))
 
 
+# The nations stand for the first countries of the preset list, so that its groups can be used.
+_ISO = [(f"{i:03d}", iso) for i, iso in enumerate(presets.COUNTRIES.values()) if i < 25]
+_LISTED = ", ".join(f"('{c}')" for c in presets.country_group("wider"))
+
+
+@query("select_sample_country_group", f"""WITH iso(code, iso_num) AS (VALUES {', '.join(map(str, _ISO))}),
+    renamed AS (SELECT f.* REPLACE (coalesce(a.iso_num, reporter_country) AS reporter_country, coalesce(b.iso_num, partner_country) AS partner_country) FROM flows f
+      LEFT JOIN iso a ON reporter_country = a.code LEFT JOIN iso b ON partner_country = b.code),
+    {_CLEAN.replace('FROM flows', 'FROM renamed')}, chosen(c) AS (VALUES {_LISTED}) {_AMONG}""")
+def _(spark, d):
+    iso, renamed = small_table(spark, _ISO, "original_code string, iso_num string"), star.flows(spark, d)
+    for side in ("reporter_country", "partner_country"):
+        renamed = harmonise.remap_countries(renamed, iso, side)
+    return _row(sample.select_sample(renamed, include=presets.country_group("wider"), **_OPTIONS))
+
+
 @query("exclude_product_table", f"SELECT {_ROW} FROM flows WHERE left(product_code, 4) NOT IN (SELECT DISTINCT left(product_code, 4) FROM flows WHERE product_code LIKE '72%' AND year = 2001)")
 def _(spark, d):
     f = star.flows(spark, d)

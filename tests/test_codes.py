@@ -89,3 +89,20 @@ def test_preset_groups_name_known_countries():
         assert len(codes) == len(set(codes)) and all(len(c) == 3 for c in codes)
     with pytest.raises(KeyError):
         presets.country_group("nobody")
+
+
+def test_nearest_labels(spark, rows):
+    labels = spark.createDataFrame([(x,) for x in ("Germany", "Guinea", "Guyana", "Mali", "Malta", "Viet Nam", "United Kingdom", "", None)], "label string")
+    names = ["germny", "GERMANY", "Guiana", "Mal", "Vietnam", "Untied Kingdom", "Atlantis", "x", "", None]
+    found = harmonise.nearest_labels(spark.createDataFrame([(n,) for n in names], "name string"), labels)
+    # Guiana is one letter from Guyana and two from Guinea; Mal may be one edit away; x is too short for any.
+    assert rows(found) == [("germany", "germany", 0), ("germny", "germany", 1), ("guiana", "guyana", 1), ("mal", "mali", 1), ("untied kingdom", "united kingdom", 2), ("vietnam", "viet nam", 1)]
+
+
+def test_inexact_names_come_after_exact_ones(spark, rows):
+    codes = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "original_code string")
+    standard = spark.createDataFrame([("france", "250"), ("Germany", "276"), ("deu", "999"), ("fra", "998")], "label string, iso_num string")
+    table = spark.createDataFrame([("1", "France", "FRA"), ("2", "Germny", "DEU"), ("3", "Nowhere", "DEU"), ("4", None, None)], "country_code string, country_name string, country_iso3 string")
+    none = spark.createDataFrame([], "original_code string, iso_num string")
+    assert rows(harmonise.country_map(codes, none, standard, [table], inexact=2)) == [("1", "250"), ("2", "276"), ("3", "999"), ("4", "4")]
+    assert rows(harmonise.country_map(codes, none, standard, [table])) == [("1", "250"), ("2", "999"), ("3", "999"), ("4", "4")]

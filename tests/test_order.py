@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeloom.functions import joins, ranks, windows
+from tradeloom.operators import sample
 
 
 def _skewed(n=3000, seed=1):
@@ -44,6 +45,38 @@ def test_quantiles_leave_out_nan_and_empty_groups(spark):
     assert [tuple(r) for r in ranks.quantiles(df, ["g"], "x", {"q": 0.5}).collect()] == [("a", 2.0)]
 
 
+@pytest.mark.parametrize("few", [1, 5, 4096])
+def test_quantiles_by_refined_histograms(spark, monkeypatch, few):
+    """Values far apart, next to each other, infinite and repeated; small arrays force several passes."""
+    monkeypatch.setattr(ranks, "FEW", few)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.lognormal(0, 6, 500), -rng.lognormal(0, 6, 300), 1e15 + np.arange(60.0), [0.0] * 50, [-np.inf, np.inf, 1.7e308, -1.7e308, 5e-324]])
+    df = spark.createDataFrame([("g" if i % 3 else None, float(v)) for i, v in enumerate(x)], "g string, x double").repartition(5)
+    wanted = {f"q{i}": p for i, p in enumerate((0.0, 0.1, 0.37, 0.5, 0.93, 1.0))}
+    row = ranks.quantiles(df, [], "x", wanted, nearest=True).first()
+    ordered = np.sort(x)
+    assert [row[q] for q in wanted] == [ordered[int(np.floor((len(x) - 1) * p + 0.5))] for p in wanted.values()]
+    finite = df.filter("abs(x) < 1e300")
+    row = ranks.quantiles(finite, [], "x", wanted).first()
+    assert [row[q] for q in wanted] == pytest.approx(np.quantile(x[np.abs(x) < 1e300], list(wanted.values())))
+
+
+def test_quantiles_shuffle_no_values(spark, monkeypatch):
+    """Every shuffle of a pass is of bins: the plan's exchanges come after a partial count."""
+    plans = []
+    write = ranks.Workspace.write
+    monkeypatch.setattr(ranks.Workspace, "write", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df))[1])
+    monkeypatch.setattr(ranks, "FEW", 10)
+    ranks.quantiles(spark.range(1000).selectExpr("cast(id as double) x"), [], "x", {"q": 0.5})
+    assert len(plans) > 3 and not any("rangepartitioning" in p for p in plans)
+    assert not any("hashpartitioning(_x" in p for p in plans)
+
+
+def test_every_nth_with_null_keys(spark):
+    df = spark.createDataFrame([(None, "a"), ("b", "b"), ("c", None), ("d", "d")], "k string, v string")
+    assert sorted(r.v or "" for r in sample.every_nth(df, 2, ["k"]).collect()) == ["", "a"]
+
+
 def test_cumulative_counts(spark):
     df = spark.createDataFrame([(1.0,)] * 3 + [(2.0,)] * 2 + [(5.0,)], "x double")
     out = sorted(tuple(r) for r in ranks.cumulative_counts(df, [], "x").collect())

@@ -120,3 +120,14 @@ def test_shared_dir_needs_a_setting_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Cluster())
+
+
+def test_rejected_fields(spark, tmp_path):
+    folder = tmp_path / "AVEMFN_H3_840_2010_U2"
+    folder.mkdir()
+    good = "H3,840,2010,010101,0,NA,5.0, 2.5,1,1,1,1,1,1,x"
+    lines = [good, good.replace("2010", "20x0"), good.replace("5.0", "n/a"), good + ",more", good.rsplit(",", 3)[0], good.replace(",1,1,", ",one,1,", 1)]
+    (folder / "JobID_1.CSV").write_text("\n".join([",".join(f.name for f in tariffs.tariff_schema("AVEMFN")), *lines]) + "\n")
+    got = sorted((r.reason, r.column or "", r.text, r.folder_year) for r in tariffs.rejected_fields(spark, "AVEMFN", str(tmp_path)).collect())
+    assert got == sorted([("type", "Year", "20x0", 2010), ("rate", "Max_Rate", "n/a", 2010), ("fields", "", lines[3], 2010), ("fields", "", lines[4], 2010), ("type", "Nbr_NA_Lines", "one", 2010)])
+    assert tariffs.scan_tariffs(spark, "AVEMFN", str(tmp_path)).count() == len(lines)

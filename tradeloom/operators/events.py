@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tradeloom import schema as S
 from tradeloom.functions.columns import ratio
 from tradeloom.functions.joins import attach
-from tradeloom.functions.ranks import cumulative_counts, pick_quantiles
+from tradeloom.functions.ranks import quantiles
 from tradeloom.session import materialise
 
 
@@ -140,8 +140,8 @@ def response_by_bin(differences: DataFrame, diff: str, change: str = "tariff_cha
     cuts = {f"c{i}": i / n_bins for i in range(1, n_bins)}
     edges: list[float] = []
     if cuts:
-        row = pick_quantiles(cumulative_counts(events, [], change), [], change, cuts).first()
-        edges = [row[c] for c in cuts]
+        row = quantiles(events, [], change, cuts).first()
+        edges = [row[c] if row else None for c in cuts]
 
     x = F.col(change)
     if len(set(edges)) < len(edges) or None in edges:
@@ -156,7 +156,7 @@ def response_by_bin(differences: DataFrame, diff: str, change: str = "tariff_cha
     def spread(df, keys, value, stem, suffix, counted):
         mean = [F.avg(value).alias(f"mean_{stem}{suffix}"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias(f"std_{stem}{suffix}")]
         basics = df.groupBy(*keys).agg(*mean, *([F.count("*").alias("n_observations")] if counted else []))
-        medians = pick_quantiles(cumulative_counts(df.select(*keys, value), keys, value), keys, value, {f"median_{stem}{suffix}": 0.5})
+        medians = quantiles(df, keys, value, {f"median_{stem}{suffix}": 0.5})
         return basics.join(medians, keys, "left")
 
     by_bin = spread(events, [bin_name], change, "tariff_change", "_in_bin", False)
@@ -171,6 +171,5 @@ def pass_through(changes: DataFrame, price_change: str, tariff_change: str) -> D
 
 def mean_and_median(df: DataFrame, column: str) -> DataFrame:
     """One row with the mean and the exact median."""
-    counts = cumulative_counts(df.select(column), [], column)
-    mean = counts.agg(F.sum(F.col(column) * F.col("n")) / F.sum("n"))
-    return pick_quantiles(counts, [], column, {"median": 0.5}).select(mean.scalar().alias("mean"), "median")
+    mean = df.filter(~F.isnan(column)).agg(F.avg(column))
+    return quantiles(df, [], column, {"median": 0.5}).select(mean.scalar().alias("mean"), "median")

@@ -43,14 +43,36 @@ def translation_report(df: DataFrame, concordance: DataFrame) -> DataFrame:
     return before.select("*", *one_row).join(after.select("*", *one_row), "_one").drop("_one")
 
 
-def country_map(codes: DataFrame, overrides: DataFrame, standard: DataFrame, tables: list[DataFrame]) -> DataFrame:
+def nearest_labels(names: DataFrame, labels: DataFrame, most: int = 2) -> DataFrame:
+    """The label nearest to each of ``names.name``, as ``name, label, distance``; names without one near enough have no row.
+
+    Distance is the number of letters put in, left out or changed, in lower case; ties go to the first label in order. A
+    name may be at most ``most`` edits away, and one edit for every three of its three-letter pieces. So a name
+    and its label share a piece at least, and only such pairs are compared: both sides are indexed by pieces, and
+    pairs that share too few of them for the allowed edits are left out.
+    """
+    def pieces(df: DataFrame, column: str) -> DataFrame:
+        padded = F.concat(F.lit("  "), F.lower(column), F.lit(" "))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+        known = df.select(F.lower(column).alias(column)).filter(F.col(column) != "").distinct()
+        return known.select(column, F.size(grams).alias(f"{column}_pieces"), F.explode(grams).alias("piece"))
+
+    shared = pieces(names, "name").join(pieces(labels, "label").drop("label_pieces"), "piece").groupBy("name", "label", "name_pieces").agg(F.count("*").alias("shared"))
+    allowed = F.least(F.lit(most), F.floor((F.col("name_pieces") - 1) / 3))
+    near = shared.filter(F.col("shared") >= F.col("name_pieces") - 3 * allowed).withColumn("distance", F.levenshtein("name", "label"))
+    best = near.filter(F.col("distance") <= allowed).groupBy("name").agg(F.min(F.struct("distance", "label")).alias("b"))
+    return best.select("name", "b.label", "b.distance")
+
+
+def country_map(codes: DataFrame, overrides: DataFrame, standard: DataFrame, tables: list[DataFrame], inexact: int = 0) -> DataFrame:
     """ISO codes for each code in ``codes.original_code``, as rows ``original_code, iso_num``.
 
     Order of precedence: ``overrides`` (may give several countries), a direct
     hit in ``standard``, the code's name and then its ISO3 from the first of
     ``tables`` that knows it, and the code itself. ``standard`` holds
-    ``label, iso_num`` with every numeric code, alpha code and name; inexact
-    name matches are entered there as further labels.
+    ``label, iso_num`` with every numeric code, alpha code and name. With
+    ``inexact``, a name that is no label is looked up by :func:`nearest_labels`
+    with at most so many edits, after the exact name and before the ISO3 code.
 
     The map is written, so that joining it twice does not make it twice and its
     real size, not that of the tables the codes come from, decides how.
@@ -74,7 +96,13 @@ def country_map(codes: DataFrame, overrides: DataFrame, standard: DataFrame, tab
     wanted = by(wanted, F.col("original_code"), "_direct")
     wanted = by(wanted, F.coalesce(*names, none), "_by_name")
     wanted = by(wanted, F.coalesce(*iso3s, none), "_by_iso3")
-    single = F.coalesce("_direct", "_by_name", "_by_iso3", "original_code")
+    found = ["_direct", "_by_name", "_by_iso3"]
+    if inexact:
+        open_names = wanted.filter(F.col("_direct").isNull() & F.col("_by_name").isNull()).select(F.coalesce(*names, none).alias("name")).filter("name IS NOT NULL")
+        near = nearest_labels(open_names, standard, inexact).join(labels.withColumnRenamed("_label", "label"), "label").select(F.col("name").alias("_near"), F.col("iso_num").alias("_by_near"))
+        wanted = wanted.withColumn("_near", F.lower(F.coalesce(*names, none))).join(near, "_near", "left")
+        found.insert(2, "_by_near")
+    single = F.coalesce(*found, "original_code")
     listed = overrides.select("original_code", F.col("iso_num").alias("_override")).distinct()
     out = wanted.join(listed, "original_code", "left").select("original_code", F.coalesce("_override", single).alias("iso_num"))
     return materialise(out, "country-map")

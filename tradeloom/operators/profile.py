@@ -9,7 +9,7 @@ from tradeloom import presets
 from tradeloom import schema as S
 from tradeloom.functions.columns import fill_missing, ratio, weighted_mean
 from tradeloom.functions.joins import attach, attach_summary
-from tradeloom.functions.ranks import cumulative_counts, pick_quantiles
+from tradeloom.functions.ranks import quantiles
 from tradeloom.functions.windows import index_to_base
 from tradeloom.operators.sample import top
 
@@ -144,8 +144,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min("x").alias("min"),
         F.max("x").alias("max"),
     )
-    counts = cumulative_counts(pairs, ["column"], "x")
-    return basics.join(pick_quantiles(counts, ["column"], "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "column", "left")
+    return basics.join(quantiles(pairs, ["column"], "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "column", "left")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,20 +10,19 @@ from pyspark.sql import functions as F
 from tradeloom import presets
 from tradeloom import schema as S
 from tradeloom.functions.columns import prefix_in, ratio
-from tradeloom.functions.ranks import cumulative_counts, pick_quantiles, positions
+from tradeloom.functions.ranks import positions, quantiles
 from tradeloom.session import materialise, small_table
 
 
 def percentile_bounds(df: DataFrame, columns: list[str], lower: float = 0.01, upper: float = 0.99, nearest: bool = False) -> DataFrame:
     """Exact lower and upper percentile of each column, as rows ``column, low, high``.
 
-    All columns go through one sort as (column, value) pairs.
+    All columns go through the same passes as (column, value) pairs.
     """
     if not (0 <= lower < upper < 1):
         raise ValueError(f"percentiles must satisfy 0 <= lower < upper < 1, got {lower} and {upper}")
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p"))
-    counts = cumulative_counts(pairs.select("p.column", "p.x"), ["column"], "x")
-    return pick_quantiles(counts, ["column"], "x", {"low": lower, "high": upper}, nearest)
+    return quantiles(pairs.select("p.column", "p.x"), ["column"], "x", {"low": lower, "high": upper}, nearest)
 
 
 def trim_outliers(df: DataFrame, columns: list[str], lower: float = 0.01, upper: float = 0.99, nearest: bool = False) -> DataFrame:
@@ -157,5 +156,12 @@ def sample_exact(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataF
 
 
 def every_nth(df: DataFrame, step: int, key: list[str]) -> DataFrame:
-    """Rows 0, step, 2*step, ... in the order of ``key``, which must identify rows."""
-    return positions(df, key, "_i").filter(F.col("_i") % step == 0).drop("_i")
+    """Rows 0, step, 2*step, ... in the order of ``key``, which must identify rows.
+
+    Only keys are put in order; the rows come by a semi-join, in which NULL keys are equal.
+    """
+    named = [f"_k{i}" for i in range(len(key))]
+    keys = df.select(*[F.col(k).alias(n) for k, n in zip(key, named)])
+    chosen = materialise(positions(keys, named, "_i").filter(F.col("_i") % step == 0).select(*named), "every-nth")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, named)])
+    return df.join(chosen, same, "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeloom import schema as S
 from tradeloom.functions.columns import rate_from_text
@@ -60,3 +61,28 @@ def unparsed_rates(raw: DataFrame) -> DataFrame:
     texts = ["SimpleAverage", "Min_Rate", "Max_Rate"]
     bad = [F.count_if(F.col(t).isNotNull() & rate_from_text(t).isNull()).alias(t) for t in texts]
     return raw.agg(*bad)
+
+
+def rejected_fields(spark: SparkSession, kind: str, base: str, files: str = "*/*JobID*.CSV") -> DataFrame:
+    """What :func:`scan_tariffs` reads as NULL or cuts: one row per field or line, with its file.
+
+    ``reason`` is ``type`` for a field that is no value of its column's type, ``rate`` for a rate text without a
+    number, both with ``column`` and ``text``, and ``fields`` for a line with too few or too many fields, with the line as ``text``.
+    """
+    kinds = tariff_schema(kind)
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in kinds] + [T.StructField("_line", T.StringType())])
+    raw = (
+        spark.read.schema(texts)
+        .option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").option("columnPruning", False).option("nullValue", "NA")
+        .csv(f"{base.rstrip('/')}/{files}")
+    )
+    checks = []
+    for f in kinds:
+        rate = f.name in ("SimpleAverage", "Min_Rate", "Max_Rate")
+        if rate or not isinstance(f.dataType, T.StringType):
+            value = rate_from_text(f.name) if rate else F.trim(f.name).try_cast(f.dataType)
+            bad = F.col(f.name).isNotNull() & value.isNull()
+            checks.append(F.struct(F.when(bad, "rate" if rate else "type").alias("reason"), F.lit(f.name).alias("column"), F.col(f.name).alias("text")))
+    checks.append(F.struct(F.when(F.col("_line").isNotNull(), "fields").alias("reason"), F.lit(None).cast("string").alias("column"), F.col("_line").alias("text")))
+    found = raw.select(F.col("_metadata.file_path").alias("file"), folder_part(kind, "folder_year").alias("folder_year"), F.explode(F.array(*checks)).alias("r"))
+    return found.filter(F.col("r.reason").isNotNull()).select("file", "folder_year", "r.*")
