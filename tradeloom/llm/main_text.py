@@ -23,6 +23,7 @@ gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -49,6 +50,8 @@ BESIDE = frozenset(
     "share-buttons share-links side-bar site-footer site-header site-navigation skip-link skip-links social-links social-media "
     "social-share top-nav top-navigation widget-area".split()
 )
+# Open elements that a start tag closes where their end tags were left out, up to the nearest table.
+IMPLIED = {"td": frozenset(["td"]), "tr": frozenset(["td", "tr"]), "tbody": frozenset(["td", "tr", "tbody"])}
 #: Elements of NEVER that a ``main`` or most of the page may be found in, as when their end tag is missing.
 LAYOUT = frozenset("aside dialog footer head header menu nav".split())
 NUMBER = re.compile(r"[-_]*\d+$")
@@ -62,15 +65,18 @@ ARTICLES = frozenset(["article", "main"])
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags before it, and the path of elements around it; and the elements with their marks."""
+    """Lines of a page: text, tags before it and the innermost element around it; and the elements with parents and marks.
+
+    Elements know their parent only, so memory grows with the page and not with its depth.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.texts: list[str] = []
         self.tags: list[int] = []
-        self.paths: list[tuple[int, ...]] = []
-        self.stack: list[str] = [""]
-        self.path: tuple[int, ...] = (0,)
+        self.within: list[int] = []
+        self.stack: list[int] = [0]
+        self.open: Counter[str] = Counter()
         self.names: list[str] = [""]
         self.parents: list[int] = [0]
         self.marks: list[int] = [0]
@@ -84,7 +90,7 @@ class Lines(HTMLParser):
             if text:
                 self.texts.append(text)
                 self.tags.append(self.count)
-                self.paths.append(self.path)
+                self.within.append(self.stack[-1])
                 self.count = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -94,14 +100,20 @@ class Lines(HTMLParser):
         self.end_line()
         if tag in VOID or (tag not in CONTAINERS and tag not in NEVER):
             return
+        while self.names[self.stack[-1]] in IMPLIED.get(tag, ()):
+            self.leave()
+        mark = self.mark(tag, attrs)
         self.names.append(tag)
-        self.parents.append(self.path[-1])
-        self.marks.append(self.mark(tag, attrs))
-        self.stack.append(tag)
-        self.path = (*self.path, len(self.names) - 1)
+        self.parents.append(self.stack[-1])
+        self.marks.append(mark)
+        self.stack.append(len(self.names) - 1)
+        self.open[tag] += 1
+
+    def leave(self) -> None:
+        self.open[self.names[self.stack.pop()]] -= 1
 
     def mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        if tag == "header" and not ARTICLES.isdisjoint(self.stack):
+        if tag == "header" and any(self.open[a] for a in ARTICLES):
             return 0
         if tag in NEVER and tag != "form" or tag == "header":
             return AROUND if tag in LAYOUT else UNSEEN
@@ -124,23 +136,22 @@ class Lines(HTMLParser):
         if tag in INLINE:
             return
         self.end_line()
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth] == tag:
-                del self.stack[depth:]
-                self.path = self.path[:depth]
-                return
+        if self.open[tag]:
+            while self.names[self.stack[-1]] != tag:
+                self.leave()
+            self.leave()
 
     def handle_data(self, data: str) -> None:
-        if self.stack[-1] not in ("script", "style"):
+        if self.names[self.stack[-1]] not in ("script", "style"):
             self.parts.append(data)
 
 
 def held(lines: Lines, without: list[bool]) -> list[int]:
     """Length of the text in each element, but for lines in elements ``without``."""
     size = [0] * len(lines.names)
-    for text, path in zip(lines.texts, lines.paths):
-        if not without[path[-1]]:
-            size[path[-1]] += len(text)
+    for text, e in zip(lines.texts, lines.within):
+        if not without[e]:
+            size[e] += len(text)
     for e in range(len(size) - 1, 0, -1):
         size[lines.parents[e]] += size[e]
     return size
@@ -188,7 +199,7 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) ->
 def region(lines: Lines) -> list[int]:
     """Numbers of the lines that are the page's main text."""
     no_content = beside(lines)
-    usable = [i for i, path in enumerate(lines.paths) if not no_content[path[-1]]]
+    usable = [i for i, e in enumerate(lines.within) if not no_content[e]]
     if not usable:
         return []
     size = np.array([len(t) for t in lines.texts], float)
@@ -197,32 +208,45 @@ def region(lines: Lines) -> list[int]:
     content = usable[ratios[usable] >= ratios.std()]
     if not len(content):
         content = usable
-    articles = {e for i in usable.tolist() for e in lines.paths[i] if lines.names[e] in ARTICLES}
-    inside = [i for i in content.tolist() if not articles.isdisjoint(lines.paths[i])]
-    if inside and size[inside].sum() >= MOST * size[content].sum():
-        return [i for i in usable.tolist() if not articles.isdisjoint(lines.paths[i])]
-    region = grown(lines, common([lines.paths[i] for i in content.tolist()]), {lines.paths[i][-1] for i in usable.tolist()})
-    return [i for i in usable.tolist() if region in lines.paths[i]]
-
-
-def common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
-    """Path of the innermost element that holds all ``paths``."""
-    low, high = min(paths), max(paths)
-    same = next((d for d, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-    return low[:same]
-
-
-def grown(lines: Lines, path: tuple[int, ...], direct: set[int]) -> int:
-    """The element at the end of ``path``, or the one above it whose text it is a part of; ``direct`` elements have lines of their own."""
-    while len(path) > 1:
-        above = path[:-1]
-        while lines.names[above[-1]] not in WHOLE:
-            above = above[:-1]
-        tag = lines.names[path[-1]]
-        if (tag in WHOLE or tag == "td") and direct.isdisjoint(path[len(above) - 1 : -1]):
+    wanted = under(lines, {e for e, name in enumerate(lines.names) if name in ARTICLES})
+    inside = [i for i in content.tolist() if wanted[lines.within[i]]]
+    if not inside or size[inside].sum() < MOST * size[content].sum():
+        direct = {lines.within[i] for i in usable.tolist()}
+        wanted = under(lines, {grown(lines, common(lines, {lines.within[i] for i in content.tolist()}), direct)})
+    return [i for i in usable.tolist() if wanted[lines.within[i]]]
+
+
+def under(lines: Lines, roots: set[int]) -> list[bool]:
+    """Which elements are one of ``roots`` or inside one."""
+    out = [e in roots for e in range(len(lines.names))]
+    for e in range(1, len(out)):
+        out[e] = out[e] or out[lines.parents[e]]
+    return out
+
+
+def common(lines: Lines, elements: set[int]) -> int:
+    """The innermost element that is or holds each of ``elements``: the one farthest down that as many of them lead to."""
+    leading = [0] * len(lines.names)
+    for e in elements:
+        leading[e] = 1
+    for e in range(len(leading) - 1, 0, -1):
+        leading[lines.parents[e]] += leading[e]
+    return max(e for e, n in enumerate(leading) if n == len(elements))
+
+
+def grown(lines: Lines, element: int, direct: set[int]) -> int:
+    """``element``, or the one above it whose text it is a part of; ``direct`` elements have lines of their own."""
+    while element:
+        above = lines.parents[element]
+        between = {above}
+        while lines.names[above] not in WHOLE:
+            above = lines.parents[above]
+            between.add(above)
+        tag = lines.names[element]
+        if (tag in WHOLE or tag == "td") and direct.isdisjoint(between):
             break
-        path = above
-    return path[-1]
+        element = above
+    return element
 
 
 def main_text(html: str | None) -> str:
