@@ -125,7 +125,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[int]:
     hash_i, hash_t, top = RunningHash(item), RunningHash(text), max(len(item), len(text))
     length, out = max(least, min(len(item), len(text))), []
     while True:
-        matches = maximal(hash_i.windows(length, top), hash_t.windows(length, top), free_i, free_t, length)
+        matches = maximal(item, text, hash_i.windows(length, top), hash_t.windows(length, top), free_i, free_t, length)
         longest = max((m[0] for m in matches), default=0)
         if longest > 2 * length:
             length = longest
@@ -143,24 +143,51 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[int]:
         length = max(least, length // 2)
 
 
-def maximal(of_item: np.ndarray, of_text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(length, item start, text start) of maximal equal runs of free words, longest first."""
-    i_at, t_at = np.flatnonzero(all_free(free_i, k)), np.flatnonzero(all_free(free_t, k))
+def maximal(item: np.ndarray, text: np.ndarray, of_item: np.ndarray, of_text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(length, item start, text start) of maximal equal runs of free words, longest first.
+
+    A run starts where the windows of ``k`` words are equal and the words before them are not, so only such places are
+    paired: a word that is repeated over and over gives pairs at the ends of its stretches and not one for every two places.
+    """
+    open_i, open_t = all_free(free_i, k), all_free(free_t, k)
+    i_at, t_at = np.flatnonzero(open_i), np.flatnonzero(open_t)
     if not len(i_at) or not len(t_at):
         return []
-    i_at = i_at[np.argsort(of_item[i_at], kind="stable")]
-    lo = np.searchsorted(of_item[i_at], of_text[t_at], "left")
-    n = np.searchsorted(of_item[i_at], of_text[t_at], "right") - lo
-    t = np.repeat(t_at, n)
-    i = i_at[np.repeat(lo, n) + np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)]
-    order = np.lexsort((i, t - i))
-    i, t = i[order], t[order]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(t) != 1)])) if len(i) else np.zeros(0, np.int64)
-    runs = np.diff(np.concatenate([starts, [len(i)]]))
-    found = [(int(r) + k - 1, int(i[s]), int(t[s])) for s, r in zip(starts, runs)]
+    # A place without a free word before it starts a run with any other.
+    before_i = np.where((i_at > 0) & free_i[i_at - 1], item[i_at - 1].astype(np.int64) + 2, 0)
+    before_t = np.where((t_at > 0) & free_t[t_at - 1], text[t_at - 1].astype(np.int64) + 2, 1)
+    _, rank = np.unique(np.concatenate([of_item[i_at], of_text[t_at]]), return_inverse=True)
+    span = int(max(before_i.max(), before_t.max())) + 1
+    key_i, key_t = rank[: len(i_at)] * span + before_i, rank[len(i_at) :] * span + before_t
+    order = np.argsort(key_i, kind="stable")
+    i_at, key_i = i_at[order], key_i[order]
+    window_i, window_t = key_i // span, key_t // span
+    parts = [
+        (np.searchsorted(window_i, window_t, "left"), np.searchsorted(key_i, key_t, "left")),
+        (np.searchsorted(key_i, key_t, "right"), np.searchsorted(window_i, window_t, "right")),
+    ]
+    t = np.concatenate([np.repeat(t_at, high - low) for low, high in parts])
+    i = i_at[np.concatenate([np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low) for low, high in parts])]
+    length = extended(item, text, of_item, of_text, (open_i, open_t), (free_i, free_t), i, t, k)
+    found = zip(length.tolist(), i.tolist(), t.tolist())
     return sorted(found, key=lambda m: (-m[0], m[1], m[2]))
 
 
+def extended(item: np.ndarray, text: np.ndarray, of_item: np.ndarray, of_text: np.ndarray, windows: tuple, words_: tuple, i: np.ndarray, t: np.ndarray, k: int) -> np.ndarray:
+    """Length of the runs that start with equal windows at ``i`` and ``t``: window by window, then word by word."""
+    length = np.full(len(i), k)
+    for step, (free_i, free_t), (a, b) in ((k, windows, (of_item, of_text)), (1, words_, (item, text))):
+        live = np.arange(len(i))
+        while len(live):
+            x, y = i[live] + length[live], t[live] + length[live]
+            inside = (x < len(free_i)) & (y < len(free_t))
+            live, x, y = live[inside], x[inside], y[inside]
+            same = free_i[x] & free_t[y] & (a[x] == b[y])
+            live = live[same]
+            length[live] += step
+    return length
+
+
 def all_free(free: np.ndarray, k: int) -> np.ndarray:
     if len(free) < k:
         return np.zeros(0, bool)
