@@ -294,3 +294,104 @@ def test_main_text_of_odd_rows(spark):
     assert sorted(out.columns) == ["n_chars", "page_id", "text", "url"]
     assert sorted(((r.page_id, r.n_chars) for r in out.collect()), key=str) == [(1, 1), (1, 1), (2, 499_999), (None, 0)]
     assert main_text.extract(pages.limit(0)).collect() == []
+
+
+def test_unclosed_elements_stay_linear():
+    """Rows without end tags, deep unclosed elements and stray end tags: memory grows with the page only."""
+    import tracemalloc
+
+    cells = "<table>" + "".join(f"<tr><td>cell {i}<td>more words here {i}" for i in range(20_000)) + "</table>"
+    deep = "<div>" * 20_000 + "deep text" + "</section></nav>" * 20_000
+    for page, held in ((cells, "more words here 19999"), (deep, "deep text")):
+        tracemalloc.start()
+        text = main_text.main_text(f"<body>{page}</body>")
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert held in text and peak < 60_000_000
+    assert main_text.main_text("<table><tr><td>a<td>b<tr><td>c</table>") == "a b c"
+
+
+def test_repeated_words_make_few_pairs():
+    """5,000 equal words against 200,000: the tiles are found without a pair for every two places."""
+    import tracemalloc
+
+    from tradeloom.llm import decontaminate as d
+
+    item, text = np.ones(5_000, np.uint32), np.ones(200_000, np.uint32)
+    tracemalloc.start()
+    assert d.tiles(item, text, 5) == [5_000]
+    text[::3_000] = 0
+    assert d.tiles(item, text, 5) == [2_999, 2_001]
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+
+
+def brute_tiles(item, text, least):
+    """Greedy string tiling by the definition: the longest match of unmarked words first, then by its places."""
+    free_i, free_t, out = [True] * len(item), [True] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, t)
+        n, i, t = best
+        if n < least:
+            return out
+        out.append(n)
+        for x in range(n):
+            free_i[i + x] = free_t[t + x] = False
+
+
+def test_maximal_runs_equal_all_pairs():
+    """The runs of equal words between any two places, found from their starts only."""
+    from tradeloom.llm import decontaminate as d
+
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        words_ = int(rng.integers(1, 4))
+        item, text = (rng.integers(1, words_ + 1, rng.integers(1, 40)).astype(np.uint32) for _ in range(2))
+        free_i, free_t = (rng.random(len(x)) < 0.9 for x in (item, text))
+        k, top = int(rng.integers(1, 4)), max(len(item), len(text))
+        want = []
+        for i in range(len(item)):
+            for t in range(len(text)):
+                same = lambda a, b: 0 <= a < len(item) and 0 <= b < len(text) and free_i[a] and free_t[b] and item[a] == text[b]  # noqa: B023, E731
+                n = 0
+                while same(i + n, t + n):
+                    n += 1
+                if n >= k and not same(i - 1, t - 1):
+                    want.append((n, i, t))
+        got = d.maximal(item, text, d.RunningHash(item).windows(k, top), d.RunningHash(text).windows(k, top), free_i, free_t, k)
+        assert sorted(got) == sorted(want)
+
+
+def test_coverage_equals_tiling_by_the_definition():
+    """Words covered, which decide, and not only the longest tile."""
+    from tradeloom.llm import decontaminate as d
+
+    rng = np.random.default_rng(8)
+    for _ in range(25):
+        base = rng.integers(1, 60, 45).astype(np.uint32)
+        cut = np.split(base, np.sort(rng.integers(0, 45, 3)))
+        rng.shuffle(order := list(range(len(cut))))
+        text = np.concatenate([np.concatenate([cut[j], rng.integers(60, 70, 4)]) for j in order]).astype(np.uint32)
+        want = brute_tiles(base.tolist(), text.tolist(), 5)
+        got = d.tiles(base, text, 5)
+        assert sum(got) == sum(want) and max(got, default=0) == max(want, default=0)
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    """Repeated ids with different texts, dealt over 1, 3 and 7 partitions, learn the same network."""
+    rows = [(i % 60, f"{'good clean words' if i % 2 else 'zz qq xx junk'} {i} " * (3 + i % 5)) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    small = quality.Settings(texts=40)
+    scores = []
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        net = quality.train(docs, labels, small)
+        scores.append(round(quality.score(spark.createDataFrame([(0, "good words of a text")], "doc_id long, text string"), net).first().score, 9))
+    assert len(set(scores)) == 1

@@ -224,15 +224,18 @@ def in_training(id_column: str = "doc_id", folds: int = 5) -> Column:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network:
     """Fit on the whole ``settings.texts`` labelled documents that come first by the hash of their id.
 
-    ``labels`` has ``doc_id`` and ``quality``; rows with a null in either, and the held-out fold, are not used.
+    ``labels`` has ``doc_id`` and ``quality``; rows with a null in either, the held-out fold and ids without a document
+    are not used. Of several texts under one id the least in byte order is learned, of several labels the lower one, so
+    the fit does not depend on the order or the partitions of the rows.
     """
     usable = labels.filter(in_training() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     one_each = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    one_each = one_each.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = one_each.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(settings.texts)  # at most settings.texts rows
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")
     rows = docs.select("doc_id", body).join(F.broadcast(chosen), "doc_id")
     texts, qualities = Spooled(), []
-    for r in rows.select("doc_id", "quality", "body").dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator():
+    for r in rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("body").alias("body")).orderBy("doc_id").toLocalIterator():
         texts.append(bytes(r.body))
         qualities.append(int(r.quality))
     return fit(texts, qualities, settings)
