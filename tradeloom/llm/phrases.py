@@ -86,7 +86,7 @@ class Block:
         ids = np.concatenate(self.ids)
         counts = np.bincount(ids, minlength=len(self.numbers))
         words = [w.decode("utf-8", "surrogatepass") for w in self.numbers]
-        columns = [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([words[1:]], pa.list_(pa.string())), pa.array([counts[1:]], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary())]
+        columns = [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([words[1:]], pa.list_(pa.string())), pa.array([counts[1:]], pa.list_(pa.int64())), pa.array([packed(ids)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["block", "lang", "words", "counts", "ids"])
 
 
@@ -109,6 +109,15 @@ def _blocks(block_words: int):
     return run
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 byte by byte, all the lowest bytes first, so that compression finds the zeros of the highest."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _kept(places: np.ndarray, ids: np.ndarray, at: np.ndarray, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The occurrences whose number is in ``at``, numbered anew in the order of ``at``."""
     size = int(max(ids.max(initial=0), at.max(initial=0))) + 1
@@ -120,7 +129,7 @@ def _kept(places: np.ndarray, ids: np.ndarray, at: np.ndarray, phrases: np.ndarr
 
 
 def _relation(block: int, places: np.ndarray, ids: np.ndarray, phrases: np.ndarray) -> pa.Table:
-    columns = [[block], [places.astype(np.int32).tobytes()], [ids.astype(np.int32).tobytes()], [phrases.astype(np.int64).tobytes()]]
+    columns = [[block], [packed(np.diff(places, prepend=0))], [packed(ids)], [phrases.astype(np.int64).tobytes()]]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "places", "ids", "phrases"])
 
 
@@ -131,14 +140,15 @@ def _found(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _frequent_words(block: pa.Table, found: pa.Table) -> pa.Table:
     """Semi-join of a block's words with the frequent ones."""
     at, phrases = _found(found)
-    ids = np.frombuffer(block.column("ids")[0].as_py(), np.int32)
+    ids = unpacked(block.column("ids")[0].as_py()).astype(np.int64)
     return _relation(block.column("block")[0].as_py(), *_kept(np.arange(len(ids)), ids, at + 1, phrases))
 
 
 def _adjacent(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge join of a sorted relation with itself at the next place: places, the pairs as one key of two block numbers, and the block's phrases."""
-    places, ids, phrases = np.frombuffer(row["places"], np.int32), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["phrases"], np.int64)
-    next_to = np.flatnonzero(np.diff(places) == 1)
+    gaps, ids, phrases = unpacked(row["places"]), unpacked(row["ids"]), np.frombuffer(row["phrases"], np.int64)
+    places = np.cumsum(gaps, dtype=np.int64)
+    next_to = np.flatnonzero(gaps[1:] == 1)
     keys = ids[next_to].astype(np.int64) * max(len(phrases), 1) + ids[next_to + 1]
     return places[next_to], keys, phrases
 
