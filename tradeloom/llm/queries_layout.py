@@ -21,7 +21,23 @@ def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", law, "shard", "slot", none)
 
 
-@query("op6_byte_balanced_shards")
+def crc_step(n: int) -> int:
+    for _ in range(8):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+# The CRC goes through the bytes of a text with the table of its polynomial.
+SHARDS_SQL = f"""
+    WITH step AS (SELECT {[crc_step(n) for n in range(256)]} AS t),
+    b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {sharding.ROW_BYTES} AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) AS bytes FROM documents),
+    s AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)::bigint AS text_crc32 FROM b, step),
+    placed AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM s WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
+    dealt AS (SELECT *, least({N_SHARDS - 1}, (2 * before + size)::hugeint * {N_SHARDS} // (2 * total))::int AS shard FROM placed)
+    SELECT doc_id, size::bigint AS size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::bigint AS slot, NULL::int AS grown_shard FROM dealt"""
+
+
+@query("op6_byte_balanced_shards", SHARDS_SQL)
 def op6_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
