@@ -267,9 +267,10 @@ def _solve(system: Normal, sums: DataFrame, work: Workspace, tolerance: float, m
     tolerance is relative to the right side, wherever the rounds begin.
     """
     state = work.write(system.right_side(sums))
-    first = {r["c"]: r["rr"] or 1.0 for r in state.groupBy("c").agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rr")).collect()}
+    first: dict[int, float] = {}
     begun = state.withColumn("a", F.lit(0.0))
     if start is not None:
+        first = {r["c"]: r["rr"] or 1.0 for r in state.groupBy("c").agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rr")).collect()}
         given = work.write(attach(start.withColumnRenamed("g", "h"), system.scale, ["h"], "inner").select("h", "c", "n", "d", "a"))
         at = ["h", "c", "n", "d", "r", "a"]
         back = given.withColumn("r", -F.col("n") * F.col("a")).select(*at)
@@ -284,6 +285,8 @@ def _solve(system: Normal, sums: DataFrame, work: Workspace, tolerance: float, m
         dots = [F.sum(F.col(a) * F.col(b) / F.col("d")).alias(a + b) for a, b in ("rr", "rq", "qq")]
         steps, worst = [], 0.0
         for x in state.groupBy("c").agg(*dots, F.sum(F.col("p") * F.col("q")).alias("pq")).collect():
+            if start is None and not rounds:
+                first[x["c"]] = x["rr"] or 1.0
             enough = tolerance**2 * first.get(x["c"], 1.0)
             live = x["rr"] > enough and x["pq"] > 0
             step = x["rr"] / x["pq"] if live else 0.0
@@ -512,12 +515,12 @@ def _sampled(data: DataFrame, models: list[Model], effects: list[list[str]], clu
     if most > MAX_TERMS:
         raise ValueError(f"{most} terms in a model, at most {MAX_TERMS}")
     keys = list(dict.fromkeys([c for e in effects for c in e] + (cluster or [])))
-    seen = Observation()
-    rows = data.observe(seen, F.count("*").alias("n")).filter(_complete(plain, keys, families))
+    given, used = Observation(), Observation()
+    rows = data.observe(given, F.count("*").alias("n")).filter(_complete(plain, keys, families)).observe(used, F.count("*").alias("n"))
     rows = _with_level_ids(rows.select(*keys, _entries(numbers, plain, families).alias("_x")), effects)
     rows = work.write(rows)
-    n = rows.count()
-    left_out, alone = seen.get["n"] - n, 0
+    n, alone = used.get["n"], 0
+    left_out = given.get["n"] - n
     if singletons == "drop":
         rows, alone = without_singletons(rows, len(effects), work)
         rows, n = work.write(rows), n - alone
