@@ -35,9 +35,8 @@ def test_query_equals_sql(spark, con, name):
         assert same.all(), f"{c}: {a.loc[~same].head(3).to_dict()} against {b.loc[~same].head(3).to_dict()}"
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert QUERIES.keys() == SQL.keys()
 
 
 def test_entry(spark):
