@@ -395,3 +395,56 @@ def test_fit_does_not_depend_on_partitions(spark):
         net = quality.train(docs, labels, small)
         scores.append(round(quality.score(spark.createDataFrame([(0, "good words of a text")], "doc_id long, text string"), net).first().score, 9))
     assert len(set(scores)) == 1
+
+
+PARA = [f"Paragraph {i} of the article, which has many words to read in a long and quiet sentence. " * 3 for i in range(6)]
+BESIDE = {
+    "links": "<ul>" + "".join(f"<li><a href=/{i}>Another page {i}</a>" for i in range(6)) + "</ul>",
+    "link block": "<div><h4>More</h4>" + "".join(f"<p><a href=/{i}>Another page {i}</a></p>" for i in range(6)) + "</div>",
+    "notice": "<div class=gdpr-layer><p>We store things on your device.</p><p>Fine by you?</p></div>",
+    "sign-up": "<div class=mc-embed><p>Get our letter</p><input type=email><p>No spam</p></div>",
+    "thread": "<div id=disqus_thread><p>Bob</p><p>I liked it a lot.</p></div>",
+    "alert": "<div class=alert>Sale ends today!</div>",
+    "remarks": "<section class=user-feedback>" + "".join(f"<div><b>Ann {i}</b><p>I read it <i>twice</i> and liked it.</p></div>" for i in range(4)) + "</section>",
+}
+KEEPS = {
+    "list": "<ul><li>Milk<li>Eggs<li>Two loaves</ul>", "short": "<div><p>Short.</p></div>", "tasks": "<ul><li><input type=checkbox>Done<li><input type=checkbox>To do</ul>",
+    "quote": "<blockquote>Said <a>so</a>.</blockquote>", "two links": "<div><a>One source</a><a>Another</a></div>", "table": "<table><tr><td>a<td>1<tr><td>b<td>2</table>",
+}
+
+
+def article_with(part, around):
+    text = "".join(f"<p>{p}</p>" for p in PARA)
+    return f"<nav><a>Home</a></nav><{around}><h1>Head</h1>{text}{part}<p>Short end.</p></{around}><footer>us</footer>"
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+@pytest.mark.parametrize("part", BESIDE)
+def test_ratios_decide_about_unnamed_parts(part, around, monkeypatch):
+    want = " ".join(["Head", *[p.strip() for p in PARA], "Short end."])
+    html = article_with(BESIDE[part], around)
+    assert main_text.main_text(html) == want
+    # Without differences between the ratios the part stays, whatever it is called.
+    monkeypatch.setattr(main_text, "smoothed", lambda ratios: np.ones(len(ratios)))
+    assert len(main_text.main_text(html)) > len(want)
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+@pytest.mark.parametrize("part", KEEPS)
+def test_thin_parts_without_a_sign_stay(part, around):
+    alone = main_text.main_text(f"<article>{KEEPS[part]}</article>")
+    assert alone and main_text.main_text(article_with(KEEPS[part], around)) == " ".join(["Head", *[p.strip() for p in PARA], alone, "Short end."])
+
+
+def test_hinted_parts_with_dense_text_stay():
+    inner = f"<section class='on-consent'><p>{LONG}</p></section>"
+    assert LONG.strip() in main_text.main_text(article_with(inner, "article"))
+
+
+@pytest.mark.parametrize("tail", ["<div>&copy; 2024 Us</div>", "<div><p>All rights reserved.</p><p>Made here.</p></div>"])
+def test_page_without_article_ends_with_its_text(tail):
+    text = "".join(f"<p>{p}</p>" for p in PARA)
+    html = f"<body><div><a>Home</a><a>News</a></div><div><h1>Head</h1>{text}</div>{tail}</body>"
+    assert main_text.main_text(html) == " ".join(["Head", *[p.strip() for p in PARA]])
+    html = f"<body><div><a>Home</a><a>News</a></div><div><div><h1>Head</h1></div><div>{text}</div></div>{tail}</body>"
+    assert main_text.main_text(html) == " ".join(["Head", *[p.strip() for p in PARA]])

@@ -12,7 +12,13 @@ The content region is made of
 the outermost ``article`` and ``main`` elements where these hold nearly all text
 of the cluster, else it is the innermost element that holds all of it, grown while
 that is only a part of a text (a section, quote, table or list) or stands among
-lines of its parent. All lines of the region, short ones too, are the main text.
+lines of its parent. Short lines belong to the cluster of a region without ``article`` only by
+their own ratio, as smoothing also lifts the first lines after the text, or as the top heading right before such a line.
+
+The ratios then decide about parts inside the region that no list names. A part with a sign of being beside the
+text (mostly links, fields to fill in, or a word of HINTS in its class or id) goes if its text is thinner than the cluster
+around it; a sign alone, or thin text alone, drops nothing. A part that holds half of the region or more stays.
+All other lines of the region, short ones too, are the main text.
 
 A null html is an empty page; a page without content has the text ''. Unclosed
 and stray tags are allowed. Repeated rows are pages like others; other columns
@@ -50,6 +56,16 @@ BESIDE = frozenset(
     "share-buttons share-links side-bar site-footer site-header site-navigation skip-link skip-links social-links social-media "
     "social-share top-nav top-navigation widget-area".split()
 )
+#: Words inside a class, id or role that say something only together with a low ratio.
+HINTS = frozenset(
+    "alert breadcrumb breadcrumbs comment comments consent cookie cookies disqus feedback gdpr modal navbar newsletter popup promo replies sidebar signup "
+    "sponsor sponsored subscribe toolbar widget".split()
+)
+WORDS = re.compile(r"[a-z]+")
+# HTML elements to fill in, and kinds of ``input`` that also stand in texts.
+FIELDS, MARKERS = frozenset("input select textarea".split()), frozenset("checkbox hidden image radio".split())
+#: A part is mostly links if it has so many, with this share of its text.
+LINKS, LINKED = 3, 2 / 3
 # Open elements that a start tag closes where their end tags were left out, up to the nearest table.
 IMPLIED = {"td": frozenset(["td"]), "tr": frozenset(["td", "tr"]), "tbody": frozenset(["td", "tr", "tbody"])}
 #: Elements of NEVER that a ``main`` or most of the page may be found in, as when their end tag is missing.
@@ -80,8 +96,16 @@ class Lines(HTMLParser):
         self.names: list[str] = [""]
         self.parents: list[int] = [0]
         self.marks: list[int] = [0]
+        self.hinted: list[bool] = [False]
+        self.fields: list[bool] = [False]
+        self.links: list[int] = []
+        self.linked: list[int] = []
+        self.top: list[bool] = []
         self.parts: list[str] = []
         self.count = 0
+        self.link_depth = 0  # open elements where the open link began, 0 outside links
+        self.link_count = self.link_size = 0
+        self.in_top = False
 
     def end_line(self) -> None:
         if self.parts:
@@ -91,13 +115,22 @@ class Lines(HTMLParser):
                 self.texts.append(text)
                 self.tags.append(self.count)
                 self.within.append(self.stack[-1])
-                self.count = 0
+                self.links.append(self.link_count)
+                self.linked.append(min(self.link_size, len(text)))
+                self.top.append(self.in_top)
+                self.count = self.link_count = self.link_size = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.count += 1
+        if tag == "a":
+            self.link_depth = len(self.stack)
+            self.link_count += 1
         if tag in INLINE:
             return
         self.end_line()
+        self.in_top = tag == "h1"
+        if tag in FIELDS and dict(attrs).get("type") not in MARKERS:
+            self.fields[self.stack[-1]] = True
         if tag in VOID or (tag not in CONTAINERS and tag not in NEVER):
             return
         while self.names[self.stack[-1]] in IMPLIED.get(tag, ()):
@@ -106,11 +139,15 @@ class Lines(HTMLParser):
         self.names.append(tag)
         self.parents.append(self.stack[-1])
         self.marks.append(mark)
+        self.hinted.append(any(value and name in ("class", "id", "role") and not HINTS.isdisjoint(WORDS.findall(value.lower())) for name, value in attrs))
+        self.fields.append(False)
         self.stack.append(len(self.names) - 1)
         self.open[tag] += 1
 
     def leave(self) -> None:
         self.open[self.names[self.stack.pop()]] -= 1
+        if len(self.stack) < self.link_depth:
+            self.link_depth = 0
 
     def mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag == "header" and any(self.open[a] for a in ARTICLES):
@@ -130,12 +167,17 @@ class Lines(HTMLParser):
         self.count += 1
         if tag not in INLINE:
             self.end_line()
+            if tag in FIELDS and dict(attrs).get("type") not in MARKERS:
+                self.fields[self.stack[-1]] = True
 
     def handle_endtag(self, tag: str) -> None:
         self.count += 1
+        if tag == "a":
+            self.link_depth = 0
         if tag in INLINE:
             return
         self.end_line()
+        self.in_top = False
         if self.open[tag]:
             while self.names[self.stack[-1]] != tag:
                 self.leave()
@@ -144,6 +186,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.names[self.stack[-1]] not in ("script", "style"):
             self.parts.append(data)
+            if self.link_depth:
+                self.link_size += len(data.strip())
 
 
 def held(lines: Lines, without: list[bool]) -> list[int]:
@@ -212,8 +256,36 @@ def region(lines: Lines) -> list[int]:
     inside = [i for i in content.tolist() if wanted[lines.within[i]]]
     if not inside or size[inside].sum() < MOST * size[content].sum():
         direct = {lines.within[i] for i in usable.tolist()}
-        wanted = under(lines, {grown(lines, common(lines, {lines.within[i] for i in content.tolist()}), direct)})
-    return [i for i in usable.tolist() if wanted[lines.within[i]]]
+        own = {i for i in content.tolist() if size[i] / max(1, lines.tags[i]) >= ratios.std()}
+        own |= {i for i in usable.tolist() if lines.top[i] and i + 1 in own}
+        wanted = under(lines, {grown(lines, common(lines, {lines.within[i] for i in own or content.tolist()}), direct)})
+    kept = [i for i in usable.tolist() if wanted[lines.within[i]]]
+    off = thin(lines, kept, set(content.tolist()), ratios)
+    return [i for i in kept if not off[lines.within[i]]]
+
+
+def thin(lines: Lines, kept: list[int], content: set[int], ratios: np.ndarray) -> list[bool]:
+    """Which elements of the region are beside its text after all: they show a sign of it and their smoothed ratio is below that of the cluster around them."""
+    # Per element: text, text times ratio, both for lines of the cluster only, links and text in links.
+    sums = np.zeros((len(lines.names), 6))
+    for i in kept:
+        text = len(lines.texts[i])
+        mass = text * ratios[i]
+        sums[lines.within[i]] += (text, mass, text if i in content else 0, mass if i in content else 0, lines.links[i], lines.linked[i])
+    fields = lines.fields[:]
+    for e in range(len(sums) - 1, 0, -1):
+        sums[lines.parents[e]] += sums[e]
+        fields[lines.parents[e]] |= fields[e]
+    whole, whole_mass = sums[0, 2:4]
+    out = [False] * len(sums)
+    for e in range(1, len(sums)):
+        text, mass, inner, inner_mass, links, linked = sums[e].tolist()
+        out[e] = out[lines.parents[e]]
+        if out[e] or not text or 2 * text >= sums[0, 0] or whole <= inner:
+            continue
+        sign = lines.hinted[e] or fields[e] and not inner or links >= LINKS and linked >= LINKED * text
+        out[e] = bool(sign and mass / text < (1 - 1e-9) * (whole_mass - inner_mass) / (whole - inner))
+    return out
 
 
 def under(lines: Lines, roots: set[int]) -> list[bool]:
