@@ -182,9 +182,11 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     words = words.select((F.shiftleft("block", IN_BLOCK) + F.col("at")).alias("sent"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     marked = work.write(_frequent(words, ["lang", "word"], least))
+    work.settle()
     levels = [work.write(marked.filter("sent = id").select("id", "lang", F.array("word").alias("words"), "f"))]
     relation = work.write(_by_block(blocks.select("block", "ids"), marked, _frequent_words)) if longest > 1 else None
     work.drop(blocks, marked)
+    work.settle()
     for length in range(2, longest + 1):
         marked = work.write(_frequent(relation.mapInArrow(_pairs, _PAIRS), ["left", "right"], least))
         work.settle()
