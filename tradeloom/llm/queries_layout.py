@@ -42,7 +42,23 @@ def op6_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
-@query("op8_mix_sources")
+# Decimals of 12 places as whole numbers; rows that agree in the order are alike in all columns.
+ONE = 10**12
+MIX_SQL = f"""
+    WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size FROM documents),
+    sizes AS (SELECT source, sum(size)::bigint AS source_size FROM sized GROUP BY source),
+    weighed AS (SELECT *, {list(map(float, mixing.WEIGHTS))}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::int]::double AS weight, source_size::double * {float(mixing.MOST_COPIES)} AS cap FROM sizes),
+    ranked AS (SELECT *, row_number() OVER w AS rank, sum(source_size) OVER ()::double - coalesce(sum(cap) OVER earlier, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS rest_weight
+      FROM weighed WINDOW w AS (ORDER BY cap / weight, source NULLS LAST), earlier AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    halted AS (SELECT *, rest / rest_weight AS share, cap <= rest / rest_weight * weight AS stops FROM ranked),
+    targets AS (SELECT source, source_size, CASE WHEN stops THEN cap ELSE (SELECT arg_min(share, rank) FROM halted WHERE NOT stops) * weight END AS target FROM halted),
+    rates AS (SELECT *, CASE WHEN source_size > 0 THEN ((target / source_size)::varchar::decimal(14, 12) * {ONE})::hugeint ELSE 0 END AS rate FROM targets),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS n FROM sized),
+    drawn AS (SELECT p.*, source_size, target, (((n + 1) * rate + {int(mixing.offset(1)[2:])}) // {ONE} - (n * rate + {int(mixing.offset(1)[2:])}) // {ONE})::bigint AS copies FROM placed p JOIN rates r ON p.source IS NOT DISTINCT FROM r.source)
+    SELECT doc_id, size, source, source_size, target, copies, copies * size AS taken FROM drawn"""
+
+
+@query("op8_mix_sources", MIX_SQL)
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
