@@ -37,7 +37,7 @@ def _raw_tariffs(spark, rates, kind):
         F.when(F.col("max_rate") == 8, "n/a").otherwise(F.col("max_rate").cast("string")).alias("Max_Rate"), country.alias("SimpleAverage"), *counts, F.lit("").alias("EstCode"),
         F.format_string(kind + "_H0_ALL_%d_U2", "year").alias("folder"))
     path = fresh_path(spark, kind)
-    raw.repartition("folder").write.option("header", True).partitionBy("folder").csv(path)
+    raw.hint("rebalance", "folder").write.option("header", True).partitionBy("folder").csv(path)
     return tariffs.scan_tariffs(spark, kind, path, "*/*.csv")
 
 
@@ -260,7 +260,7 @@ def _publish_tariffs(rates, kind, path):
         revision.alias("NomenCode"), _published("reporter_country").alias("Reporter_ISO_N"), F.col("year").alias("Year"), code.alias("ProductCode"), *partner,
         F.lit("0").alias("Sum_Of_Rates"), said["min_rate"].alias("Min_Rate"), said["max_rate"].alias("Max_Rate"), said["tariff_rate"].alias("SimpleAverage"), *counts, F.lit("").alias("EstCode"),
         F.format_string(kind + "_%s_ALL_%d_U2", revision, "year").alias("folder"))
-    raw.repartition("folder").write.option("header", True).partitionBy("folder").csv(f"{path}/{kind}")
+    raw.hint("rebalance", "folder").write.option("header", True).partitionBy("folder").csv(f"{path}/{kind}")
 
 
 @query("raw_files_to_enriched_panel", f"SELECT {', '.join(KEYS)}, {', '.join(sq(c, c) for c in _ENRICHED)} FROM enriched")

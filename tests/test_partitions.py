@@ -1,13 +1,14 @@
-"""Tasks of bounded size: shuffle partitions follow the data, not the session's fixed number."""
+"""Tasks of bounded size: shuffle partitions, buckets and files follow the data, not the session's fixed number."""
 
 from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import ingest
 from tradeloom import session
 from tradeloom.plans import star
-from tradeloom.session import widen_shuffles
+from tradeloom.session import Workspace, widen_shuffles
 
 WIDTH, ADVISORY = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
@@ -82,3 +83,22 @@ def test_lines_are_not_shuffled_to_meet_the_buyers(spark, orders):
     for at in by_buyer:
         below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
         assert not any("l_extendedprice" in x for x in lines[at:below])
+
+
+@pytest.mark.parametrize(("rows", "files"), [(1, 1), (250_000, 3)])
+def test_buckets_follow_the_rows(spark, rows, files):
+    with Workspace(spark, "buckets") as work:
+        table = work.write_bucketed(spark.range(1000).selectExpr("id % 97 AS k", "id"), "k", rows)
+        assert table.select(F.input_file_name()).distinct().count() == files
+        assert table.count() == 1000
+
+
+def test_a_year_of_a_published_schedule_is_split_over_tasks(narrow):
+    """One folder's rows are not dealt to one task."""
+    narrow.conf.set(ADVISORY, "20000")
+    rates = narrow.range(0, 40_000, 1, 4).select(
+        F.lit(1998).alias("year"), F.lit("003").alias("reporter_country"), F.format_string("%06d", "id").alias("product_code"),
+        F.lit(1.5).alias("tariff_rate"), F.lit(1.0).alias("min_rate"), F.lit(2.0).alias("max_rate"))
+    scanned = ingest._raw_tariffs(narrow, rates, "AVEMFN")
+    assert scanned.count() == 40_000
+    assert scanned.select(F.input_file_name()).distinct().count() > 1
