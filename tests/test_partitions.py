@@ -85,6 +85,26 @@ def test_lines_are_not_shuffled_to_meet_the_buyers(spark, orders):
         assert not any("l_extendedprice" in x for x in lines[at:below])
 
 
+@pytest.mark.parametrize("schedule", [star.mfn, star.pref])
+def test_cells_are_not_shuffled_to_meet_the_rates_of_chapters(spark, tmp_path, monkeypatch, schedule):
+    """The rates of many cells are few; their real size is known, so the cells stay where they are."""
+    path = str(tmp_path / "cells")
+    spark.range(0, 50_000, 1, 2).select(
+        F.lit("003").alias("reporter_country"), F.lit("019").alias("partner_country"), F.format_string("01%06d", "id").alias("product_code"), F.lit(1998).alias("year"),
+        *[(F.col("id") % 7).alias(c) for c in ("tax_sum", "n_lines", "tax_min", "tax_max", "cut_min", "cut_max")],
+    ).write.parquet(path)
+    monkeypatch.setattr(star, "stored_cells", lambda spark, d: spark.read.parquet(path))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(64 << 10))
+    try:
+        made = schedule(spark, "unused")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert made.count() == 50_000
+
+
 @pytest.mark.parametrize(("rows", "files"), [(1, 1), (250_000, 3)])
 def test_buckets_follow_the_rows(spark, rows, files):
     with Workspace(spark, "buckets") as work:
